@@ -157,15 +157,15 @@ def equipment_daily_summary(dmon: DataFrame, equipment: DataFrame) -> DataFrame:
     v = F.col("voltage_avg")
     g = dmon.groupBy("equipment_id", "equipment_name", "equipment_type",
                      F.col("monitoring_date").alias("summary_date")).agg(
-        F.round(F.avg(v), 2).alias("voltage_avg"), F.max(v).alias("voltage_max"), F.min(v).alias("voltage_min"),
+        R.avg_round(v, 2, 2).alias("voltage_avg"), F.max(v).alias("voltage_max"), F.min(v).alias("voltage_min"),
         F.round(F.stddev_samp(v), 4).alias("voltage_std"),
-        F.round(F.avg("current_avg"), 2).alias("current_avg"), F.max("current_avg").alias("current_max"),
+        R.avg_round("current_avg", 2, 2).alias("current_avg"), F.max("current_avg").alias("current_max"),
         F.min("current_avg").alias("current_min"),
-        F.round(F.avg("power_active"), 2).alias("power_active_avg"),
+        R.avg_round("power_active", 2, 2).alias("power_active_avg"),
         F.max("power_active").alias("power_active_max"), F.min("power_active").alias("power_active_min"),
-        F.round(F.avg("power_factor"), 4).alias("power_factor_avg"),
-        F.round(F.avg("frequency"), 3).alias("frequency_avg"),
-        F.round(F.avg("temperature"), 2).alias("temperature_avg"), F.max("temperature").alias("temperature_max"),
+        R.avg_round("power_factor", 4, 4).alias("power_factor_avg"),
+        R.avg_round("frequency", 2, 3).alias("frequency_avg"),
+        R.avg_round("temperature", 2, 2).alias("temperature_avg"), F.max("temperature").alias("temperature_max"),
         F.count(F.lit(1)).cast("int").alias("monitoring_count"),
         R.count_if(_abnormal(v, F.col("frequency"))).cast("int").alias("abnormal_count"),
         F.countDistinct("monitoring_hour").cast("double").alias("uptime_hours"),

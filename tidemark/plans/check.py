@@ -69,7 +69,8 @@ def compare(spark_rows: list[tuple], spark_cols: list[str], duck_rows: list[tupl
         return f"row count spark={len(s)} duck={len(d)}"
     for a, b in zip(s, d):
         if not all(_close(x, y) for x, y in zip(a, b)):
-            return f"value mismatch: spark={a} duck={b} cols={order}"
+            diff = [(order[i], x, y) for i, (x, y) in enumerate(zip(a, b)) if not _close(x, y)]
+            return f"value mismatch {diff[:4]}"
     return None
 
 
