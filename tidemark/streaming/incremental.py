@@ -10,9 +10,15 @@ same rows and overwrites its own files):
    from DWD as of ``b-1``) so an order that moves between users fixes both.
 3. DWD: ``dwd_orders`` rows of the affected orders are recomputed from the
    current ODS state (orders LEFT JOIN users); vanished orders get tombstones.
+   A second copy keyed (user_id, order_id) and bucketed by user is the index
+   that answers "orders of these users".
 4. DWS: ``user_stats_left`` of the affected users is recomputed from DWD;
    users that now vanish (only non-completed orders) get tombstones.
 
+Every state read is restricted to the affected keys: a broadcast semi join on
+the bucket partition column (dynamic partition pruning) and then on the key,
+so a micro-batch reads the buckets it touches, not the whole state.
+
 Affected-key sets are DataFrames joined back (semi joins) — never collected.
 The same batch functions as the full-snapshot jobs compute every row, so the
 stream result equals the batch result on the final state (tested).
@@ -44,15 +50,20 @@ class OrdersChain:
         self.ods_users = PKTable(spark, f"{root}/ods_users", ["id"], buckets)
         self.ods_orders = PKTable(spark, f"{root}/ods_orders", ["id"], buckets)
         self.dwd_orders = PKTable(spark, f"{root}/dwd_orders", ["order_id"], buckets)
+        # the same rows keyed (user_id, order_id) and bucketed by user: the
+        # orders of a set of users are read from their buckets only
+        self.dwd_by_user = PKTable(spark, f"{root}/dwd_orders_by_user", ["user_id", "order_id"], buckets,
+                                   bucket_keys=["user_id"])
         self.dws_users = PKTable(spark, f"{root}/dws_user_stats", ["user_id"], buckets)
 
     # ------------------------------------------------------------ helpers
     @staticmethod
-    def _state(t: PKTable, version: int, template: DataFrame) -> DataFrame:
-        """State of ``t`` after batch ``version``; empty (template schema) before its first write."""
+    def _state(t: PKTable, version: int, template: DataFrame, only: DataFrame | None = None) -> DataFrame:
+        """State of ``t`` after batch ``version`` restricted to ``only``; empty
+        (template schema) before the table's first write."""
         cols = template.columns
         try:
-            return t.as_of(version).select(*cols)
+            return t.as_of(version, only).select(*cols)
         except FileNotFoundError:
             return template.limit(0)
 
@@ -63,47 +74,66 @@ class OrdersChain:
         finally:
             batch.unpersist()
 
+    @staticmethod
+    def _rows(df: DataFrame, op: str, b: int, cols: list[str]) -> DataFrame:
+        return df.select(F.lit(op).alias("op"), F.lit(b).cast("bigint").alias("seq"), *cols)
+
     def _process(self, batch: DataFrame, b: int) -> None:
         users_ch = batch.where(F.col("tbl") == "users").select("op", "seq", *USER_COLS)
         orders_ch = batch.where(F.col("tbl") == "orders").select("op", "seq", *ORDER_COLS)
 
-        # 1. ODS (both tables get batch b, possibly empty — keeps versions aligned)
+        # 1. ODS
         self.ods_users.write_batch(users_ch, b)
         self.ods_orders.write_batch(orders_ch, b)
-        users = self._state(self.ods_users, b, users_ch.select(*USER_COLS))
-        orders = self._state(self.ods_orders, b, orders_ch.select(*ORDER_COLS))
 
-        # 2. affected keys (DataFrames, not driver lists)
-        changed_orders = orders_ch.select(F.col("id").alias("order_id")).distinct()
+        # 2. affected orders: changed orders + current orders of changed users
         changed_users = users_ch.select(F.col("id").alias("user_id")).distinct()
-        dwd_template = O.dwd_orders(orders, users, self.as_of).select("order_id", "user_id")
-        dwd_prev = self._state(self.dwd_orders, b - 1, dwd_template)
-        orders_of_users = orders.join(changed_users, orders.user_id == changed_users.user_id, "left_semi") \
-            .select(F.col("id").alias("order_id"))
-        affected_orders = changed_orders.unionByName(orders_of_users).distinct()
-
-        # 3. DWD rows of the affected orders, recomputed from current state
-        cur = O.dwd_orders(orders.join(affected_orders, orders.id == affected_orders.order_id, "left_semi"),
-                           users, self.as_of).select(*DWD_COLS)
-        gone = affected_orders.join(cur.select("order_id"), "order_id", "left_anti")
-        dwd_rows = (cur.select(F.lit("u").alias("op"), F.lit(b).cast("bigint").alias("seq"), *DWD_COLS)
-                    .unionByName(gone.select(F.lit("d").alias("op"), F.lit(b).cast("bigint").alias("seq"),
-                                             "order_id"), allowMissingColumns=True))
-        self.dwd_orders.write_batch(dwd_rows, b)
-
-        # 4. DWS rows of the affected users (new owners, previous owners, changed users)
-        prev_owner = dwd_prev.join(affected_orders, "order_id", "left_semi").select("user_id")
-        aff_users = cur.select("user_id").unionByName(changed_users).unionByName(prev_owner)
-        aff_users = aff_users.where(F.col("user_id").isNotNull()).distinct()
-        dwd_now = self._state(self.dwd_orders, b, cur)
-        d_users = O.dwd_users(users, self.as_of).join(aff_users, "user_id", "left_semi")
-        d_orders = dwd_now.join(aff_users, "user_id", "left_semi")
-        stats = O.user_stats_left(d_users, d_orders, self.as_of).select(*DWS_COLS)
+        by_user_t = self._by_user_template(orders_ch, users_ch)
+        of_users = self._state(self.dwd_by_user, b - 1, by_user_t, changed_users).select("order_id")
+        affected = orders_ch.select(F.col("id").alias("order_id")).unionByName(of_users).distinct().persist()
+
+        # 3. DWD rows of the affected orders from the current ODS state
+        orders = self._state(self.ods_orders, b, orders_ch.select(*ORDER_COLS),
+                             affected.select(F.col("order_id").alias("id")))
+        need_users = orders.select(F.col("user_id").alias("id")).unionByName(
+            changed_users.select(F.col("user_id").alias("id")))
+        users = self._state(self.ods_users, b, users_ch.select(*USER_COLS), need_users)
+        cur = O.dwd_orders(orders, users, self.as_of).select(*DWD_COLS).persist()
+        prev = self._state(self.dwd_orders, b - 1, cur.select("order_id", "user_id"), affected).persist()
+        gone = affected.join(cur.select("order_id"), "order_id", "left_anti")
+        self.dwd_orders.write_batch(
+            self._rows(cur, "u", b, DWD_COLS).unionByName(self._rows(gone, "d", b, ["order_id"]),
+                                                          allowMissingColumns=True), b)
+
+        # 4. the by-user index: new (user, order) rows, tombstones where the owner changed or the order is gone
+        moved = prev.join(cur.select("order_id", F.col("user_id").alias("new_uid")), "order_id", "left") \
+            .where(F.col("new_uid").isNull() | (F.col("new_uid") != F.col("user_id"))) \
+            .where(F.col("user_id").isNotNull())
+        self.dwd_by_user.write_batch(
+            self._rows(cur.where(F.col("user_id").isNotNull()), "u", b, DWD_COLS).unionByName(
+                self._rows(moved, "d", b, ["user_id", "order_id"]), allowMissingColumns=True), b)
+
+        # 5. DWS rows of the affected users (new owners, previous owners, changed users)
+        aff_users = (cur.select("user_id").unionByName(changed_users).unionByName(prev.select("user_id"))
+                     .where(F.col("user_id").isNotNull()).distinct().persist())
+        d_orders = self._state(self.dwd_by_user, b, cur, aff_users)
+        d_users = O.dwd_users(self._state(self.ods_users, b, users_ch.select(*USER_COLS),
+                                          aff_users.select(F.col("user_id").alias("id"))), self.as_of)
+        stats = O.user_stats_left(d_users, d_orders, self.as_of).select(*DWS_COLS).persist()
         vanished = aff_users.join(stats.select("user_id"), "user_id", "left_anti")
-        dws_rows = (stats.select(F.lit("u").alias("op"), F.lit(b).cast("bigint").alias("seq"), *DWS_COLS)
-                    .unionByName(vanished.select(F.lit("d").alias("op"), F.lit(b).cast("bigint").alias("seq"),
-                                                 "user_id"), allowMissingColumns=True))
-        self.dws_users.write_batch(dws_rows, b)
+        self.dws_users.write_batch(
+            self._rows(stats, "u", b, DWS_COLS).unionByName(self._rows(vanished, "d", b, ["user_id"]),
+                                                            allowMissingColumns=True), b)
+        for df in (cur, prev, affected, aff_users, stats):
+            df.unpersist()
+
+    @staticmethod
+    def _by_user_template(orders_ch: DataFrame, users_ch: DataFrame) -> DataFrame:
+        o = orders_ch.select(F.col("id").alias("order_id"), "user_id", "order_amount", "order_status",
+                             "created_at", "updated_at")
+        return o.select("order_id", "user_id", F.lit(None).cast("string").alias("username"),
+                        F.lit(None).cast("string").alias("email"), "order_amount", "order_status",
+                        "created_at", "updated_at").select(*DWD_COLS)
 
     # ------------------------------------------------------------- running
     def run(self, source_path: str, checkpoint: str, max_files_per_trigger: int = 1):

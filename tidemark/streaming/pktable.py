@@ -38,17 +38,20 @@ def _join(path: str, *parts: str) -> str:
 
 class PKTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 4,
-                 seq: str = "seq", op: str = "op"):
+                 seq: str = "seq", op: str = "op", bucket_keys: list[str] | None = None):
+        """``bucket_keys`` (default: the key) choose the bucket; a key prefix such
+        as ``user_id`` of a (user_id, order_id) key makes the table an index by user."""
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
         self.seq, self.op = seq, op
+        self.bucket_keys = list(bucket_keys or keys)
 
     # ------------------------------------------------------------ helpers
     def bucket_col(self) -> F.Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.bucket_keys]), F.lit(self.buckets)).cast("int")
 
     def bucket_of(self, key_value) -> int | None:
         """Bucket of a single BIGINT or STRING key, computed like Spark's xxhash64 (seed 42)."""
-        if _xxhash is None or len(self.keys) != 1:
+        if _xxhash is None or len(self.bucket_keys) != 1:
             return None
         if isinstance(key_value, int):
             data = struct.pack("<q", key_value)
@@ -108,17 +111,28 @@ class PKTable:
             return None
         return self.spark.read.parquet(_join(self.path, "log"))
 
-    def _changes_upto(self, version: int | None) -> DataFrame | None:
+    def _restrict(self, df: DataFrame, only: DataFrame | None) -> DataFrame:
+        """Rows whose bucket-key values occur in ``only``: a semi join on the
+        bucket partition column (the bucket set is at most ``buckets`` rows and
+        is broadcast, so dynamic partition pruning skips the other buckets),
+        then on the bucket keys themselves."""
+        if only is None:
+            return df
+        keys = only.select(*self.bucket_keys).distinct()
+        bset = F.broadcast(keys.select(self.bucket_col().alias("bucket")).distinct())
+        return df.join(bset, "bucket", "left_semi").join(keys, self.bucket_keys, "left_semi")
+
+    def _changes_upto(self, version: int | None, only: DataFrame | None = None) -> DataFrame | None:
         snaps = [s for s in self._versions("snapshot", "version") if version is None or s <= version]
         parts = []
         start = -1
         if snaps:
             start = snaps[-1]
             snap = self.spark.read.parquet(_join(self.path, "snapshot", f"version={start}"))
-            parts.append(snap.drop("bucket"))
+            parts.append(self._restrict(snap, only).drop("bucket"))
         lg = self.log() if self._exists("log") else None
         if lg is not None:
-            lg = lg.where(F.col("batch_id") > start)
+            lg = self._restrict(lg.where(F.col("batch_id") > start), only)
             if version is not None:
                 lg = lg.where(F.col("batch_id") <= version)
             parts.append(lg.drop("bucket", "batch_id"))
@@ -129,8 +143,9 @@ class PKTable:
             out = out.unionByName(p, allowMissingColumns=True)
         return out
 
-    def _latest(self, version: int | None, keep_tombstones: bool = False) -> DataFrame:
-        ch = self._changes_upto(version)
+    def _latest(self, version: int | None, keep_tombstones: bool = False,
+                only: DataFrame | None = None) -> DataFrame:
+        ch = self._changes_upto(version, only)
         if ch is None:
             raise FileNotFoundError(self.path)
         w = latest_changes(ch, self.keys, self.seq, self.op)
@@ -140,9 +155,10 @@ class PKTable:
         """Current state (deleted keys removed)."""
         return self._latest(None)
 
-    def as_of(self, version: int) -> DataFrame:
-        """State after batch ``version`` — time travel over the change log."""
-        return self._latest(version)
+    def as_of(self, version: int, only: DataFrame | None = None) -> DataFrame:
+        """State after batch ``version`` — time travel over the change log.
+        ``only``: restrict to the rows whose bucket keys occur in that frame."""
+        return self._latest(version, only=only)
 
     def lookup(self, key_values: list) -> DataFrame:
         """Point lookup of keys, reading only their buckets."""
