@@ -33,7 +33,8 @@ def avg_round(c: str | Column, in_scale: int, out_scale: int) -> Column:
     """ROUND(AVG(x), out_scale) for a measure with ``in_scale`` decimals, averaged
     exactly in DECIMAL (HALF_UP on the exact mean, as a numeric column would),
     returned as DOUBLE. Avoids rounding ties flipping with summation order."""
-    return F.round(F.avg(col(c).cast(f"decimal(18,{in_scale})")), out_scale).cast("double")
+    d = col(c).cast(f"decimal(18,{in_scale})")
+    return F.round(F.sum(d) / F.count(d), out_scale).cast("double")
 
 
 def safe_div(a: Column, b: Column) -> Column:

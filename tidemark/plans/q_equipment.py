@@ -20,7 +20,7 @@ def avg_half_up(x: str, in_scale: int, out_scale: int) -> str:
     in integer arithmetic: the oracle twin of ``rules.avg_round``."""
     units = f"CAST(round(SUM(CAST({x} AS DECIMAL(18,{in_scale}))) * {10 ** in_scale}) AS HUGEINT)"
     num = f"(2 * {units} * {10 ** (out_scale - in_scale)} + COUNT({x}))"
-    return f"CAST({num} // (2 * COUNT({x})) AS DOUBLE) / {10 ** out_scale}"
+    return f"CAST({num} // NULLIF(2 * COUNT({x}), 0) AS DOUBLE) / {10 ** out_scale}"
 
 
 V_LO, V_HI = 220.0 * (1 - 0.07), 220.0 * (1 + 0.07)

@@ -125,4 +125,7 @@ def with_roles(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({defs[n]})" for n in order)
+    stripped = body.lstrip()
+    if stripped[:5].upper() == "WITH ":  # merge with the body's own CTE list
+        return f"WITH {ctes},\n{stripped[5:]}"
     return f"WITH {ctes}\n{body}"
