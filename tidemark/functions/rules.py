@@ -37,6 +37,13 @@ def avg_round(c: str | Column, in_scale: int, out_scale: int) -> Column:
     return F.round(F.sum(d) / F.count(d), out_scale).cast("double")
 
 
+def dround(c: str | Column, out_scale: int, in_scale: int = 6) -> Column:
+    """ROUND of a value that has at most ``in_scale`` decimals, done in DECIMAL
+    (exact HALF_UP) and returned as DOUBLE — a double product such as
+    131.9 × 0.95 is 125.30499… and would round the wrong way."""
+    return F.round(col(c).cast(f"decimal(28,{in_scale})"), out_scale).cast("double")
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """a / b, NULL when b is 0 or NULL (the reference divides unguarded)."""
     return F.try_divide(a, b)

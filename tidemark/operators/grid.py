@@ -209,14 +209,15 @@ def smart_grid_report(summary: DataFrame, as_of: dt.datetime) -> DataFrame:
         F.concat(F.lit("REPORT_"), F.col("grid_region"), F.lit("_"), F.col("time_window")).alias("report_id"),
         F.lit(R.REPORT_TYPE).alias("report_type"), F.col("time_window").alias("analysis_period"),
         "grid_region",
-        F.round(F.col("frequency_stability_rate"), 2).alias("grid_stability_index"),
-        F.round(F.col("grid_efficiency_score"), 2).alias("operational_efficiency"),
-        F.round(h * 0.95, 2).alias("energy_optimization_score"),
+        R.dround("frequency_stability_rate", 2).alias("grid_stability_index"),
+        R.dround("grid_efficiency_score", 2).alias("operational_efficiency"),
+        F.round(h.cast("decimal(28,6)") * F.lit(0.95).cast("decimal(3,2)"), 2).cast("double")
+        .alias("energy_optimization_score"),
         R.reliability_rating(h / 100).alias("reliability_rating"),
         F.when(risky, R.RISK_MEDIUM).otherwise(R.RISK_LOW).alias("risk_assessment"),
         R.performance_trend(h / 100).alias("performance_trends"),
         F.when(risky, R.ADVICE_COOLING).otherwise(R.ADVICE_KEEP).alias("optimization_recommendations"),
-        F.round(h / 100 * 150000, 2).alias("cost_benefit_analysis"),
+        F.round(h.cast("decimal(28,6)") * 1500, 2).cast("double").alias("cost_benefit_analysis"),
         ts_lit(as_of).alias("report_time"))
 
 
