@@ -90,7 +90,7 @@ def smart_grid_detail(dispatch_ods: DataFrame, device_ods: DataFrame, salt: int
         "device_id", "device_type", "location", "status", "real_time_voltage",
         "real_time_temperature", "efficiency_rate",
         R.region_prefix(F.col("location")).alias("_p"),
-        F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint").alias("_s"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))).alias("_s"))
     j = d.join(v, ["_p", "_s"], "inner")
     eff, temp, freq = F.col("efficiency_rate"), F.col("real_time_temperature"), F.col("frequency_hz")
     return j.select(

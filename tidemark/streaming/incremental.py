@@ -157,3 +157,15 @@ def run_chain_from_tables(spark: SparkSession, t, n_files: int = 4, files_per_tr
     chain = OrdersChain(spark, f"{run}/tables")
     chain.run(src, f"{run}/checkpoint", files_per_trigger)
     return chain
+
+
+def latest_per_key_stream(stream: DataFrame, keys: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
+    """Streaming latest-per-key (ODS ingest without a sink-side merge): the
+    ``max_by`` aggregate keeps one row of state per key and, in ``update``
+    output mode, emits the changed keys of each trigger. Deletes come out as
+    rows with op = 'd' for the sink to apply."""
+    from tidemark.operators.changes import op_rank
+    vals = [c for c in stream.columns if c not in keys]
+    w = stream.groupBy(*keys).agg(
+        F.max_by(F.struct(*vals), F.struct(F.col(seq), op_rank(F.col(op)))).alias("_w"))
+    return w.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in vals])
