@@ -24,8 +24,10 @@ SESSION_CONF = {
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "tidemark") -> SparkSession:
+                app_name: str = "tidemark", conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
+    for k, v in (conf or {}).items():
+        builder = builder.config(k, v)
     if master:
         builder = builder.master(master)
     for k, v in SESSION_CONF.items():
