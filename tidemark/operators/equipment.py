@@ -168,7 +168,9 @@ def equipment_daily_summary(dmon: DataFrame, equipment: DataFrame) -> DataFrame:
         R.avg_round("temperature", 2, 2).alias("temperature_avg"), F.max("temperature").alias("temperature_max"),
         F.count(F.lit(1)).cast("int").alias("monitoring_count"),
         R.count_if(_abnormal(v, F.col("frequency"))).cast("int").alias("abnormal_count"),
-        F.countDistinct("monitoring_hour").cast("double").alias("uptime_hours"),
+        # hours with a reading: a 24-bit mask per group (no distinct aggregate)
+        F.bit_count(F.bit_or(F.pow(F.lit(2), F.col("monitoring_hour")).cast("bigint"))).cast("double")
+        .alias("uptime_hours"),
         F.sum("power_active").alias("_p_sum"), F.count("power_active").alias("_p_n"))
     cap = equipment.select(F.col("equipment_id").alias("c_eid"), "capacity_mw")
     j = g.join(cap, g.equipment_id == cap.c_eid, "left")

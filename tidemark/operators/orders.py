@@ -59,6 +59,25 @@ def dwd_order_items(items: DataFrame, orders: DataFrame, users: DataFrame, as_of
         "created_at", _ts(as_of).alias("etl_time"))
 
 
+def order_facts(orders: DataFrame) -> DataFrame:
+    """The DWD order rows for consumers that read no user column.
+
+    ``orders LEFT JOIN users ON user_id = users.id`` keeps exactly one row per
+    order because ``id`` is the users' primary key, so a consumer that reads no
+    user column gets the same rows without the join (join elimination on a
+    declared key — Catalyst cannot do it, it does not know the key is unique)."""
+    return orders.select(F.col("id").alias("order_id"), "user_id", "order_amount", "order_status",
+                         "created_at", "updated_at")
+
+
+def item_facts(items: DataFrame) -> DataFrame:
+    """DWD item rows without the order/user columns (same key argument as
+    ``order_facts``: orders.id and users.id are primary keys)."""
+    return items.select(
+        "order_id", "l_linenumber", "item_partkey", "item_suppkey", "product_name", "quantity", "unit_price",
+        (F.col("quantity") * F.col("unit_price")).cast("decimal(18,2)").alias("total_price"), "created_at")
+
+
 def dwd_user_orders(dusers: DataFrame, dorders: DataFrame, as_of) -> DataFrame:
     u = dusers.select("user_id", "username", "email")
     o = dorders.select(F.col("user_id").alias("o_user_id"), "order_id", "order_amount",

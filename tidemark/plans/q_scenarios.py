@@ -124,6 +124,5 @@ def q_recent_alarms(c):
 def q_recent_dashboard(c):
     """Newest ten dashboard metric rows (all rows share one update time, so
     metric_name orders them deterministically)."""
-    d = O.realtime_dashboard(O.dwd_users(c.users, c.orders_as_of),
-                             O.dwd_orders(c.orders, c.users, c.orders_as_of), c.orders_as_of)
+    d = O.realtime_dashboard(O.dwd_users(c.users, c.orders_as_of), O.order_facts(c.orders), c.orders_as_of)
     return d.orderBy(F.col("update_time").desc(), "metric_name").limit(10).select("metric_name", "metric_value")
