@@ -94,10 +94,10 @@ class OrdersChain:
 
         # 3. DWD rows of the affected orders from the current ODS state
         orders = self._state(self.ods_orders, b, orders_ch.select(*ORDER_COLS),
-                             affected.select(F.col("order_id").alias("id")))
+                             affected.select(F.col("order_id").alias("id"))).persist()
         need_users = orders.select(F.col("user_id").alias("id")).unionByName(
             changed_users.select(F.col("user_id").alias("id")))
-        users = self._state(self.ods_users, b, users_ch.select(*USER_COLS), need_users)
+        users = self._state(self.ods_users, b, users_ch.select(*USER_COLS), need_users).persist()
         cur = O.dwd_orders(orders, users, self.as_of).select(*DWD_COLS).persist()
         prev = self._state(self.dwd_orders, b - 1, cur.select("order_id", "user_id"), affected).persist()
         gone = affected.join(cur.select("order_id"), "order_id", "left_anti")
@@ -117,14 +117,17 @@ class OrdersChain:
         aff_users = (cur.select("user_id").unionByName(changed_users).unionByName(prev.select("user_id"))
                      .where(F.col("user_id").isNotNull()).distinct().persist())
         d_orders = self._state(self.dwd_by_user, b, cur, aff_users)
-        d_users = O.dwd_users(self._state(self.ods_users, b, users_ch.select(*USER_COLS),
-                                          aff_users.select(F.col("user_id").alias("id"))), self.as_of)
+        # users of the affected set: those already read for the DWD step plus the previous owners
+        prev_only = prev.select(F.col("user_id").alias("id")).join(users.select("id"), "id", "left_anti")
+        extra = self._state(self.ods_users, b, users_ch.select(*USER_COLS), prev_only)
+        d_users = O.dwd_users(users.unionByName(extra).join(
+            aff_users.select(F.col("user_id").alias("id")), "id", "left_semi"), self.as_of)
         stats = O.user_stats_left(d_users, d_orders, self.as_of).select(*DWS_COLS).persist()
         vanished = aff_users.join(stats.select("user_id"), "user_id", "left_anti")
         self.dws_users.write_batch(
             self._rows(stats, "u", b, DWS_COLS).unionByName(self._rows(vanished, "d", b, ["user_id"]),
                                                             allowMissingColumns=True), b)
-        for df in (cur, prev, affected, aff_users, stats):
+        for df in (cur, prev, affected, aff_users, stats, orders, users):
             df.unpersist()
 
     @staticmethod

@@ -44,6 +44,7 @@ class PKTable:
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
         self.seq, self.op = seq, op
         self.bucket_keys = list(bucket_keys or keys)
+        self._log_schema = None  # known after the first write: reads then skip schema inference
 
     # ------------------------------------------------------------ helpers
     def bucket_col(self) -> F.Column:
@@ -88,6 +89,8 @@ class PKTable:
         """Append one micro-batch of change rows (op, seq, key…, columns…)."""
         rows = changes.withColumn("bucket", self.bucket_col()).withColumn(
             "batch_id", F.lit(int(batch_id)).cast("bigint"))
+        if self._log_schema is None:
+            self._log_schema = rows.schema
         (rows.repartition("bucket").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "bucket").parquet(_join(self.path, "log")))
@@ -109,6 +112,13 @@ class PKTable:
         """All change rows with their batch_id and bucket; None while the log has no files."""
         if not self._versions("log", "batch_id"):
             return None
+        if self._log_schema is not None:
+            # batch_id / bucket are partition columns: keep them last, as discovery would
+            fields = [f for f in self._log_schema.fields if f.name not in ("batch_id", "bucket")]
+            by_name = {f.name: f for f in self._log_schema.fields}
+            from pyspark.sql.types import StructType
+            schema = StructType(fields + [by_name["batch_id"], by_name["bucket"]])
+            return self.spark.read.schema(schema).parquet(_join(self.path, "log"))
         return self.spark.read.parquet(_join(self.path, "log"))
 
     def _restrict(self, df: DataFrame, only: DataFrame | None) -> DataFrame:
