@@ -12,7 +12,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from tidemark.session import get_session
-    s = get_session("local[4]", shuffle_partitions=4, app_name="tidemark-tests")
+    s = get_session("local[4]", shuffle_partitions=4, app_name="tidemark-tests",
+                    conf={"spark.driver.memory": "6g"})
     yield s
 
 

@@ -45,8 +45,12 @@ DWS_COLS = ["user_id", "username", "total_amount", "total_orders", "avg_order_am
 
 
 class OrdersChain:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 4, as_of=dt.date(2001, 8, 1)):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 4, as_of=dt.date(2001, 8, 1),
+                 compact_every: int | None = None):
+        """``compact_every``: after every n-th batch each table is compacted to a
+        snapshot, so per-batch reads stop growing with the number of batches."""
         self.spark, self.root, self.as_of = spark, root, as_of
+        self.compact_every = compact_every
         self.ods_users = PKTable(spark, f"{root}/ods_users", ["id"], buckets)
         self.ods_orders = PKTable(spark, f"{root}/ods_orders", ["id"], buckets)
         self.dwd_orders = PKTable(spark, f"{root}/dwd_orders", ["order_id"], buckets)
@@ -73,6 +77,12 @@ class OrdersChain:
             self._process(batch, int(batch_id))
         finally:
             batch.unpersist()
+        if self.compact_every and (int(batch_id) + 1) % self.compact_every == 0:
+            for t in self.tables():
+                t.compact(int(batch_id))
+
+    def tables(self) -> list[PKTable]:
+        return [self.ods_users, self.ods_orders, self.dwd_orders, self.dwd_by_user, self.dws_users]
 
     @staticmethod
     def _rows(df: DataFrame, op: str, b: int, cols: list[str]) -> DataFrame:
