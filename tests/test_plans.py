@@ -52,3 +52,19 @@ def test_detail_join_is_salted_equi_join(spark, sf_small):
     plan = _plan(G.smart_grid_detail(G.conform_dispatch(G.dispatch_source(c.dispatch)),
                                      G.conform_device(c.devices), salt=8))
     assert "CartesianProduct" not in plan and "_s" in plan
+
+
+def test_hot_key_is_combined_map_side(spark, sf_small):
+    """A key holding a third of the change rows is reduced per task before the
+    shuffle (partial max_by), and the session splits skewed join partitions."""
+    from pyspark.sql import functions as F
+    from tidemark.operators.changes import apply_changes
+    rows = [("u", i, 0 if i % 3 == 0 else i, f"v{i}") for i in range(3000)]
+    ch = spark.createDataFrame(rows, "op string, seq long, id long, v string")
+    out = apply_changes(ch, ["id"])
+    plan = _plan(out)
+    assert "partial_max_by" in plan
+    assert out.where(F.col("id") == 0).collect()[0].v == "v2997"
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+    plan = _plan(queries()["agent_workload"](spark, sf_small))
+    assert "partial_count" in plan  # tickets are pre-aggregated per agent before the join

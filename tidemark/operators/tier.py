@@ -127,8 +127,10 @@ def tier_counts(hot: DataFrame, cold: DataFrame) -> DataFrame:
     return one(hot, "hot").unionByName(one(cold, "cold"))
 
 
-def write_cold(cold_rows: DataFrame, path: str) -> None:
+def write_cold(cold_rows: DataFrame, path: str, fanout: int = 8) -> None:
     """Append/replace archive partitions (dynamic partition overwrite: a re-run
-    of the same day replaces only that day's partition)."""
-    (cold_rows.repartition("archive_date").write.mode("overwrite")
+    of the same day replaces only that day's partition). Rows go to writers by
+    (archive_date, salt), so one busy day is written by ``fanout`` tasks."""
+    salt = F.pmod(F.xxhash64("ticket_id"), F.lit(fanout))
+    (cold_rows.repartition("archive_date", salt).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("archive_date").parquet(path))

@@ -38,13 +38,16 @@ def _join(path: str, *parts: str) -> str:
 
 class PKTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 4,
-                 seq: str = "seq", op: str = "op", bucket_keys: list[str] | None = None):
+                 seq: str = "seq", op: str = "op", bucket_keys: list[str] | None = None,
+                 write_fanout: int = 8):
         """``bucket_keys`` (default: the key) choose the bucket; a key prefix such
         as ``user_id`` of a (user_id, order_id) key makes the table an index by user."""
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
         self.seq, self.op = seq, op
         self.bucket_keys = list(bucket_keys or keys)
         self._log_schema = None  # known after the first write: reads then skip schema inference
+        # writers per bucket: a bucket holding a hot key is written by up to this many tasks
+        self.write_fanout = write_fanout
 
     # ------------------------------------------------------------ helpers
     def bucket_col(self) -> F.Column:
@@ -91,10 +94,17 @@ class PKTable:
             "batch_id", F.lit(int(batch_id)).cast("bigint"))
         if self._log_schema is None:
             self._log_schema = rows.schema
-        (rows.repartition("bucket").write.mode("overwrite")
+        (self._spread(rows).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "bucket").parquet(_join(self.path, "log")))
 
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Shuffle rows to writers by (bucket, salt): each bucket directory gets
+        at most ``write_fanout`` files per batch, and a bucket with a hot key is
+        still written by several tasks (salt from the row's seq)."""
+        salt = F.pmod(F.xxhash64(F.col(self.seq), *[F.col(k) for k in self.keys]), F.lit(self.write_fanout))
+        return rows.repartition("bucket", salt)
+
     def compact(self, version: int | None = None) -> int | None:
         """Rewrite the state as of ``version`` (default: newest batch) as one
         snapshot; later reads start from it. Tombstones are kept."""
@@ -103,7 +113,7 @@ class PKTable:
             return None
         v = batches[-1] if version is None else version
         state = self._latest(v, keep_tombstones=True)
-        (state.withColumn("bucket", self.bucket_col()).repartition("bucket").write.mode("overwrite")
+        (self._spread(state.withColumn("bucket", self.bucket_col())).write.mode("overwrite")
          .partitionBy("bucket").parquet(_join(self.path, "snapshot", f"version={v}")))
         return v
 
