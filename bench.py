@@ -59,10 +59,18 @@ def main() -> None:
         results[n] = round(statistics.median(run(n) for _ in range(repeat)), 3)
     for n in once:
         results[n] = round(run(n), 3)
+    extra = {}
+    if "incremental_user_stats" in results:
+        # change rows streamed: one create per user, create + final event per order
+        from tidemark.sources.tables import Tables
+        t = Tables(spark, sf_dir)
+        n_rows = t.customer.count() + 2 * t.orders.count()
+        extra["incremental_change_rows"] = n_rows
+        extra["incremental_rows_per_sec"] = round(n_rows / results["incremental_user_stats"], 1)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(results.values()), 3),
                       "unit": "sec", "queries": results, "sf": float(m.group(1)) if m else None,
-                      "cpus": int(cpus), "repeat": repeat}))
+                      "cpus": int(cpus), "repeat": repeat, **extra}))
 
 
 if __name__ == "__main__":

@@ -214,3 +214,16 @@ def test_tier_cycle_commit_order(spark, sf_small):
     assert spark.read.parquet(cold).count() == res["archived"]
     tier_cycle(hot, cold, as_of, version=2)  # re-run: nothing left to archive, cold unchanged
     assert spark.read.parquet(cold).count() == res["archived"]
+
+
+def test_continuous_sync_named_query(spark):
+    base = _tmp()
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(20)], "k long, v string")
+    df.repartition(4).write.parquet(f"{base}/src")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+    q = K.continuous_sync(stream, "sync_" + uuid.uuid4().hex[:6], K.parquet_sink(f"{base}/out"),
+                          f"{base}/ck", available_now=True)
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    assert out.select("batch_id").distinct().count() >= 2  # several micro-batches
+    assert sorted(r.k for r in out.collect()) == list(range(20))
