@@ -13,6 +13,12 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def ts_lit(as_of) -> Column:
+    """The fixed ``as_of`` instant (datetime, or date at midnight) as TIMESTAMP_NTZ."""
+    fmt = "%Y-%m-%d %H:%M:%S" if hasattr(as_of, "hour") else "%Y-%m-%d 00:00:00"
+    return F.lit(as_of.strftime(fmt)).cast("timestamp_ntz")
+
+
 # ---------------------------------------------------------------- arithmetic
 
 def r6(c: str | Column) -> Column:

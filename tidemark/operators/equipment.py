@@ -39,8 +39,7 @@ def _d(day: dt.date) -> F.Column:
     return F.lit(day.isoformat()).cast("date")
 
 
-def ts_lit(as_of: dt.datetime) -> F.Column:
-    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+ts_lit = R.ts_lit
 
 
 # ------------------------------------------------------------------- DWD

@@ -30,8 +30,7 @@ DISPATCH_COMMAND = "AUTO_DISPATCH"
 RESPONSE_TIME_MS = 50
 
 
-def ts_lit(as_of: dt.datetime) -> F.Column:
-    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+ts_lit = R.ts_lit
 
 
 def epoch_text(as_of: dt.datetime) -> F.Column:

@@ -17,10 +17,7 @@ from tidemark.operators.ranking import global_rank
 from tidemark.operators.metrics import metric_rows
 
 
-def _ts(as_of: dt.datetime | dt.date) -> F.Column:
-    if isinstance(as_of, dt.datetime):
-        return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    return F.lit(as_of.strftime("%Y-%m-%d 00:00:00")).cast("timestamp_ntz")
+_ts = R.ts_lit
 
 
 def _date(as_of: dt.datetime | dt.date) -> F.Column:

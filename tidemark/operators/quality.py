@@ -31,8 +31,7 @@ MON_THROUGHPUT = "CDC数据吞吐量监控"
 MON_INTEGRITY = "数据完整性监控"
 
 
-def ts_lit(as_of: dt.datetime) -> F.Column:
-    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+ts_lit = R.ts_lit
 
 
 def minus(as_of: dt.datetime, minutes: int) -> F.Column:

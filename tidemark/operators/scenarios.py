@@ -28,8 +28,7 @@ ROOT_CAUSE = [("FAULT", "设备故障"), ("CRITICAL", "严重运行异常"), ("W
 RECOVERY = {"URGENT": "立即停机检修", "HIGH": "安排计划检修"}
 
 
-def ts_lit(as_of: dt.datetime) -> F.Column:
-    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+ts_lit = R.ts_lit
 
 
 def _micros(c: F.Column) -> F.Column:

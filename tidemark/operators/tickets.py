@@ -18,8 +18,7 @@ from tidemark.operators.metrics import metric_rows
 from tidemark.operators.ranking import global_rank
 
 
-def ts_lit(as_of: dt.datetime) -> F.Column:
-    return F.lit(as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+ts_lit = R.ts_lit
 
 
 def day_bounds(day: dt.date, days: int = 1) -> tuple[F.Column, F.Column]:
