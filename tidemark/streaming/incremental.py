@@ -98,9 +98,12 @@ class OrdersChain:
 
         # 2. affected orders: changed orders + current orders of changed users
         changed_users = users_ch.select(F.col("id").alias("user_id")).distinct()
-        by_user_t = self._by_user_template(orders_ch, users_ch)
-        of_users = self._state(self.dwd_by_user, b - 1, by_user_t, changed_users).select("order_id")
-        affected = orders_ch.select(F.col("id").alias("order_id")).unionByName(of_users).distinct().persist()
+        affected = orders_ch.select(F.col("id").alias("order_id"))
+        if not users_ch.isEmpty():  # cheap: the batch is persisted
+            by_user_t = self._by_user_template(orders_ch, users_ch)
+            of_users = self._state(self.dwd_by_user, b - 1, by_user_t, changed_users).select("order_id")
+            affected = affected.unionByName(of_users)
+        affected = affected.distinct().persist()
 
         # 3. DWD rows of the affected orders from the current ODS state
         orders = self._state(self.ods_orders, b, orders_ch.select(*ORDER_COLS),
@@ -128,10 +131,13 @@ class OrdersChain:
                      .where(F.col("user_id").isNotNull()).distinct().persist())
         d_orders = self._state(self.dwd_by_user, b, cur, aff_users)
         # users of the affected set: those already read for the DWD step plus the previous owners
-        prev_only = prev.select(F.col("user_id").alias("id")).join(users.select("id"), "id", "left_anti")
-        extra = self._state(self.ods_users, b, users_ch.select(*USER_COLS), prev_only)
-        d_users = O.dwd_users(users.unionByName(extra).join(
-            aff_users.select(F.col("user_id").alias("id")), "id", "left_semi"), self.as_of)
+        prev_only = prev.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()) \
+            .join(users.select("id"), "id", "left_anti")
+        known = users
+        if not prev_only.isEmpty():  # owners that lost orders and are not read yet
+            known = users.unionByName(self._state(self.ods_users, b, users_ch.select(*USER_COLS), prev_only))
+        d_users = O.dwd_users(known.join(aff_users.select(F.col("user_id").alias("id")), "id", "left_semi"),
+                              self.as_of)
         stats = O.user_stats_left(d_users, d_orders, self.as_of).select(*DWS_COLS).persist()
         vanished = aff_users.join(stats.select("user_id"), "user_id", "left_anti")
         self.dws_users.write_batch(
