@@ -227,3 +227,28 @@ def test_continuous_sync_named_query(spark):
     out = spark.read.parquet(f"{base}/out")
     assert out.select("batch_id").distinct().count() >= 2  # several micro-batches
     assert sorted(r.k for r in out.collect()) == list(range(20))
+
+
+def test_live_ticket_metrics_refresh(spark, sf_small):
+    from tidemark.operators import tickets as T
+    from tidemark.streaming.jobs import refresh_on_change
+    t = Tables(spark, sf_small)
+    as_of = dt.datetime(2024, 1, 30, 23, 59, 59)
+    tickets = bind.tickets(t)
+    # change rows: every ticket created, then a later status update for a third of them
+    ch = tickets.select(F.lit("c").alias("op"), (F.col("ticket_id") * 2).alias("seq"), "*").unionByName(
+        tickets.where(F.col("ticket_id") % 3 == 0).withColumn("status", F.lit("resolved")).select(
+            F.lit("u").alias("op"), (F.col("ticket_id") * 2 + 1).alias("seq"), "*"))
+    base = _tmp()
+    ch.repartition(3).write.parquet(f"{base}/src")
+    table = PKTable(spark, f"{base}/t", ["ticket_id"], buckets=4)
+    stream = spark.readStream.schema(ch.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/src")
+    q = refresh_on_change(stream, table, lambda s: T.ticket_metrics(s.drop("op", "seq"), as_of),
+                          K.parquet_sink(f"{base}/out"), f"{base}/ck")
+    q.awaitTermination()
+    out = spark.read.parquet(f"{base}/out")
+    last = out.where(F.col("batch_id") == out.agg(F.max("batch_id")).first()[0]).drop("batch_id")
+    final = tickets.join(ch.where(F.col("op") == "u").select("ticket_id", F.col("status").alias("s2")),
+                         "ticket_id", "left").withColumn("status", F.coalesce("s2", "status")).drop("s2")
+    exp = T.ticket_metrics(final, as_of)
+    assert [tuple(r) for r in last.collect()] == [tuple(r) for r in exp.select(*last.columns).collect()]

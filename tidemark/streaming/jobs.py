@@ -54,3 +54,21 @@ def tier_cycle(hot: PKTable, cold_path: str, as_of: dt.datetime, version: int, h
         F.lit("d").alias("op"), (F.col("seq") + 1).alias("seq"), key)
     hot.write_batch(dels, version)
     return {"archived": archived, "expired": expiring}
+
+
+def refresh_on_change(stream: DataFrame, table: PKTable, compute, writer, checkpoint: str,
+                      available_now: bool = True, processing_time: str = "30 seconds"):
+    """Live metric table: each micro-batch is applied to the PK table, then
+    ``compute(state)`` — any batch function, unchanged — is evaluated on the
+    table as of that batch and handed to ``writer(result, batch_id)``.
+
+    Suited to small results over the state (global metrics, per-day
+    counters); keyed results over large states use affected-key recompute
+    (``streaming.incremental``)."""
+    def step(df: DataFrame, batch_id: int) -> None:
+        table.write_batch(df, batch_id)
+        writer(compute(table.as_of(batch_id)), batch_id)
+
+    w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
+    return w.start()
