@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
 
+# Row-id prefix of the periodic full-refresh result path.
+REFRESH_PREFIX = "REFRESH_"
 # Fixed values of the dispatch conform step.
 DISPATCH_COMMAND = "AUTO_DISPATCH"
 RESPONSE_TIME_MS = 50
@@ -262,7 +264,7 @@ def device_status_capped(devices: DataFrame, as_of: dt.datetime) -> DataFrame:
     cap = F.col("capacity_mw")
     load = F.when(cap > 0, F.least(F.lit(100.0), F.col("real_time_current") / cap * 100)) \
         .otherwise(F.lit(0.0))
-    return _status_row(devices, "FLUSS_", as_of, load,
+    return _status_row(devices, REFRESH_PREFIX, as_of, load,
                        F.least(F.lit(100.0), F.col("efficiency_rate") * 100), ts_lit(as_of))
 
 
@@ -298,7 +300,7 @@ def region_metrics_named(devices: DataFrame, as_of: dt.datetime) -> DataFrame:
     prefix), ROUND 2, load capped at 100."""
     g = _region_aggs(devices, capped=True)
     return g.select(
-        F.concat(F.lit("FLUSS_"), F.col("grid_region"), F.lit("_"), epoch_text(as_of)).alias("metric_id"),
+        F.concat(F.lit(REFRESH_PREFIX), F.col("grid_region"), F.lit("_"), epoch_text(as_of)).alias("metric_id"),
         R.city_to_grid(F.col("grid_region")).alias("grid_region"),
         "total_devices", "online_devices", "offline_devices", "maintenance_devices",
         F.round("avg_efficiency", 2).alias("avg_efficiency"),
@@ -335,7 +337,7 @@ def region_report_extended(devices: DataFrame, as_of: dt.datetime) -> DataFrame:
         R.count_if(F.col("maintenance_status") == "CRITICAL").alias("ncrit"))
     ae = F.col("ae")
     return g.select(
-        F.concat(F.lit("FLUSS_"), F.col("prefix"), F.lit("_"), epoch_text(as_of)).alias("report_id"),
+        F.concat(F.lit(REFRESH_PREFIX), F.col("prefix"), F.lit("_"), epoch_text(as_of)).alias("report_id"),
         F.lit(R.REPORT_TYPE).alias("report_type"),
         F.date_format(ts_lit(as_of), "yyyyMMddHH").alias("analysis_period"),
         R.city_to_grid(F.col("prefix")).alias("grid_region"),

@@ -263,6 +263,7 @@ def business_monitor(dusers: DataFrame, dorders: DataFrame, as_of) -> DataFrame:
         (F.max("n") * 100.0 / F.max("d")).cast("double").alias("user_activity_rate"))
     rows = metric_rows(comp, ["order_completion_rate"]).unionByName(
         metric_rows(act, ["user_activity_rate"]))
+    # Fixed metric descriptions of the business monitor.
     desc = F.create_map(F.lit("order_completion_rate"), F.lit("订单完成率(%)"),
                         F.lit("user_activity_rate"), F.lit("用户活跃率(%)"))
     return rows.select("metric_name", "metric_value", desc[F.col("metric_name")].alias("metric_desc"),

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules as R
 
 # Fixed labels of the layer-count monitors.
-FLOW_SOURCE = "PostgreSQL源->Fluss CDC数据流"
-FLOW_LAYERS = "Fluss数仓分层处理"
-FLOW_SINK = "Fluss->PostgreSQL sink数据流"
+FLOW_SOURCE = "PostgreSQL源->CDC数据流"
+FLOW_LAYERS = "数仓分层处理"
+FLOW_SINK = "数仓->PostgreSQL sink数据流"
 LAYER_ODS_DISPATCH = "ODS电力调度"
 LAYER_ODS_DEVICE = "ODS设备维度"
 LAYER_DWD = "DWD智能电网明细"

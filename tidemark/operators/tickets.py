@@ -147,6 +147,7 @@ def ticket_dashboard(tickets: DataFrame, as_of: dt.datetime) -> DataFrame:
     rows = metric_rows(one, ["total_tickets", "pending_tickets", "avg_resolution_time"])
     ids = F.create_map(F.lit("total_tickets"), F.lit(1), F.lit("pending_tickets"), F.lit(2),
                        F.lit("avg_resolution_time"), F.lit(3))
+    # Fixed metric descriptions of the ticket dashboard.
     desc = F.create_map(F.lit("total_tickets"), F.lit("总工单数"),
                         F.lit("pending_tickets"), F.lit("待处理工单数"),
                         F.lit("avg_resolution_time"), F.lit("平均解决时间(小时)"))

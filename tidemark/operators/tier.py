@@ -20,10 +20,10 @@ from tidemark.operators.tickets import since_day, ts_lit
 TICKET_COLS = ["ticket_id", "customer_id", "agent_id", "title", "priority", "status", "category",
                "created_at", "updated_at", "closed_at"]
 # Fixed labels of the tier summaries and the seeded agent name.
-HOT_LABEL = "Fluss实时层"
-COLD_LABEL = "Paimon存储层"
-HOT_RECENT_LABEL = "Fluss实时数据"
-COLD_HISTORY_LABEL = "Paimon历史数据"
+HOT_LABEL = "实时层"
+COLD_LABEL = "历史存储层"
+HOT_RECENT_LABEL = "实时数据"
+COLD_HISTORY_LABEL = "历史数据"
 HISTORY_AGENT = "历史客服"
 
 
