@@ -274,6 +274,7 @@ def product_ranking(pstats: DataFrame, as_of) -> DataFrame:
     """RANK() OVER (ORDER BY total_sales DESC), computed in parallel (no
     single-partition window)."""
     base = pstats.select("product_name", "total_sales", "total_quantity", "total_orders")
-    ranked = global_rank(base, [F.col("total_sales").desc()], "sales_rank", method="rank",
-                         tie_cols=["total_sales"])
+    # product_name spreads equal sales values over sort partitions; ties still share a rank
+    ranked = global_rank(base, [F.col("total_sales").desc(), F.col("product_name").asc()], "sales_rank",
+                         method="rank", tie_cols=["total_sales"])
     return ranked.withColumn("update_time", _ts(as_of))

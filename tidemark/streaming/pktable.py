@@ -181,23 +181,29 @@ class PKTable:
         return self._latest(version, only=only)
 
     def lookup(self, key_values: list) -> DataFrame:
-        """Point lookup of keys, reading only their buckets."""
-        buckets = {self.bucket_of(v) for v in key_values}
-        ch = self._changes_upto(None)
-        if None not in buckets and self._exists("log"):
-            lg = self.log().where(F.col("bucket").isin(sorted(buckets)))
-            snaps = self._versions("snapshot", "version")
+        """Point lookup of keys: reads only the buckets of those keys (partition
+        pruning on the bucket column; falls back to a key filter over all
+        buckets when the bucket cannot be computed on the driver)."""
+        k = self.keys[0]
+        buckets = sorted({self.bucket_of(v) for v in key_values}, key=lambda b: (b is None, b))
+        if not buckets or None in buckets:
+            ch = self._changes_upto(None)
+        else:
             parts = []
-            start = -1
+            snaps = self._versions("snapshot", "version")
+            start = snaps[-1] if snaps else -1
             if snaps:
-                start = snaps[-1]
-                parts.append(self.spark.read.parquet(_join(self.path, "snapshot", f"version={start}"))
-                             .where(F.col("bucket").isin(sorted(buckets))).drop("bucket"))
-            parts.append(lg.where(F.col("batch_id") > start).drop("bucket", "batch_id"))
-            ch = parts[0]
-            for p in parts[1:]:
-                ch = ch.unionByName(p, allowMissingColumns=True)
-        k = self.keys[0]
+                snap = self.spark.read.parquet(_join(self.path, "snapshot", f"version={start}"))
+                parts.append(snap.where(F.col("bucket").isin(buckets)).drop("bucket"))
+            lg = self.log()
+            if lg is not None:
+                parts.append(lg.where((F.col("bucket").isin(buckets)) & (F.col("batch_id") > start))
+                             .drop("bucket", "batch_id"))
+            ch = None
+            for p in parts:
+                ch = p if ch is None else ch.unionByName(p, allowMissingColumns=True)
+        if ch is None:
+            raise FileNotFoundError(self.path)
         ch = ch.where(F.col(k).isin(list(key_values)))
         w = latest_changes(ch, self.keys, self.seq, self.op)
         return w.where(F.col(self.op) != "d")
