@@ -100,7 +100,7 @@ def test_chain_retractions(spark):
 
 def test_chain_stream_equals_batch(spark, sf_small):
     t = Tables(spark, sf_small)
-    chain = run_chain_from_tables(spark, t, n_files=2, files_per_trigger=1)
+    chain = run_chain_from_tables(spark, t, n_batches=2, files_per_batch=2)
     got = sorted(tuple(r) for r in chain.user_stats().collect())
     final = bind.orders(t).where(F.col("order_status") != "cancelled")
     exp = O.user_stats_left(O.dwd_users(bind.users(t), D), O.dwd_orders(final, bind.users(t), D), D)

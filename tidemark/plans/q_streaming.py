@@ -14,7 +14,7 @@ FINAL = {"r_final": "SELECT * FROM r_orders WHERE order_status <> 'cancelled'"}
 @register("incremental_user_stats", sql=USER_STATS_LEFT.format(orders="r_final"), extra_ctes=FINAL)
 def q_incremental_user_stats(c):
     """Users and order lifecycle events (create → final status, cancelled
-    orders deleted) staged as 3 change files, streamed one file per trigger
-    through ODS → DWD → DWS with affected-key recompute."""
-    chain = run_chain_from_tables(c.spark, c.t, n_files=3, files_per_trigger=1)
+    orders deleted) staged as 3 event-time ranges, streamed one range per
+    micro-batch through ODS → DWD → DWS with affected-key recompute."""
+    chain = run_chain_from_tables(c.spark, c.t, n_batches=3, files_per_batch=4)
     return chain.user_stats()

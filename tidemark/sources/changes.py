@@ -71,11 +71,29 @@ def chain_change_log(t: Tables) -> DataFrame:
     return user_change_log(t).unionByName(order_change_log(t))
 
 
-def stage_change_files(changes: DataFrame, path: str, n_files: int) -> None:
-    """Write the change log as ``n_files`` files in event-time order (file i
-    holds the i-th range of event times), the way a change feed lands."""
-    ranged = changes.repartitionByRange(n_files, "event_time", "seq")
-    ranged.sortWithinPartitions("event_time", "seq").write.mode("overwrite").parquet(path)
+def stage_change_files(changes: DataFrame, path: str, n_batches: int, files_per_batch: int = 4) -> None:
+    """Land the change log as ``n_batches`` consecutive event-time ranges, each
+    written as ``files_per_batch`` files (written range by range, so file
+    modification times follow event time, as a change feed lands). Read with
+    ``maxFilesPerTrigger = files_per_batch`` for one range per micro-batch.
+
+    The range boundaries are ``n_batches − 1`` approximate quantiles of the
+    event time (a handful of numbers on the driver); each range is written
+    by ``files_per_batch`` tasks, not one."""
+    us = F.unix_micros(F.to_timestamp(F.col("event_time")))
+    staged = changes.withColumn("_us", us)
+    probs = [i / n_batches for i in range(1, n_batches)]
+    cuts = staged.approxQuantile("_us", probs, 0.001) if probs else []
+    edges = [None, *cuts, None]
+    for i in range(n_batches):
+        lo, hi = edges[i], edges[i + 1]
+        part = staged
+        if lo is not None:
+            part = part.where(F.col("_us") > F.lit(lo))
+        if hi is not None:
+            part = part.where(F.col("_us") <= F.lit(hi))
+        (part.drop("_us").repartition(files_per_batch, "id", "seq")
+         .write.mode("append").parquet(path))
 
 
 def read_change_stream(spark: SparkSession, path: str, schema: T.StructType = ENVELOPE,

@@ -167,14 +167,15 @@ class OrdersChain:
         return self.dws_users.read().select(*DWS_COLS)
 
 
-def run_chain_from_tables(spark: SparkSession, t, n_files: int = 4, files_per_trigger: int = 1) -> OrdersChain:
-    """Stage the bound change log as files under the shared checkpoint folder
-    (a fresh folder per run), stream it through the chain, return the chain."""
+def run_chain_from_tables(spark: SparkSession, t, n_batches: int = 3, files_per_batch: int = 4) -> OrdersChain:
+    """Stage the bound change log as ``n_batches`` event-time ranges under the
+    shared checkpoint folder (a fresh folder per run), stream it through the
+    chain one range per micro-batch, return the chain."""
     run = shared_path(spark, "orders_chain", uuid.uuid4().hex)
     src = f"{run}/changes"
-    CH.stage_change_files(CH.chain_change_log(t), src, n_files)
+    CH.stage_change_files(CH.chain_change_log(t), src, n_batches, files_per_batch)
     chain = OrdersChain(spark, f"{run}/tables")
-    chain.run(src, f"{run}/checkpoint", files_per_trigger)
+    chain.run(src, f"{run}/checkpoint", files_per_batch)
     return chain
 
 
