@@ -252,3 +252,19 @@ def test_live_ticket_metrics_refresh(spark, sf_small):
                          "ticket_id", "left").withColumn("status", F.coalesce("s2", "status")).drop("s2")
     exp = T.ticket_metrics(final, as_of)
     assert [tuple(r) for r in last.collect()] == [tuple(r) for r in exp.select(*last.columns).collect()]
+
+
+def test_chain_daily_partials_equal_batch(spark):
+    rows0 = [_u(1, 1, "ann"), _u(2, 2, "bob"), _o(10, 10, 1, "100.00", "completed"),
+             _o(11, 11, 2, "50.00", "pending"), _o(12, 12, 2, "5.00", "pending")]
+    rows1 = [_o(11, 20, 2, "50.00", "completed", "u"), _o(13, 21, 1, "7.00", "completed")]
+    rows2 = [_o(10, 30, 1, "100.00", "completed", "d"), _o(12, 31, 2, "5.00", "pending", "d")]
+    chain = OrdersChain(spark, os.path.join(_tmp(), "c"), buckets=2, as_of=D, with_daily=True)
+    for b, rows in enumerate((rows0, rows1, rows2)):
+        chain.process_batch(_envelope_rows(spark, rows), b)
+    final = chain.dwd_orders.read().select("order_id", "user_id", "order_amount", "order_status",
+                                           "created_at", "updated_at")
+    exp = O.daily_order_stats(final, D).drop("etl_time")
+    got = sorted(tuple(r) for r in chain.daily_stats().collect())
+    assert got == sorted(tuple(r) for r in exp.collect()) and got[0][1] == 2
+    assert chain.dashboard().collect()[0].total_orders == 2.0

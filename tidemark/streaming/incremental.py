@@ -46,7 +46,7 @@ DWS_COLS = ["user_id", "username", "total_amount", "total_orders", "avg_order_am
 
 class OrdersChain:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 4, as_of=dt.date(2001, 8, 1),
-                 compact_every: int | None = None):
+                 compact_every: int | None = None, with_daily: bool = False):
         """``compact_every``: after every n-th batch each table is compacted to a
         snapshot, so per-batch reads stop growing with the number of batches."""
         self.spark, self.root, self.as_of = spark, root, as_of
@@ -59,6 +59,10 @@ class OrdersChain:
         self.dwd_by_user = PKTable(spark, f"{root}/dwd_orders_by_user", ["user_id", "order_id"], buckets,
                                    bucket_keys=["user_id"])
         self.dws_users = PKTable(spark, f"{root}/dws_user_stats", ["user_id"], buckets)
+        # per-date partial sums (count, amount, completed, pending): every measure
+        # is invertible, so a batch applies signed deltas of its changed orders
+        self.with_daily = with_daily
+        self.dws_daily = PKTable(spark, f"{root}/dws_daily", ["stat_date"], buckets)
 
     # ------------------------------------------------------------ helpers
     @staticmethod
@@ -82,7 +86,8 @@ class OrdersChain:
                 t.compact(int(batch_id))
 
     def tables(self) -> list[PKTable]:
-        return [self.ods_users, self.ods_orders, self.dwd_orders, self.dwd_by_user, self.dws_users]
+        tables = [self.ods_users, self.ods_orders, self.dwd_orders, self.dwd_by_user, self.dws_users]
+        return tables + ([self.dws_daily] if self.with_daily else [])
 
     @staticmethod
     def _rows(df: DataFrame, op: str, b: int, cols: list[str]) -> DataFrame:
@@ -112,7 +117,7 @@ class OrdersChain:
             changed_users.select(F.col("user_id").alias("id")))
         users = self._state(self.ods_users, b, users_ch.select(*USER_COLS), need_users).persist()
         cur = O.dwd_orders(orders, users, self.as_of).select(*DWD_COLS).persist()
-        prev = self._state(self.dwd_orders, b - 1, cur.select("order_id", "user_id"), affected).persist()
+        prev = self._state(self.dwd_orders, b - 1, cur.select(*DWD_COLS), affected).persist()
         gone = affected.join(cur.select("order_id"), "order_id", "left_anti")
         self.dwd_orders.write_batch(
             self._rows(cur, "u", b, DWD_COLS).unionByName(self._rows(gone, "d", b, ["order_id"]),
@@ -143,9 +148,53 @@ class OrdersChain:
         self.dws_users.write_batch(
             self._rows(stats, "u", b, DWS_COLS).unionByName(self._rows(vanished, "d", b, ["user_id"]),
                                                             allowMissingColumns=True), b)
+        if self.with_daily:
+            self._daily(cur, prev, b)
         for df in (cur, prev, affected, aff_users, stats, orders, users):
             df.unpersist()
 
+    def _daily(self, cur: DataFrame, prev: DataFrame, b: int) -> None:
+        """dws_daily += contributions of the current rows − those of the previous rows."""
+        def contrib(df: DataFrame, sign: int) -> DataFrame:
+            st = F.col("order_status")
+            return df.select(F.to_date("created_at").alias("stat_date"), F.lit(sign).cast("bigint").alias("n"),
+                             (F.col("order_amount") * sign).cast("decimal(22,2)").alias("amt"),
+                             F.when(st == "completed", sign).otherwise(0).cast("bigint").alias("done"),
+                             F.when(st == "pending", sign).otherwise(0).cast("bigint").alias("pend"))
+        delta = contrib(cur, 1).unionByName(contrib(prev, -1)).groupBy("stat_date").agg(
+            F.sum("n").alias("n"), F.sum("amt").alias("amt"), F.sum("done").alias("done"),
+            F.sum("pend").alias("pend"))
+        cols = ["stat_date", "total_orders", "total_amount", "completed_orders", "pending_orders"]
+        template = delta.select(F.col("stat_date"), F.col("n").alias("total_orders"),
+                                F.col("amt").alias("total_amount"), F.col("done").alias("completed_orders"),
+                                F.col("pend").alias("pending_orders"))
+        old = self._state(self.dws_daily, b - 1, template, delta.select("stat_date"))
+        z = F.lit(0)
+        new = delta.join(old, "stat_date", "left").select(
+            "stat_date", (F.coalesce("total_orders", z) + F.col("n")).alias("total_orders"),
+            (F.coalesce("total_amount", F.lit(0).cast("decimal(22,2)")) + F.col("amt"))
+            .cast("decimal(22,2)").alias("total_amount"),
+            (F.coalesce("completed_orders", z) + F.col("done")).alias("completed_orders"),
+            (F.coalesce("pending_orders", z) + F.col("pend")).alias("pending_orders"))
+        rows = new.select(F.when(F.col("total_orders") == 0, "d").otherwise("u").alias("op"),
+                          F.lit(b).cast("bigint").alias("seq"), *cols)
+        self.dws_daily.write_batch(rows, b)
+
+    def daily_stats(self) -> DataFrame:
+        return self.dws_daily.read().select("stat_date", "total_orders",
+                                            F.col("total_amount").cast("double").alias("total_amount"),
+                                            "completed_orders", "pending_orders")
+
+    def dashboard(self) -> DataFrame:
+        """Order metrics of the realtime dashboard from the per-date partials
+        (a table with one row per day) — no scan of the order facts."""
+        d = self.dws_daily.read()
+        day = F.lit(self.as_of.isoformat()).cast("date")
+        return d.agg(
+            F.coalesce(F.sum("total_orders"), F.lit(0)).cast("double").alias("total_orders"),
+            F.coalesce(F.sum(F.when(F.col("stat_date") == day, F.col("total_orders"))), F.lit(0))
+            .cast("double").alias("today_orders"))
+
     @staticmethod
     def _by_user_template(orders_ch: DataFrame, users_ch: DataFrame) -> DataFrame:
         o = orders_ch.select(F.col("id").alias("order_id"), "user_id", "order_amount", "order_status",
