@@ -268,3 +268,20 @@ def test_chain_daily_partials_equal_batch(spark):
     got = sorted(tuple(r) for r in chain.daily_stats().collect())
     assert got == sorted(tuple(r) for r in exp.collect()) and got[0][1] == 2
     assert chain.dashboard().collect()[0].total_orders == 2.0
+
+
+def test_append_log_stream_drops_redelivery(spark, sf_small):
+    t = Tables(spark, sf_small)
+    logs = bind.ticket_logs(t)
+    base = _tmp()
+    logs.write.parquet(f"{base}/src")
+    # redelivery of the newest day, landing as later files
+    logs.where(F.col("created_at") >= F.lit("2024-01-30").cast("timestamp_ntz")).write.mode("append") \
+        .parquet(f"{base}/src")
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/src")
+    name = "logs_" + uuid.uuid4().hex[:6]
+    q = (C.append_log_stream(stream).writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table(name)
+    assert got.count() == logs.count() == got.select("log_id").distinct().count()

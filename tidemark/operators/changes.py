@@ -72,3 +72,12 @@ def sync_with_timestamp(state: DataFrame, as_of: dt.datetime) -> DataFrame:
 def touch_updated_at(rows: DataFrame, at: Column, col: str = "updated_at") -> DataFrame:
     """The source tables' update trigger: every written row gets a fresh updated_at."""
     return rows.withColumn(col, at)
+
+
+def append_log_stream(stream: DataFrame, key: str = "log_id", ts: str = "created_at",
+                      delay: str = "1 hour") -> DataFrame:
+    """Streaming append-only log: a redelivered row (same key) arriving within
+    ``delay`` of the watermark is dropped; the dedup state is bounded by the
+    watermark instead of growing with every key ever seen."""
+    return (stream.withColumn("_wm", F.col(ts).cast("timestamp")).withWatermark("_wm", delay)
+            .dropDuplicatesWithinWatermark([key]).drop("_wm"))
