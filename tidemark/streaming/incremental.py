@@ -97,14 +97,16 @@ class OrdersChain:
         users_ch = batch.where(F.col("tbl") == "users").select("op", "seq", *USER_COLS)
         orders_ch = batch.where(F.col("tbl") == "orders").select("op", "seq", *ORDER_COLS)
 
-        # 1. ODS
-        self.ods_users.write_batch(users_ch, b)
+        # 1. ODS (a table without changes in this batch gets no log batch: reads are by version)
+        has_users = not users_ch.isEmpty()  # cheap: the batch is persisted
+        if has_users:
+            self.ods_users.write_batch(users_ch, b)
         self.ods_orders.write_batch(orders_ch, b)
 
         # 2. affected orders: changed orders + current orders of changed users
         changed_users = users_ch.select(F.col("id").alias("user_id")).distinct()
         affected = orders_ch.select(F.col("id").alias("order_id"))
-        if not users_ch.isEmpty():  # cheap: the batch is persisted
+        if has_users:
             by_user_t = self._by_user_template(orders_ch, users_ch)
             of_users = self._state(self.dwd_by_user, b - 1, by_user_t, changed_users).select("order_id")
             affected = affected.unionByName(of_users)
