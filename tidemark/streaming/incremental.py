@@ -120,10 +120,12 @@ class OrdersChain:
         users = self._state(self.ods_users, b, users_ch.select(*USER_COLS), need_users).persist()
         cur = O.dwd_orders(orders, users, self.as_of).select(*DWD_COLS).persist()
         prev = self._state(self.dwd_orders, b - 1, cur.select(*DWD_COLS), affected).persist()
-        gone = affected.join(cur.select("order_id"), "order_id", "left_anti")
-        self.dwd_orders.write_batch(
-            self._rows(cur, "u", b, DWD_COLS).unionByName(self._rows(gone, "d", b, ["order_id"]),
-                                                          allowMissingColumns=True), b)
+        dwd_rows = self._rows(cur, "u", b, DWD_COLS)
+        # an affected order can only be missing from the current state if the batch deletes orders
+        if not orders_ch.where(F.col("op") == "d").isEmpty():
+            gone = affected.join(cur.select("order_id"), "order_id", "left_anti")
+            dwd_rows = dwd_rows.unionByName(self._rows(gone, "d", b, ["order_id"]), allowMissingColumns=True)
+        self.dwd_orders.write_batch(dwd_rows, b)
 
         # 4. the by-user index: new (user, order) rows, tombstones where the owner changed or the order is gone
         moved = prev.join(cur.select("order_id", F.col("user_id").alias("new_uid")), "order_id", "left") \
