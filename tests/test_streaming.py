@@ -5,6 +5,7 @@ import os
 import tempfile
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import changes as C
@@ -98,9 +99,11 @@ def test_chain_retractions(spark):
     assert {r.user_id for r in chain.user_stats().collect()} == {1, 3}
 
 
-def test_chain_stream_equals_batch(spark, sf_small):
+@pytest.mark.parametrize("n_batches", [1, 2])
+def test_chain_stream_equals_batch(spark, sf_small, n_batches):
+    # (3 batches: the registered incremental_user_stats query, checked against its oracle)
     t = Tables(spark, sf_small)
-    chain = run_chain_from_tables(spark, t, n_batches=2, files_per_batch=2)
+    chain = run_chain_from_tables(spark, t, n_batches=n_batches, files_per_batch=2)
     got = sorted(tuple(r) for r in chain.user_stats().collect())
     final = bind.orders(t).where(F.col("order_status") != "cancelled")
     exp = O.user_stats_left(O.dwd_users(bind.users(t), D), O.dwd_orders(final, bind.users(t), D), D)
