@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import located, normal_text, scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # no preallocation: a manifest takes 4 MB for each of the many small stores otherwise
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LOG = "doc_id long, _file string, _row long, digest string, text_sha256 string"
 KEEP = "keep struct<none:boolean,id:long,file:string,row:long>"
 
@@ -56,8 +60,10 @@ class ExactDedup:
 
     def update(self) -> None:
         """Run micro-batches until every logged row is in the state."""
-        spark, before = self.spark, self.spark.conf.get(PROVIDER)
-        spark.conf.set(PROVIDER, ROCKSDB)
+        spark = self.spark
+        before = {k: spark.conf.get(k, None) for k in STATE_CONF}
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         try:
             stream = (spark.readStream.schema(LOG).option("maxBytesPerTrigger", self.batch_bytes)
                       .parquet(f"{self.root}/log"))
@@ -72,7 +78,8 @@ class ExactDedup:
             (state.writeStream.outputMode("update").option("checkpointLocation", f"{self.root}/checkpoint")
              .trigger(availableNow=True).foreachBatch(land).start().awaitTermination())
         finally:
-            spark.conf.set(PROVIDER, before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
@@ -87,21 +94,29 @@ class ExactDedup:
         return seen.groupBy("digest").agg(
             F.max(F.struct("group_size", "keep")).alias("top")).select("digest", "top.keep", "top.group_size")
 
-    def collisions(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    def collisions(self, docs: DataFrame, state: DataFrame, text_col: str = "text") -> DataFrame:
         """Digests of groups in which some row's full text differs from that of the row that stays."""
-        groups = self.state().where("group_size > 1").select(
+        groups = state.where("group_size > 1").select(
             "digest", F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"))
         src = located(docs, text_col).toDF("text", "_file", "_row")
         norm = normal_text(F.col("text"))
-        hits = src.select(norm.alias("norm"), self.digest(norm).alias("digest"), "_file", "_row").join(groups, "digest")
+        every = src.select(norm.alias("norm"), self.digest(norm).alias("digest"), "_file", "_row")
+        # most texts are in no group: a Bloom filter of the groups' digests keeps them from the shuffle
+        threshold = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+        before = self.spark.conf.get(threshold)
+        self.spark.conf.set(threshold, "0")
+        try:
+            hits = written(every.join(groups, "digest"), scratch(self.spark, "dedup-hits"))
+        finally:
+            self.spark.conf.set(threshold, before)
         stays = hits.where("_file = keep_file and _row = keep_row").select("digest", F.col("norm").alias("kept_norm"))
-        return hits.join(stays, "digest").where("norm <> kept_norm").select("digest").distinct()
+        return hits.select("digest", "norm").join(stays, "digest").where("norm <> kept_norm").select("digest").distinct()
 
     def decisions(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per logged row: doc_id, _file, _row, keep_id, group_size, kept, text_sha256."""
         cols = ["doc_id", "_file", "_row", "keep_id", "group_size", "kept", "text_sha256"]
         state = written(self.state(), scratch(self.spark, "dedup-state"))
-        bad = written(self.collisions(docs, text_col), scratch(self.spark, "dedup-collisions"))
+        bad = written(self.collisions(docs, state, text_col), scratch(self.spark, "dedup-collisions"))
         rows = self.log().join(state, "digest")
         stays = (F.col("_file") == F.col("keep.file")) & (F.col("_row") == F.col("keep.row"))
         result = rows.withColumn("keep_id", F.col("keep.id")).withColumn("kept", stays)
