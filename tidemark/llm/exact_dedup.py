@@ -101,14 +101,7 @@ class ExactDedup:
         src = located(docs, text_col).toDF("text", "_file", "_row")
         norm = normal_text(F.col("text"))
         every = src.select(norm.alias("norm"), self.digest(norm).alias("digest"), "_file", "_row")
-        # most texts are in no group: a Bloom filter of the groups' digests keeps them from the shuffle
-        threshold = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-        before = self.spark.conf.get(threshold)
-        self.spark.conf.set(threshold, "0")
-        try:
-            hits = written(every.join(groups, "digest"), scratch(self.spark, "dedup-hits"))
-        finally:
-            self.spark.conf.set(threshold, before)
+        hits = written(every.join(groups.hint("merge"), "digest"), scratch(self.spark, "dedup-hits"))
         stays = hits.where("_file = keep_file and _row = keep_row").select("digest", F.col("norm").alias("kept_norm"))
         return hits.select("digest", "norm").join(stays, "digest").where("norm <> kept_norm").select("digest").distinct()
 

@@ -9,11 +9,14 @@
 3. The signature drops pairs far below the threshold; the rest are confirmed
    on the full shingle sets of the whole texts.
 4. Connected components join confirmed links. Buckets whose rows are then not
-   all in one component are searched again: rows of different components are
-   compared by signature, in blocks of bounded size inside a task, and only
-   the pairs that pass leave it; they are confirmed in the same way. After
-   that, every pair that shares a band is confirmed, refuted or already known
-   to be in one group, so no candidate is capped.
+   all in one component are searched again. Inside a task, in blocks of bounded
+   size, rows of different components are compared by signature; what leaves
+   it is a spanning forest of the pairs that pass, never the pairs. The trees
+   that these forests form together hold every candidate pair that is left.
+   Each tree is searched in blocks of whole texts: pairs that pass by
+   signature and are not yet in one component are confirmed on their sets, and
+   again only a forest of links leaves the task. So no candidate is capped,
+   and rows grow with the size of a group, not with its square.
 
 With 60 bands of 5 rows a pair at similarity 0.75 shares no band with
 probability 9e-8; the signature cut (0.60) lies six deviations below 0.75.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER_AZ, discard, located, scratch, utf8, written
@@ -38,6 +41,7 @@ BANDS, ROWS = 60, 5
 SIGNATURE_CUT = 0.60
 SEED = 20240229
 BLOCK = 1024            # rows of a bucket that one task compares with another such block
+TEXT_BLOCK = 256        # the same where the rows carry whole texts
 _CACHE_WORDS = 400_000  # word hashes a worker remembers (a cache: clearing it changes nothing)
 
 
@@ -186,27 +190,92 @@ def _confirm(width: int, threshold: int):
     return run
 
 
+class _Forest:
+    """Components of positions 0 .. n-1, relabelled as edges come in."""
+
+    def __init__(self, labels: np.ndarray):
+        self.root = np.unique(labels, return_inverse=True)[1].astype(np.int64)
+
+    def join(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Unite i with ``others``; the positions in ``others`` of one edge for each component that is new to i."""
+        roots = self.root[others]
+        fresh, at = np.unique(roots, return_index=True)
+        at = at[fresh != self.root[i]]
+        if len(at):
+            self.root[np.isin(self.root, roots[at])] = self.root[i]
+        return at
+
+
+def _two_blocks(key, rows):
+    """The rows of one block, or of two one below the other, and where the second starts (None: a block is missing)."""
+    import pandas as pd
+    if key[1] == key[2]:
+        return rows.reset_index(drop=True), 0
+    first = rows["block"] == key[1]
+    second = int(first.sum())
+    both = pd.concat([rows[first], rows[~first]], ignore_index=True)
+    return both, second if 0 < second < len(rows) else None
+
+
+def _candidates(rows, second: int, threshold: int, cut: float):
+    """(i, positions j > i) of rows in different components that sizes and signatures allow."""
+    sig = np.frombuffer(b"".join(rows["signature"]), np.uint8).reshape(len(rows), -1)
+    n, comp = rows["n"].to_numpy(), rows["component"].to_numpy()
+    for i in range(second or len(rows)):
+        start = max(second, i + 1)
+        at = start + np.flatnonzero((comp[start:] != comp[i]) & _sizes_fit(n[i], n[start:], threshold))
+        if len(at):
+            at = at[_alike(sig[at], sig[i]) >= cut]
+        if len(at):
+            yield i, at
+
+
 def _across(threshold: int, cut: float):
-    """One pair of blocks of a bucket -> pairs of different components whose signatures agree."""
-    def run(key, left, right):
+    """One pair of blocks of a bucket -> a spanning forest of the pairs that signatures allow."""
+    def run(key, rows):
         import pandas as pd
         out = []
-        if len(left) and len(right):
-            sig = np.frombuffer(b"".join(right["signature"]), np.uint8).reshape(len(right), -1)
-            n, comp, ids = (right[c].to_numpy() for c in ("n", "component", "uid"))
-            same = key[1] == key[2]
-            for uid, c, m, s in zip(left["uid"], left["component"], left["n"], left["signature"]):
-                ok = (comp != c) & _sizes_fit(n, m, threshold)
-                if same:
-                    ok &= ids > uid
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[_alike(sig[at], np.frombuffer(s, np.uint8)) >= cut]
-                    out += [(min(uid, x), max(uid, x)) for x in ids[at].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        rows, second = _two_blocks(key, rows)
+        if second is not None:
+            forest = _Forest(np.arange(len(rows)))
+            ids = rows["uid"].to_numpy()
+            for i, at in _candidates(rows, second, threshold, cut):
+                out += [(ids[i], ids[j]) for j in at[forest.join(i, at)]]
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
     return run
 
 
+def _confirm_blocks(width: int, threshold: int, cut: float):
+    """One pair of blocks of a tree, with texts -> a spanning forest of the confirmed links."""
+    def run(key, rows):
+        import pandas as pd
+        out = []
+        rows, second = _two_blocks(key, rows)
+        if second is not None:
+            shingler = Shingler(width)
+            sets = [None if t is None else shingler(t.encode()) for t in rows["text"]]
+            forest = _Forest(rows["component"].to_numpy())
+            ids = rows["uid"].to_numpy()
+            for i, at in _candidates(rows, second, threshold, cut):
+                for j in at:
+                    if forest.root[i] != forest.root[j]:
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= threshold * (len(sets[i]) + len(sets[j]) - both):
+                            forest.join(i, np.array([j]))
+                            out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: str, columns: list[str], size: int, run) -> DataFrame:
+    """Apply ``run`` to every pair of blocks of at most about ``size`` rows of each group."""
+    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block",
+                        *columns).groupBy(group, "i", "j").applyInPandas(run, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                     threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
                     cut: float = SIGNATURE_CUT) -> DataFrame:
@@ -230,59 +299,42 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.min("uid").alias("class_uid")), f"{home}/classes")
     reps = feats.where("bands is not null").join(
         classes.select(F.col("class_uid").alias("uid")), "uid", "left_semi")
-    band_rows = reps.select("uid", F.explode("bands").alias("bucket"))
-    buckets = written(band_rows.groupBy("bucket").agg(
-        F.min("uid").alias("pivot"), F.max("uid").alias("last"), F.count("*").alias("n")).where("n > 1"),
+    bucket = Window.partitionBy("bucket")
+    shared = written(reps.select("uid", F.explode("bands").alias("bucket")).withColumn(
+        "pivot", F.min("uid").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1"),
         f"{home}/buckets")
-    crowded = written(band_rows.join(buckets.where("n > 2").select("bucket", "pivot", "n"), "bucket"),
-                      f"{home}/crowded")
     sizes = feats.select("uid", F.col("n_shingles").alias("n"), "signature")
 
     # whole texts of every row that shares a bucket
-    in_play = (buckets.select(F.explode(F.array("pivot", "last")).alias("uid"))
-               .unionByName(crowded.select("uid")).distinct())
-    places = feats.select("uid", "_file", "_row").join(in_play, "uid")
-    texts = written(src.select("_file", "_row", "text").join(places, ["_file", "_row"]).select("uid", "text"),
-                    f"{home}/texts")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        wide = (pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-                .select("a", "b", "text_a", "text_b"))
-        return wide.mapInArrow(_confirm(width, threshold), "u long, v long")
-
-    def by_signature(pairs: DataFrame) -> DataFrame:
-        wide = (pairs.join(sizes.toDF("a", "n_a", "signature_a"), "a")
-                .join(sizes.toDF("b", "n_b", "signature_b"), "b"))
-        return wide.mapInArrow(_signature_filter(threshold, cut), "a long, b long")
-
-    stars = (buckets.where("n = 2").select(F.col("pivot").alias("a"), F.col("last").alias("b"))
-             .unionByName(crowded.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")))
-             .distinct())
-    links = written(confirmed(by_signature(stars)), f"{home}/links")
+    places = feats.select("uid", "_file", "_row").join(shared.select("uid").distinct(), "uid")
+    texts = written(src.select("_file", "_row", "text").join(places.hint("merge"), ["_file", "_row"]).select(
+        "uid", "text"), f"{home}/texts")
+
+    stars = shared.where("uid <> pivot").select(F.col("pivot").alias("a"), F.col("uid").alias("b")).distinct()
+    wide = (stars.join(sizes.toDF("a", "n_a", "signature_a"), "a")
+            .join(sizes.toDF("b", "n_b", "signature_b"), "b"))
+    passed = wide.mapInArrow(_signature_filter(threshold, cut), "a long, b long")
+    both = (passed.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+            .select("a", "b", "text_a", "text_b"))
+    links = written(both.mapInArrow(_confirm(width, threshold), "u long, v long"), f"{home}/links")
     found = written(connected_components(links), f"{home}/components-1")
 
     # buckets whose rows are not all in one component yet
-    seated = crowded.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
-        "component", F.coalesce("component", "uid"))
-    mixed = (seated.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
-                                          F.count("*").alias("m"))
-             .where("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    open_rows = written(seated.select("bucket", "uid", "component").join(mixed, "bucket").join(sizes, "uid")
-                        .withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks").cast("long")).cast("int")),
-                        f"{home}/open")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["uid", "component", "n", "signature"]
-    left = open_rows.withColumn("other", every).where("block <= other").select(
-        "bucket", F.col("block").alias("i"), F.col("other").alias("j"), *cols)
-    right = open_rows.withColumn("other", every).where("other <= block").select(
-        "bucket", F.col("other").alias("i"), F.col("block").alias("j"), *cols)
-    more = written(left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(
-        _across(threshold, cut), "a long, b long").distinct(), f"{home}/pairs-2")
-    new_links = written(confirmed(more), f"{home}/links-2")
-    if not new_links.isEmpty():
-        found = written(connected_components(links.unionByName(new_links)), f"{home}/components-2")
-    discard_later = [f"{home}/{x}" for x in ("crowded", "buckets", "texts", "open", "pairs-2")]
-    discard(spark, *discard_later)
+    seated = shared.where("n > 2").select("bucket", "uid").join(
+        found.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    mixed = seated.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
+        "lo <> hi").select("bucket")
+    open_rows = written(seated.join(mixed, "bucket").join(sizes, "uid"), f"{home}/open")
+    forest = written(_in_blocks(open_rows, "bucket", ["uid", "component", "n", "signature"], BLOCK,
+                                _across(threshold, cut)).distinct(), f"{home}/forest")
+    trees = connected_components(forest).toDF("uid", "tree")
+    carried = written(trees.join(found.withColumnRenamed("node", "uid"), "uid", "left").withColumn(
+        "component", F.coalesce("component", "uid")).join(sizes, "uid").join(texts, "uid"), f"{home}/trees")
+    more = written(_in_blocks(carried, "tree", ["uid", "component", "n", "signature", "text"], TEXT_BLOCK,
+                              _confirm_blocks(width, threshold, cut)), f"{home}/links-2")
+    if not more.isEmpty():
+        found = written(connected_components(links.unionByName(more)), f"{home}/components-2")
+    discard(spark, *(f"{home}/{x}" for x in ("buckets", "texts", "open", "forest", "trees")))
 
     # class members -> component -> least id
     ids = feats.select("uid", "doc_id", "_file", "_row", "n_shingles", "set_digest")
