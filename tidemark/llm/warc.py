@@ -33,6 +33,7 @@ from tidemark.llm.common import scratch, utf8, written
 
 FILE_BYTES = 32 << 20     # payload bytes of one archive
 FILE_RECORDS = 20_000
+MOST_TASKS = 20_000       # tasks of a step that works file by file; each takes its share of the files
 PIECE = 1 << 20           # bytes inflated at a time
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -220,6 +221,10 @@ def _read(batches):
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
 
+def _tasks(files: int) -> int:
+    return max(1, min(files, MOST_TASKS))
+
+
 def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write ``pages`` as normalised archives under ``root``; returns (archive, records), one row a file.
@@ -239,15 +244,17 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
         F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
     marked = log.join(groups, "digest", "left").select("file", "number", F.when(
         F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
-    # a group is one file's records, at most FILE_RECORDS narrow rows
-    return written(marked.groupBy("file").applyInPandas(_normalise(root), "archive string, records long"),
+    # a group is one file's records, at most FILE_RECORDS narrow rows; rows are few for the work they stand for,
+    # so the number of tasks follows the number of files
+    files = log.select("file").distinct().count()
+    return written(marked.repartition(_tasks(files), "file").groupBy("file").applyInPandas(_normalise(root), "archive string, records long"),
                    scratch(spark, "warc-files"))
 
 
 def read_archives(files: DataFrame) -> DataFrame:
     """Every record of the archives in ``files`` (archive): page_id, url, payload_bytes, payload_digest,
     record_type, refers_to. Payloads of responses are checked against their digest."""
-    spread = files.select("archive").repartition("archive")
+    spread = files.select("archive").repartition(_tasks(files.count()), "archive")
     return spread.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, "
                                     "record_type string, refers_to long")
 
