@@ -83,7 +83,8 @@ def judge(captures: DataFrame, events: DataFrame, *, id_col: str = "page_id", ur
             end, F.lit(last).cast("timestamp")))), F.expr("interval 1 day"))))
     looked = rows.select("uid", "fetched_at", F.to_date("fetched_at").alias("day"),
                          F.explode(lookup_patterns(F.col("url"))).alias("pattern"))
-    active = looked.join(days, ["pattern", "day"]).where(
+    # sorted on both sides: the day rows grow with the lists, and their size is not known before they are made
+    active = looked.join(days.hint("merge"), ["pattern", "day"]).where(
         "fetched_at >= valid_from and (valid_to is null or fetched_at < valid_to)")
     found = active.groupBy("uid").agg(F.count("*").alias("n_active"), F.array_join(
         F.sort_array(F.collect_set(F.coalesce("list", F.lit("")))), ",").alias("lists"))
