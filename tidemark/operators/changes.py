@@ -3,7 +3,7 @@ logs with redelivery, and the keyed table sync.
 
 ``apply_changes`` is the core: for every key keep the change with the highest
 ``(seq, op rank)`` and drop keys whose winning change is a delete. It is one
-hash aggregate with ``max_by`` — partial (map-side) aggregation collapses a hot
+sort aggregate with ``max_by`` — partial (map-side) aggregation collapses a hot
 key to one row per input partition before the shuffle, so a key holding a
 third of all changes costs one small row per task, not a third of the data in
 one task. The same function runs over a full log (batch) or over
@@ -30,9 +30,11 @@ def op_rank(op: Column) -> Column:
 
 
 def latest_changes(changes: DataFrame, keys: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
-    """The winning change row per key (deletes included, as tombstones)."""
+    """The winning change row per key (deletes included, as tombstones). Changes of
+    equal seq and op rank are told apart by a hash of the whole row, so the winner
+    does not depend on the order in which they are read."""
     vals = [c for c in changes.columns if c not in keys]
-    order = F.struct(F.col(seq), op_rank(F.col(op)))
+    order = F.struct(F.col(seq), op_rank(F.col(op)), F.xxhash64(*vals))
     w = changes.groupBy(*keys).agg(F.max_by(F.struct(*vals), order).alias("_w"))
     return w.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in vals])
 
@@ -46,10 +48,13 @@ def apply_changes(changes: DataFrame, keys: list[str], seq: str = "seq", op: str
 
 def upsert(state: DataFrame, rows: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     """INSERT … ON CONFLICT DO UPDATE: rows replace state rows of the same key
-    when their seq is not older (stale rows are ignored)."""
+    when their seq is not older (stale rows are ignored). At equal seq a row of
+    ``rows`` wins over the state's."""
     s = state.withColumn("op", F.lit("u")) if "op" not in state.columns else state
     r = rows.withColumn("op", F.lit("u")) if "op" not in rows.columns else rows
-    return apply_changes(s.unionByName(r), keys, seq, "op")
+    both = s.withColumn("_at", F.struct(F.col(seq), F.lit(0))).unionByName(
+        r.withColumn("_at", F.struct(F.col(seq), F.lit(1))))
+    return apply_changes(both, keys, "_at", "op").drop("_at")
 
 
 def insert_missing(state: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -74,10 +79,9 @@ def touch_updated_at(rows: DataFrame, at: Column, col: str = "updated_at") -> Da
     return rows.withColumn(col, at)
 
 
-def append_log_stream(stream: DataFrame, key: str = "log_id", ts: str = "created_at",
-                      delay: str = "1 hour") -> DataFrame:
-    """Streaming append-only log: a redelivered row (same key) arriving within
-    ``delay`` of the watermark is dropped; the dedup state is bounded by the
-    watermark instead of growing with every key ever seen."""
-    return (stream.withColumn("_wm", F.col(ts).cast("timestamp")).withWatermark("_wm", delay)
-            .dropDuplicatesWithinWatermark([key]).drop("_wm"))
+def append_log_stream(stream: DataFrame, key: str = "log_id") -> DataFrame:
+    """Streaming append-only log: a redelivered row (same key) is dropped however
+    late it comes, and a late row with a new key is kept. The keys seen are keyed
+    state without expiry; choose the RocksDB state store for logs whose keys
+    outgrow memory."""
+    return stream.dropDuplicates([key])

@@ -56,13 +56,6 @@ def expire_hot(tickets: DataFrame, as_of: dt.datetime, hot_days: int = 7) -> Dat
     return tickets.where(since_day(F.col("created_at"), cutoff))
 
 
-def expired_keys(tickets: DataFrame, as_of: dt.datetime, hot_days: int = 7) -> DataFrame:
-    """Delete markers (op='d') for the expired hot keys, for the PK table log."""
-    cutoff = as_of.date() - dt.timedelta(days=hot_days)
-    return tickets.where(~since_day(F.col("created_at"), cutoff)).select(
-        F.lit("d").alias("op"), "ticket_id")
-
-
 def _tier_summary(df: DataFrame, label: str, end_col: F.Column) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("ticket_count"),
@@ -127,10 +120,18 @@ def tier_counts(hot: DataFrame, cold: DataFrame) -> DataFrame:
     return one(hot, "hot").unionByName(one(cold, "cold"))
 
 
-def write_cold(cold_rows: DataFrame, path: str, fanout: int = 8) -> None:
-    """Append/replace archive partitions (dynamic partition overwrite: a re-run
-    of the same day replaces only that day's partition). Rows go to writers by
-    (archive_date, salt), so one busy day is written by ``fanout`` tasks."""
-    salt = F.pmod(F.xxhash64("ticket_id"), F.lit(fanout))
-    (cold_rows.repartition("archive_date", salt).write.mode("overwrite")
+def merge_cold(existing: DataFrame | None, fresh: DataFrame, key: str = "ticket_id") -> DataFrame:
+    """The full content of every archive date that ``fresh`` touches: rows already
+    archived there and the fresh ones; of one key the fresh row counts."""
+    if existing is None:
+        return fresh
+    kept = (existing.join(fresh.select("archive_date").distinct(), "archive_date", "left_semi")
+            .join(fresh.select(key), key, "left_anti"))
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
+def write_cold(rows: DataFrame, path: str) -> None:
+    """Replace the archive dates of ``rows`` (dynamic partition overwrite); ``rows`` must be
+    their full content, see ``merge_cold``. A busy day is split over several writers."""
+    (rows.hint("rebalance", "archive_date").write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("archive_date").parquet(path))

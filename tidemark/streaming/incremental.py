@@ -83,7 +83,7 @@ class OrdersChain:
             batch.unpersist()
         if self.compact_every and (int(batch_id) + 1) % self.compact_every == 0:
             for t in self.tables():
-                t.compact(int(batch_id))
+                t.compact(int(batch_id), expire=True)
 
     def tables(self) -> list[PKTable]:
         tables = [self.ods_users, self.ods_orders, self.dwd_orders, self.dwd_by_user, self.dws_users]

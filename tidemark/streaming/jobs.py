@@ -28,32 +28,65 @@ class TierMismatch(RuntimeError):
     pass
 
 
+def _path_exists(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _same_rows(a: DataFrame, b: DataFrame, key: str) -> bool:
+    """Whether both hold the same number of rows and the same keys."""
+    return (a.count() == b.count() and a.join(b.select(key), key, "left_anti").isEmpty()
+            and b.join(a.select(key), key, "left_anti").isEmpty())
+
+
 def tier_cycle(hot: PKTable, cold_path: str, as_of: dt.datetime, version: int, hot_days: int = 7,
                key: str = "ticket_id") -> dict:
     """One archive cycle of the hot ticket table.
 
-    1. archive: rows created before (today − hot_days) are written to the cold
-       table partitioned by archive_date (dynamic overwrite: re-running a cycle
-       rewrites the same partitions);
-    2. verify: the archived row count of those partitions equals the hot rows
-       that will expire — otherwise stop before deleting anything;
-    3. expire: delete markers for the archived keys go to the hot table's log
-       as ``version`` (seq one above the row's, so the delete wins).
+    1. stage: the full new content of every archive date touched, rows already
+       archived and rows that leave the hot tier, is written beside the cold
+       table and committed; of one ticket the hot row counts;
+    2. verify: the staged keys are the old ones of those dates and the expiring
+       ones, none missing, none twice; otherwise stop before changing anything;
+    3. switch: the touched dates of the cold table are replaced from the stage
+       and compared with it. A cycle that died here left its stage behind: the
+       next cycle replays it first;
+    4. expire: delete markers for the archived keys go to the hot table's log
+       as batch ``version`` of a writer of their own (seq one above the row's,
+       so the delete wins and no ingest batch is overwritten).
     """
     spark = hot.spark
+    stage = cold_path.rstrip("/") + "-stage"
+    if _path_exists(spark, f"{stage}/_SUCCESS"):
+        H.write_cold(spark.read.parquet(stage), cold_path)
     state = hot.read()
-    cold_rows = H.archive_cold(state, as_of, hot_days)
-    H.write_cold(cold_rows, cold_path)
-    cutoff = (as_of.date() - dt.timedelta(days=hot_days)).isoformat()
-    archived = spark.read.parquet(cold_path).where(F.col("archive_date") < F.lit(cutoff).cast("date")) \
-        .join(cold_rows.select(key), key, "left_semi").count()
-    expiring = cold_rows.count()
-    if archived != expiring:
-        raise TierMismatch(f"archived {archived} rows, {expiring} to expire")
-    dels = state.join(cold_rows.select(key), key, "left_semi").select(
-        F.lit("d").alias("op"), (F.col("seq") + 1).alias("seq"), key)
-    hot.write_batch(dels, version)
-    return {"archived": archived, "expired": expiring}
+    fresh = H.archive_cold(state, as_of, hot_days).persist()
+    try:
+        expiring = fresh.count()
+        if expiring == 0:
+            return {"archived": 0, "expired": 0}
+        old = spark.read.parquet(cold_path).select(*fresh.columns) if _path_exists(spark, cold_path) else None
+        merged = H.merge_cold(old, fresh, key)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(stage)
+        staged = spark.read.schema(merged.schema).parquet(stage)
+        wanted = fresh.select(key)
+        if old is not None:
+            wanted = wanted.unionByName(old.join(fresh.select("archive_date").distinct(), "archive_date", "left_semi")
+                                        .select(key)).distinct()
+        if not _same_rows(staged, wanted, key):
+            raise TierMismatch("the staged archive dates do not hold the old and the expiring rows")
+        H.write_cold(staged, cold_path)
+        now = spark.read.parquet(cold_path).join(fresh.select("archive_date").distinct(), "archive_date", "left_semi")
+        if not _same_rows(now, staged, key):
+            raise TierMismatch("the archived dates differ from their stage")
+        dels = state.join(fresh.select(key), key, "left_semi").select(
+            F.lit("d").alias("op"), (F.col("seq") + 1).alias("seq"), key)
+        hot.write_batch(dels, version, writer="expire")
+        p = spark._jvm.org.apache.hadoop.fs.Path(stage)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        return {"archived": expiring, "expired": expiring}
+    finally:
+        fresh.unpersist()
 
 
 def refresh_on_change(stream: DataFrame, table: PKTable, compute, writer, checkpoint: str,

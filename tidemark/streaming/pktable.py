@@ -2,34 +2,38 @@
 
 Layout under ``path``::
 
-    log/batch_id=<n>/bucket=<b>/part-*.parquet      change rows of batch n
-    snapshot/version=<n>/bucket=<b>/part-*.parquet   compacted state as of batch n
-
-* ``write_batch`` writes one micro-batch with dynamic partition overwrite, so a
-  retried batch replaces itself (exactly-once per batch id); the file
-  committer makes a batch visible only when its job commits.
-* ``read`` = newest snapshot ≤ version ∪ later log batches → latest change per
-  key (``apply_changes``); tombstones hide deleted keys and stay until a
-  compaction, so a late stale update cannot resurrect a deleted row.
-* ``bucket = pmod(xxhash64(key…), n)`` is a partition column: a point lookup
-  by key reads one bucket directory (partition pruning).
-* ``as_of(version)`` reads the table as it was after batch ``version`` (time travel).
+    schema/                                                   the table's columns, as an empty Parquet file
+    log/batch_id=<n>/writer=<w>/bucket=<b>/part-*.parquet     change rows of batch n by writer w
+    snapshot/version=<n>/bucket=<b>/part-*.parquet            compacted state as of batch n
+
+* ``write_batch`` writes one micro-batch of one writer; a retried batch
+  replaces itself, and writers that share batch numbers do not touch each
+  other's files. Every write is aligned to the table's columns; a batch with
+  new columns adds them.
+* A batch or snapshot counts once Spark's job has committed it (``_SUCCESS``);
+  a directory without that marker is ignored.
+* ``read`` = newest snapshot <= version and the log batches after it ->
+  latest change per key (``apply_changes``); tombstones hide deleted keys, so
+  a late stale update cannot resurrect a deleted row. Only the directories of
+  the batches after the snapshot are listed and read.
+* ``compact(expire=True)`` removes what the snapshot before the new one
+  already covers, so time travel reaches back to that snapshot and the files a
+  read lists do not grow with the number of batches.
+* ``bucket = pmod(xxhash64(key...), n)`` is a partition column: a lookup
+  by key reads the buckets of its keys (partition pruning).
 """
 
 from __future__ import annotations
 
 import os
-import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tidemark.operators.changes import latest_changes
 
-try:  # optional: compute bucket ids on the driver for point lookups
-    import xxhash as _xxhash
-except Exception:  # pragma: no cover
-    _xxhash = None
+_PARTS = ("batch_id", "writer", "bucket")
 
 
 def _join(path: str, *parts: str) -> str:
@@ -39,97 +43,121 @@ def _join(path: str, *parts: str) -> str:
 class PKTable:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = 4,
                  seq: str = "seq", op: str = "op", bucket_keys: list[str] | None = None,
-                 write_fanout: int = 8):
+                 schema: StructType | str | None = None):
         """``bucket_keys`` (default: the key) choose the bucket; a key prefix such
-        as ``user_id`` of a (user_id, order_id) key makes the table an index by user."""
+        as ``user_id`` of a (user_id, order_id) key makes the table an index by user.
+        ``schema`` declares the columns (op, seq, keys, values); without it they are
+        those of the batches written so far, kept with the table. ``buckets`` should
+        make a bucket's state a few hundred MB; files within it follow the data."""
         self.spark, self.path, self.keys, self.buckets = spark, path, list(keys), buckets
         self.seq, self.op = seq, op
         self.bucket_keys = list(bucket_keys or keys)
-        self._log_schema = None  # known after the first write: reads then skip schema inference
-        # writers per bucket: a bucket holding a hot key is written by up to this many tasks
-        self.write_fanout = write_fanout
+        self._declared = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        self._schema: StructType | None = None
 
     # ------------------------------------------------------------ helpers
     def bucket_col(self) -> F.Column:
         return F.pmod(F.xxhash64(*[F.col(k) for k in self.bucket_keys]), F.lit(self.buckets)).cast("int")
 
-    def bucket_of(self, key_value) -> int | None:
-        """Bucket of a single BIGINT or STRING key, computed like Spark's xxhash64 (seed 42)."""
-        if _xxhash is None or len(self.bucket_keys) != 1:
-            return None
-        if isinstance(key_value, int):
-            data = struct.pack("<q", key_value)
-        elif isinstance(key_value, str):
-            data = key_value.encode("utf-8")
-        else:
-            return None
-        h = _xxhash.xxh64_intdigest(data, seed=42)
-        if h >= 1 << 63:
-            h -= 1 << 64
-        return h % self.buckets
-
-    def _exists(self, sub: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(_join(self.path, sub))
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return fs.exists(p)
+    def _fs(self, *sub: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(_join(self.path, *sub))
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _versions(self, sub: str, col: str) -> list[int]:
-        if not self._exists(sub):
+    def _numbers(self, col: str, *sub: str) -> list[str]:
+        """Values of the directories ``col=value`` directly under ``sub``."""
+        fs, p = self._fs(*sub)
+        if not fs.exists(p):
             return []
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(_join(self.path, sub))
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [st.getPath().getName() for st in fs.listStatus(p) if st.isDirectory()]
+        return [n.split("=", 1)[1] for n in names if n.startswith(col + "=")]
+
+    def _committed(self, *sub: str) -> bool:
+        fs, p = self._fs(*sub, "_SUCCESS")
+        return fs.exists(p)
+
+    def _snapshots(self) -> list[int]:
+        return sorted(int(v) for v in self._numbers("version", "snapshot")
+                      if self._committed("snapshot", f"version={v}"))
+
+    def _batches(self, after: int = -1, upto: int | None = None) -> list[tuple[int, str]]:
+        """(batch, writer) of the committed log batches in (after, upto]."""
         out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            if st.isDirectory() and name.startswith(col + "="):
-                out.append(int(name.split("=", 1)[1]))
-        return sorted(out)
+        for n in sorted(int(v) for v in self._numbers("batch_id", "log")):
+            if n > after and (upto is None or n <= upto):
+                out += [(n, w) for w in sorted(self._numbers("writer", "log", f"batch_id={n}"))
+                        if self._committed("log", f"batch_id={n}", f"writer={w}")]
+        return out
+
+    def schema(self) -> StructType | None:
+        """The table's columns; None before the first write of an undeclared table."""
+        if self._schema is None:
+            fs, p = self._fs("schema", "_SUCCESS")
+            if fs.exists(p):
+                self._schema = self.spark.read.parquet(_join(self.path, "schema")).schema
+            elif self._declared is not None:
+                self._save_schema(self._declared)
+        return self._schema
+
+    def _save_schema(self, schema: StructType) -> None:
+        (self.spark.createDataFrame([], schema).write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").parquet(_join(self.path, "schema")))
+        self._schema = schema
+
+    def _aligned(self, rows: DataFrame) -> DataFrame:
+        known = self.schema()
+        if known is None:
+            known = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields])
+            self._save_schema(known)
+        new = [StructField(f.name, f.dataType) for f in rows.schema.fields if f.name not in known.names]
+        if new:
+            known = StructType(known.fields + new)
+            self._save_schema(known)
+        return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in known.fields])
 
     # ------------------------------------------------------------- writes
-    def write_batch(self, changes: DataFrame, batch_id: int) -> None:
-        """Append one micro-batch of change rows (op, seq, key…, columns…)."""
-        rows = changes.withColumn("bucket", self.bucket_col()).withColumn(
-            "batch_id", F.lit(int(batch_id)).cast("bigint"))
-        if self._log_schema is None:
-            self._log_schema = rows.schema
-        (self._spread(rows).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id", "bucket").parquet(_join(self.path, "log")))
-
-    def _spread(self, rows: DataFrame) -> DataFrame:
-        """Shuffle rows to writers by (bucket, salt): each bucket directory gets
-        at most ``write_fanout`` files per batch, and a bucket with a hot key is
-        still written by several tasks (salt from the row's seq)."""
-        salt = F.pmod(F.xxhash64(F.col(self.seq), *[F.col(k) for k in self.keys]), F.lit(self.write_fanout))
-        return rows.repartition("bucket", salt)
-
-    def compact(self, version: int | None = None) -> int | None:
+    def write_batch(self, changes: DataFrame, batch_id: int, writer: str = "main") -> None:
+        """Write one micro-batch of change rows (op, seq, key..., columns...)."""
+        self._write(self._aligned(changes), "log", f"batch_id={int(batch_id)}", f"writer={writer}")
+
+    def _write(self, rows: DataFrame, *sub: str) -> None:
+        # rebalanced by bucket: AQE splits a large bucket over several writers and joins small ones
+        (rows.withColumn("bucket", self.bucket_col()).hint("rebalance", "bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(_join(self.path, *sub)))
+
+    def compact(self, version: int | None = None, expire: bool = False, drop_tombstones: bool = False) -> int | None:
         """Rewrite the state as of ``version`` (default: newest batch) as one
-        snapshot; later reads start from it. Tombstones are kept."""
-        batches = self._versions("log", "batch_id")
-        if not batches:
+        snapshot; later reads start from it. ``expire`` removes the log batches and
+        snapshots that the snapshot before it covers. ``drop_tombstones`` forgets
+        deleted keys: for tables whose late changes cannot be older than a snapshot."""
+        batches = self._batches()
+        if not batches and version is None:
             return None
-        v = batches[-1] if version is None else version
-        state = self._latest(v, keep_tombstones=True)
-        (self._spread(state.withColumn("bucket", self.bucket_col())).write.mode("overwrite")
-         .partitionBy("bucket").parquet(_join(self.path, "snapshot", f"version={v}")))
+        v = batches[-1][0] if version is None else version
+        self._write(self._latest(v, keep_tombstones=not drop_tombstones), "snapshot", f"version={v}")
+        if expire:
+            earlier = [s for s in self._snapshots() if s < v]
+            if earlier:
+                self._drop("snapshot", "version", [s for s in earlier[:-1]])
+                self._drop("log", "batch_id", [int(n) for n in self._numbers("batch_id", "log")
+                                               if int(n) <= earlier[-1]])
         return v
 
+    def _drop(self, sub: str, col: str, numbers: list[int]) -> None:
+        for n in numbers:
+            fs, p = self._fs(sub, f"{col}={n}")
+            fs.delete(p, True)
+
     # -------------------------------------------------------------- reads
-    def log(self) -> DataFrame | None:
-        """All change rows with their batch_id and bucket; None while the log has no files."""
-        if not self._versions("log", "batch_id"):
+    def log(self, after: int = -1, upto: int | None = None) -> DataFrame | None:
+        """Change rows of the committed batches in (after, upto] with batch_id, writer
+        and bucket; None where there are none."""
+        dirs = [_join(self.path, "log", f"batch_id={n}", f"writer={w}") for n, w in self._batches(after, upto)]
+        if not dirs:
             return None
-        if self._log_schema is not None:
-            # batch_id / bucket are partition columns: keep them last, as discovery would
-            fields = [f for f in self._log_schema.fields if f.name not in ("batch_id", "bucket")]
-            by_name = {f.name: f for f in self._log_schema.fields}
-            from pyspark.sql.types import StructType
-            schema = StructType(fields + [by_name["batch_id"], by_name["bucket"]])
-            return self.spark.read.schema(schema).parquet(_join(self.path, "log"))
-        return self.spark.read.parquet(_join(self.path, "log"))
+        schema = StructType(self.schema().fields + [
+            StructField("batch_id", LongType()), StructField("writer", StringType()), StructField("bucket", IntegerType())])
+        return self.spark.read.schema(schema).option("basePath", _join(self.path, "log")).parquet(*dirs)
 
     def _restrict(self, df: DataFrame, only: DataFrame | None) -> DataFrame:
         """Rows whose bucket-key values occur in ``only``: a semi join on the
@@ -138,30 +166,25 @@ class PKTable:
         then on the bucket keys themselves."""
         if only is None:
             return df
-        keys = only.select(*self.bucket_keys).distinct()
+        types = {f.name: f.dataType for f in self.schema().fields}
+        keys = only.select(*[F.col(k).cast(types[k]).alias(k) for k in self.bucket_keys]).distinct()
         bset = F.broadcast(keys.select(self.bucket_col().alias("bucket")).distinct())
         return df.join(bset, "bucket", "left_semi").join(keys, self.bucket_keys, "left_semi")
 
     def _changes_upto(self, version: int | None, only: DataFrame | None = None) -> DataFrame | None:
-        snaps = [s for s in self._versions("snapshot", "version") if version is None or s <= version]
-        parts = []
-        start = -1
+        snaps = [s for s in self._snapshots() if version is None or s <= version]
+        parts, start = [], -1
         if snaps:
             start = snaps[-1]
-            snap = self.spark.read.parquet(_join(self.path, "snapshot", f"version={start}"))
+            schema = StructType(self.schema().fields + [StructField("bucket", IntegerType())])
+            snap = self.spark.read.schema(schema).parquet(_join(self.path, "snapshot", f"version={start}"))
             parts.append(self._restrict(snap, only).drop("bucket"))
-        lg = self.log() if self._exists("log") else None
+        lg = self.log(start, version)
         if lg is not None:
-            lg = self._restrict(lg.where(F.col("batch_id") > start), only)
-            if version is not None:
-                lg = lg.where(F.col("batch_id") <= version)
-            parts.append(lg.drop("bucket", "batch_id"))
+            parts.append(self._restrict(lg, only).drop(*_PARTS))
         if not parts:
             return None
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _latest(self, version: int | None, keep_tombstones: bool = False,
                 only: DataFrame | None = None) -> DataFrame:
@@ -176,34 +199,19 @@ class PKTable:
         return self._latest(None)
 
     def as_of(self, version: int, only: DataFrame | None = None) -> DataFrame:
-        """State after batch ``version`` — time travel over the change log.
+        """State after batch ``version`` - time travel over the change log.
         ``only``: restrict to the rows whose bucket keys occur in that frame."""
         return self._latest(version, only=only)
 
-    def lookup(self, key_values: list) -> DataFrame:
-        """Point lookup of keys: reads only the buckets of those keys (partition
-        pruning on the bucket column; falls back to a key filter over all
-        buckets when the bucket cannot be computed on the driver)."""
-        k = self.keys[0]
-        buckets = sorted({self.bucket_of(v) for v in key_values}, key=lambda b: (b is None, b))
-        if not buckets or None in buckets:
-            ch = self._changes_upto(None)
-        else:
-            parts = []
-            snaps = self._versions("snapshot", "version")
-            start = snaps[-1] if snaps else -1
-            if snaps:
-                snap = self.spark.read.parquet(_join(self.path, "snapshot", f"version={start}"))
-                parts.append(snap.where(F.col("bucket").isin(buckets)).drop("bucket"))
-            lg = self.log()
-            if lg is not None:
-                parts.append(lg.where((F.col("bucket").isin(buckets)) & (F.col("batch_id") > start))
-                             .drop("bucket", "batch_id"))
-            ch = None
-            for p in parts:
-                ch = p if ch is None else ch.unionByName(p, allowMissingColumns=True)
-        if ch is None:
-            raise FileNotFoundError(self.path)
-        ch = ch.where(F.col(k).isin(list(key_values)))
-        w = latest_changes(ch, self.keys, self.seq, self.op)
-        return w.where(F.col(self.op) != "d")
+    def lookup(self, key_values: list | DataFrame) -> DataFrame:
+        """Current rows of the given keys (values, tuples for a composite key, or a frame
+        with the key columns): reads only the buckets of those keys."""
+        if not isinstance(key_values, DataFrame):
+            schema = self.schema()
+            if schema is None:
+                raise FileNotFoundError(self.path)
+            rows = [v if isinstance(v, (tuple, list)) else (v,) for v in key_values]
+            key_values = self.spark.createDataFrame(rows, StructType([schema[k] for k in self.keys]))
+        types = {f.name: f.dataType for f in self.schema().fields}
+        keys = key_values.select(*[F.col(k).cast(types[k]).alias(k) for k in self.keys]).distinct()
+        return self._latest(None, only=keys).join(keys, self.keys, "left_semi")
