@@ -64,17 +64,6 @@ def hours_between(start: str | Column, end: str | Column) -> Column:
     return F.timestamp_diff("HOUR", col(start), col(end))
 
 
-def epoch_hours(start: str | Column, end: str | Column) -> Column:
-    """Fractional hours, as EXTRACT(EPOCH FROM end - start) / 3600."""
-    secs = (F.unix_micros(F.to_timestamp(col(end))) - F.unix_micros(F.to_timestamp(col(start))))
-    return secs.cast("double") / F.lit(3_600_000_000.0)
-
-
-def epoch_seconds(start: str | Column, end: str | Column) -> Column:
-    secs = (F.unix_micros(F.to_timestamp(col(end))) - F.unix_micros(F.to_timestamp(col(start))))
-    return secs.cast("double") / F.lit(1_000_000.0)
-
-
 def count_if(cond: Column) -> Column:
     """COUNT(CASE WHEN cond THEN 1 END)."""
     return F.count(F.when(cond, F.lit(1)))
@@ -100,11 +89,6 @@ def churn_alert(last_order_days: Column) -> Column:
             .otherwise("正常"))
 
 
-def hour_label(ts: Column) -> Column:
-    """'yyyy-MM-dd H:00' with the hour not zero-padded (as the reference builds it)."""
-    return F.concat(F.to_date(ts).cast("string"), F.lit(" "), F.hour(ts).cast("string"), F.lit(":00"))
-
-
 # ------------------------------------------------------------- grid domain
 
 def frequency_stability(freq: Column) -> Column:

@@ -53,7 +53,7 @@ def dwd_power_equipment(equipment: DataFrame, small: float = 100, large: float =
         "equipment_id", "equipment_name", "equipment_type",
         _map(F.col("equipment_type"), TYPE_CODES, "OT").alias("equipment_type_code"),
         "location", F.substring(loc, 1, 2).alias("province"), F.substring(loc, 1, 2).alias("city"),
-        F.when(F.length(loc) > 2, F.substring(loc, 3, 1 << 20)).alias("district"),
+        F.when(F.length(loc) > 2, F.substr(loc, F.lit(3))).alias("district"),
         "voltage_level", vcode.alias("voltage_level_code"), "capacity_mw",
         F.when(cap < small, CAPACITY_LEVELS[0]).when(cap < large, CAPACITY_LEVELS[1])
         .otherwise(CAPACITY_LEVELS[2]).alias("capacity_level"),
@@ -73,7 +73,16 @@ def dwd_power_monitoring(monitoring: DataFrame, equipment: DataFrame) -> DataFra
     √(P²+Q²), power factor P/S, frequency deviation from 50 Hz, calendar parts,
     peak hour (08–11, 17–21) and working day (Mon–Fri)."""
     e = equipment.select(F.col("equipment_id").alias("e_id"), "equipment_name", "equipment_type")
-    m = monitoring.join(e, monitoring.equipment_id == e.e_id, "left")
+    return _readings(monitoring.join(e, monitoring.equipment_id == e.e_id, "left"), ["equipment_name", "equipment_type"])
+
+
+def reading_facts(monitoring: DataFrame) -> DataFrame:
+    """The DWD readings for consumers that read no equipment column: ``equipment_id`` is the
+    equipment's key, so the left join keeps one row per reading and can be left out."""
+    return _readings(monitoring, [])
+
+
+def _readings(m: DataFrame, dimension: list[str]) -> DataFrame:
     va, vb, vc = F.col("voltage_a"), F.col("voltage_b"), F.col("voltage_c")
     ca, cb, cc = F.col("current_a"), F.col("current_b"), F.col("current_c")
     vavg, cavg = (va + vb + vc) / 3, (ca + cb + cc) / 3
@@ -82,7 +91,7 @@ def dwd_power_monitoring(monitoring: DataFrame, equipment: DataFrame) -> DataFra
     t = F.col("monitoring_time")
     hr = F.hour(t)
     return m.select(
-        "monitoring_id", "equipment_id", "equipment_name", "equipment_type",
+        "monitoring_id", "equipment_id", *dimension,
         va, vb, vc, F.round(vavg, 2).alias("voltage_avg"), _imbalance(va, vb, vc, vavg).alias("voltage_imbalance"),
         ca, cb, cc, F.round(cavg, 2).alias("current_avg"), _imbalance(ca, cb, cc, cavg).alias("current_imbalance"),
         p, q, F.round(R.safe_div(p, s), 4).alias("power_factor"), F.round(s, 2).alias("power_apparent"),
@@ -95,9 +104,17 @@ def dwd_power_monitoring(monitoring: DataFrame, equipment: DataFrame) -> DataFra
 
 def dwd_equipment_alarms(alarms: DataFrame, equipment: DataFrame) -> DataFrame:
     e = equipment.select(F.col("equipment_id").alias("e_id"), "equipment_name", "equipment_type")
-    a = alarms.join(e, alarms.equipment_id == e.e_id, "left")
+    return _alarms(alarms.join(e, alarms.equipment_id == e.e_id, "left"), ["equipment_name", "equipment_type"])
+
+
+def alarm_facts(alarms: DataFrame) -> DataFrame:
+    """The DWD alarms for consumers that read no equipment column (see ``reading_facts``)."""
+    return _alarms(alarms, [])
+
+
+def _alarms(a: DataFrame, dimension: list[str]) -> DataFrame:
     return a.select(
-        "alarm_id", "equipment_id", "equipment_name", "equipment_type", "alarm_type", "alarm_level",
+        "alarm_id", "equipment_id", *dimension, "alarm_type", "alarm_level",
         _map(F.col("alarm_level"), LEVEL_NAMES).alias("alarm_level_name"), "alarm_message", "alarm_code",
         _map(F.col("alarm_type"), ALARM_CATEGORIES, "其他").alias("alarm_category"), "is_resolved",
         R.minutes_between("occurred_at", "resolved_at").cast("int").alias("resolution_time_minutes"),
@@ -149,13 +166,12 @@ def _abnormal(v: F.Column, f: F.Column) -> F.Column:
     return ~v.between(200, 240) | ~f.between(49.5, 50.5)
 
 
-def equipment_daily_summary(dmon: DataFrame, equipment: DataFrame) -> DataFrame:
+def equipment_daily_summary(readings: DataFrame, equipment: DataFrame) -> DataFrame:
     """Per equipment and day: voltage/current/power statistics, sample std of
     voltage, abnormal readings (voltage outside 200–240 or frequency outside
     49.5–50.5), uptime = hours with a reading, utilisation = mean power / capacity."""
     v = F.col("voltage_avg")
-    g = dmon.groupBy("equipment_id", "equipment_name", "equipment_type",
-                     F.col("monitoring_date").alias("summary_date")).agg(
+    g = readings.groupBy("equipment_id", F.col("monitoring_date").alias("summary_date")).agg(
         R.avg_round(v, 2, 2).alias("voltage_avg"), F.max(v).alias("voltage_max"), F.min(v).alias("voltage_min"),
         F.round(F.stddev_samp(v), 4).alias("voltage_std"),
         R.avg_round("current_avg", 2, 2).alias("current_avg"), F.max("current_avg").alias("current_max"),
@@ -165,18 +181,20 @@ def equipment_daily_summary(dmon: DataFrame, equipment: DataFrame) -> DataFrame:
         R.avg_round("power_factor", 4, 4).alias("power_factor_avg"),
         R.avg_round("frequency", 2, 3).alias("frequency_avg"),
         R.avg_round("temperature", 2, 2).alias("temperature_avg"), F.max("temperature").alias("temperature_max"),
-        F.count(F.lit(1)).cast("int").alias("monitoring_count"),
-        R.count_if(_abnormal(v, F.col("frequency"))).cast("int").alias("abnormal_count"),
+        F.count(F.lit(1)).alias("monitoring_count"),
+        R.count_if(_abnormal(v, F.col("frequency"))).alias("abnormal_count"),
         # hours with a reading: a 24-bit mask per group (no distinct aggregate)
         F.bit_count(F.bit_or(F.pow(F.lit(2), F.col("monitoring_hour")).cast("bigint"))).cast("double")
         .alias("uptime_hours"),
         F.sum("power_active").alias("_p_sum"), F.count("power_active").alias("_p_n"))
-    cap = equipment.select(F.col("equipment_id").alias("c_eid"), "capacity_mw")
+    # one join per group, not per reading
+    cap = equipment.select(F.col("equipment_id").alias("c_eid"), "equipment_name", "equipment_type", "capacity_mw")
     j = g.join(cap, g.equipment_id == cap.c_eid, "left")
     return j.select(
         (F.col("equipment_id") * 100000 + F.datediff("summary_date", F.lit("1970-01-01").cast("date")))
         .alias("summary_id"),
-        *[c for c in g.columns if not c.startswith("_")],
+        "equipment_id", "equipment_name", "equipment_type",
+        *[c for c in g.columns if not c.startswith("_") and c != "equipment_id"],
         F.round(R.safe_div(F.col("_p_sum") / F.col("_p_n"), F.nullif(F.col("capacity_mw"), F.lit(0.0))), 4)
         .alias("utilization_rate"))
 
@@ -185,14 +203,14 @@ def alarm_daily_summary(dalarms: DataFrame) -> DataFrame:
     lvl = F.col("alarm_level")
     g = dalarms.groupBy(F.col("occurred_date").alias("summary_date"), "equipment_type", "alarm_type",
                         "alarm_level").agg(
-        F.count(F.lit(1)).cast("int").alias("total_alarms"),
-        R.count_if(F.col("is_resolved")).cast("int").alias("resolved_alarms"),
-        R.count_if(~F.col("is_resolved")).cast("int").alias("unresolved_alarms"),
+        F.count(F.lit(1)).alias("total_alarms"),
+        R.count_if(F.col("is_resolved")).alias("resolved_alarms"),
+        R.count_if(~F.col("is_resolved")).alias("unresolved_alarms"),
         F.round(F.avg("resolution_time_minutes"), 2).alias("avg_resolution_time_minutes"),
         F.max("resolution_time_minutes").alias("max_resolution_time_minutes"),
-        R.count_if(lvl >= 4).cast("int").alias("critical_alarms"),
-        R.count_if(lvl.isin(2, 3)).cast("int").alias("warning_alarms"),
-        R.count_if(lvl == 1).cast("int").alias("info_alarms"))
+        R.count_if(lvl >= 4).alias("critical_alarms"),
+        R.count_if(lvl.isin(2, 3)).alias("warning_alarms"),
+        R.count_if(lvl == 1).alias("info_alarms"))
     return g
 
 
@@ -230,12 +248,12 @@ def equipment_dashboard(dequip: DataFrame, dalarms: DataFrame, latest: DataFrame
     crit, act = F.col("critical_alarms"), F.col("total_active_alarms")
     return w.select(
         F.lit(int(d.strftime("%Y%m%d"))).cast("bigint").alias("dashboard_id"),
-        *[F.col(n).cast("int").alias(n) for n in names_e[:4]],
+        *[F.col(n).cast("bigint").alias(n) for n in names_e[:4]],
         F.round(F.col("total_capacity_mw"), 2).alias("total_capacity_mw"),
         F.round(F.col("active_capacity_mw"), 2).alias("active_capacity_mw"),
         F.round(R.safe_div(F.col("active_power"), F.nullif(F.col("active_capacity_mw"), F.lit(0.0))), 4)
         .alias("load_rate"),
-        *[F.col(n).cast("int").alias(n) for n in names_a],
+        *[F.col(n).cast("bigint").alias(n) for n in names_a],
         F.round(F.col("avg_voltage_220kv"), 2).alias("avg_voltage_220kv"),
         F.round(F.col("avg_voltage_110kv"), 2).alias("avg_voltage_110kv"),
         F.round(F.col("avg_frequency"), 3).alias("avg_frequency"),

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
@@ -148,7 +148,7 @@ def smart_grid_summary(dispatch_ods: DataFrame, device_ods: DataFrame) -> DataFr
         (F.col("emergency_level") == "CRITICAL").alias("crit"),
         F.col("emergency_level").isin("HIGH", "CRITICAL").alias("emerg"))
     dg = d.groupBy("_p", "grid_region", "time_window").agg(
-        F.count(F.lit(1)).alias("nd"), F.sum("bal").alias("s_bal"),
+        F.count(F.lit(1)).alias("nd"), F.sum("bal").alias("s_bal"), F.count("bal").alias("n_bal"),
         R.count_if(F.col("stable")).alias("nd_stable"), R.count_if(F.col("kv600")).alias("nd_kv600"),
         F.sum("ratio").alias("s_ratio"), F.count("ratio").alias("n_ratio"),
         R.count_if(F.col("crit")).alias("nd_crit"), R.count_if(F.col("emerg")).alias("nd_emerg"))
@@ -161,7 +161,8 @@ def smart_grid_summary(dispatch_ods: DataFrame, device_ods: DataFrame) -> DataFr
     # one row per region prefix
     vg = v.groupBy("_p").agg(
         F.count(F.lit(1)).alias("nv"), R.count_if(F.col("v230")).alias("nv_v230"),
-        F.sum("health").alias("s_health"), F.sum("eff").alias("s_eff"),
+        F.sum("health").alias("s_health"), F.count("health").alias("n_health"),
+        F.sum("eff").alias("s_eff"), F.count("eff").alias("n_eff"),
         R.count_if(F.col("hot")).alias("nv_hot"))
     j = dg.join(vg, "_p", "inner")
     pairs = F.col("nd") * F.col("nv")
@@ -169,11 +170,11 @@ def smart_grid_summary(dispatch_ods: DataFrame, device_ods: DataFrame) -> DataFr
         F.concat(F.lit("SUMMARY_"), F.col("grid_region"), F.lit("_"), F.col("time_window")).alias("summary_id"),
         "grid_region", "time_window",
         F.col("nd").alias("total_dispatches"), F.col("nv").alias("total_devices"),
-        R.r6(F.col("s_bal") / F.col("nd")).alias("avg_supply_demand_balance"),
+        R.r6(F.try_divide("s_bal", "n_bal")).alias("avg_supply_demand_balance"),
         R.r6(F.col("nd_stable") * 100.0 / F.col("nd")).alias("frequency_stability_rate"),
         R.r6(F.col("nd_kv600") * F.col("nv_v230") * 100.0 / pairs).alias("voltage_quality_rate"),
-        R.r6(F.col("s_health") / F.col("nv")).alias("avg_device_health"),
-        R.r6(F.col("s_ratio") * F.col("s_eff") * 100.0 / (F.col("n_ratio") * F.col("nv")))
+        R.r6(F.try_divide("s_health", "n_health")).alias("avg_device_health"),
+        R.r6(F.try_divide(F.col("s_ratio") * F.col("s_eff") * 100.0, F.col("n_ratio") * F.col("n_eff")))
         .alias("grid_efficiency_score"),
         (F.col("nd_crit") * F.col("nv") + (F.col("nd") - F.col("nd_crit")) * F.col("nv_hot"))
         .alias("high_risk_incidents"),
@@ -354,8 +355,8 @@ def region_report_extended(devices: DataFrame, as_of: dt.datetime) -> DataFrame:
 # ------------------------------------------------------- dashboard queries on results
 
 def status_share(summary_rows: DataFrame) -> DataFrame:
-    """status, count, ROUND(share %, 2); the denominator is a scalar subquery."""
-    total = summary_rows.select(F.count(F.lit(1))).scalar()
+    """status, count, ROUND(share %, 2); the denominator is the sum of the grouped rows (one per status)."""
+    total = F.sum("device_count").over(Window.partitionBy())
     g = summary_rows.groupBy("status").agg(F.count(F.lit(1)).alias("device_count"))
     return g.select("status", "device_count",
                     F.round(F.col("device_count") * 100.0 / total, 2).alias("share_pct")) \

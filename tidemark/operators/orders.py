@@ -85,6 +85,7 @@ def dwd_user_orders(dusers: DataFrame, dorders: DataFrame, as_of) -> DataFrame:
 
 
 def dwd_order_details(dorders: DataFrame, ditems: DataFrame, as_of) -> DataFrame:
+    """Orders with their items. ``ditems`` may be the item facts: no order or user column of the items is read."""
     o = dorders.select(F.col("order_id").alias("o_order_id"), F.col("user_id"), "username",
                        "order_amount", "order_status", F.col("created_at").alias("order_time"))
     i = ditems.select("order_id", "l_linenumber", "item_partkey", "item_suppkey",
@@ -97,14 +98,18 @@ def dwd_order_details(dorders: DataFrame, ditems: DataFrame, as_of) -> DataFrame
 
 # ------------------------------------------------------------------- DWS
 
-def user_stats(dorders: DataFrame, as_of) -> DataFrame:
-    """Per user over all orders: count, sum, mean amount, latest order time."""
-    return dorders.groupBy("user_id", "username").agg(
+def user_stats(dorders: DataFrame, dusers: DataFrame, as_of) -> DataFrame:
+    """Per user over all orders: count, sum, mean amount, latest order time. Orders
+    are aggregated before the users' names are joined, one row per user."""
+    per_user = dorders.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.sum("order_amount").cast("double").alias("total_amount"),
         R.avg_exact("order_amount").alias("avg_order_amount"),
-        F.max("created_at").alias("last_order_date"),
-    ).withColumn("etl_time", _ts(as_of))
+        F.max("created_at").alias("last_order_date"))
+    names = dusers.select(F.col("user_id").alias("u_id"), "username")
+    return per_user.join(names, F.col("user_id") == F.col("u_id"), "left").select(
+        "user_id", "username", "total_orders", "total_amount", "avg_order_amount", "last_order_date",
+        _ts(as_of).alias("etl_time"))
 
 
 def user_stats_left(dusers: DataFrame, dorders: DataFrame, as_of) -> DataFrame:

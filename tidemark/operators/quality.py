@@ -90,7 +90,7 @@ def latency_stats(dispatch_ods: DataFrame, device_ods: DataFrame, as_of: dt.date
     w = weighted_dispatch(dispatch_ods, device_ods, minus(as_of, minutes))
     lag_us = F.unix_micros(F.to_timestamp(ts_lit(as_of))) - F.unix_micros(F.to_timestamp(F.col("event_time")))
     return w.agg(
-        (F.sum(lag_us * F.col("nv")).cast("double") / F.sum("nv") / F.lit(1e6)).alias("avg_delay_seconds"),
+        (F.sum(lag_us.cast("decimal(38,0)") * F.col("nv")).cast("double") / F.sum("nv") / F.lit(1e6)).alias("avg_delay_seconds"),
         (F.max(lag_us).cast("double") / F.lit(1e6)).alias("max_delay_seconds"),
         (F.min(lag_us).cast("double") / F.lit(1e6)).alias("min_delay_seconds"),
     ).select(F.lit(MON_LATENCY).alias("monitor_type"), "*")

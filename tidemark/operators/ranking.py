@@ -55,4 +55,4 @@ def global_rank(df: DataFrame, order: list[Column], out_col: str, method: str =
         F.min(out_col).alias("_first"))
     cond = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in ties]
     out = rn.join(first, cond, "inner")
-    return out.select(*cols, F.col("_first").cast("int").alias(out_col))
+    return out.select(*cols, F.col("_first").alias(out_col))

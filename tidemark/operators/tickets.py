@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
@@ -164,14 +164,14 @@ def agent_ranking(agents: DataFrame, tickets: DataFrame, as_of: dt.datetime) ->
         F.col("resolved_tickets").cast("double").alias("rank_value"))
     r = global_rank(j, [F.col("rank_value").desc(), F.col("agent_id").asc()], "ranking")
     return r.select("agent_id", "agent_name", "department", "rank_type", "rank_value",
-                    F.col("ranking").cast("int").alias("ranking"),
+                    "ranking",
                     ts_lit(as_of).alias("update_time"))
 
 
 def status_distribution(tickets: DataFrame) -> DataFrame:
-    """count and share of total per status; the total is a scalar subquery
-    (computed once, shipped as a value — no single-partition window)."""
-    total = tickets.select(F.count(F.lit(1))).scalar()
+    """count and share of total per status; the total is summed over the grouped
+    rows (one per status), so the tickets are read once."""
+    total = F.sum("ticket_count").over(Window.partitionBy())
     g = tickets.groupBy("status").agg(F.count(F.lit(1)).alias("ticket_count"))
     return g.withColumn("percentage", F.col("ticket_count") * 100.0 / total).orderBy(
         F.col("ticket_count").desc())
@@ -192,7 +192,7 @@ def open_tickets(tickets: DataFrame) -> DataFrame:
 
 def pending_tickets(tickets: DataFrame) -> DataFrame:
     return tickets.where(_st("pending")).select(
-        "ticket_id", "customer_id", "agent_id", "title", "priority", "status", "created_at")
+        "ticket_id", "agent_id", "title", "priority", "status", "created_at", "updated_at").orderBy("ticket_id")
 
 
 def hourly_ticket_trend(tickets: DataFrame, as_of: dt.datetime) -> DataFrame:

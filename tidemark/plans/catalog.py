@@ -47,8 +47,6 @@ class Ctx:
     @property
     def orders(self): return bind.orders(self.t)
     @property
-    def orders_urgent(self): return bind.orders(self.t, urgent_only=True)
-    @property
     def items(self): return bind.order_items(self.t)
     @property
     def agents(self): return bind.agents(self.t)
@@ -84,7 +82,8 @@ def register(name: str, sql: str | None = None, extra_ctes: dict[str, str] | Non
 def _load_all() -> None:
     # importing the query modules fills the registry
     from tidemark.plans import (  # noqa: F401
-        q_changes, q_equipment, q_grid, q_monitors, q_orders, q_scenarios, q_sinks, q_streaming, q_tickets)
+        q_changes, q_equipment, q_grid, q_monitors, q_orders, q_scenarios, q_sinks, q_state, q_streaming,
+        q_tickets)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -71,9 +71,25 @@ def q_append_log(c):
     return C.append_log(logs.unionByName(redelivered), "log_id")
 
 
-@register("cdc_sync_equipment", sql=f"SELECT *, {TS} AS sync_timestamp FROM ({_latest_sql('r_changes')}) s")
+@register("cdc_sync_equipment", sql=f"""
+    SELECT e.equipment_id, e.equipment_name, coalesce(a.status, e.status) AS status,
+        coalesce(a.at, TIMESTAMP '2015-01-01') AS updated_at, {TS} AS sync_timestamp
+    FROM r_equipment e LEFT JOIN (SELECT equipment_id, 'ALARM' AS status, max(occurred_at) AS at
+        FROM r_alarms GROUP BY equipment_id) a USING (equipment_id)
+    WHERE e.status <> 'INACTIVE'""")
 def q_cdc_sync_equipment(c):
-    return C.sync_with_timestamp(C.apply_changes(c.changes, ["id"]), c.events_as_of)
+    """Change rows of the equipment table: every unit is created, one with alarms is updated (its status, and
+    updated_at by the table's trigger rule), an inactive one is deleted; the sync keeps the current rows."""
+    cols = ["op", "seq", "equipment_id", "equipment_name", "status", "updated_at"]
+    unit = c.equipment.select("equipment_id", "equipment_name", "status",
+                              F.lit("2015-01-01 00:00:00").cast("timestamp_ntz").alias("updated_at"))
+    made = unit.select(F.lit("c").alias("op"), F.lit(1).alias("seq"), *cols[2:])
+    last = c.alarms.groupBy("equipment_id").agg(F.max("occurred_at").alias("at"))
+    hit = C.touch_updated_at(unit.join(last, "equipment_id").withColumn("status", F.lit("ALARM")), F.col("at"))
+    changed = hit.select(F.lit("u").alias("op"), F.lit(2).alias("seq"), *cols[2:])
+    gone = unit.where("status = 'INACTIVE'").select(F.lit("d").alias("op"), F.lit(3).alias("seq"), *cols[2:])
+    state = C.apply_changes(made.unionByName(changed).unionByName(gone), ["equipment_id"])
+    return C.sync_with_timestamp(state.drop("op", "seq"), c.events_as_of)
 
 
 @register("key_uniqueness", sql="""SELECT order_id, l_linenumber, COUNT(*) AS row_count FROM r_items

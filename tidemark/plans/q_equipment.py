@@ -58,12 +58,13 @@ CTES = {
         CAST(a.occurred_at AS DATE) AS occurred_date, hour(a.occurred_at) AS occurred_hour,
         a.occurred_at, a.resolved_at
         FROM r_alarms a LEFT JOIN r_equipment e ON a.equipment_id = e.equipment_id""",
-    "r_latest": f"""SELECT e.equipment_id, e.equipment_name, e.equipment_type, e.location, e.voltage_level,
-        e.capacity_mw, e.status, m.voltage_avg, m.current_avg, m.power_active, m.power_factor,
-        m.frequency, m.temperature, m.monitoring_time,
-        CASE WHEN m.monitoring_time > {TS} - INTERVAL 10 MINUTE THEN 'ONLINE' ELSE 'OFFLINE' END AS connection_status
-        FROM r_dequip e LEFT JOIN r_dmon m ON e.equipment_id = m.equipment_id
-        WHERE m.monitoring_time = (SELECT MAX(monitoring_time) FROM r_dmon WHERE equipment_id = e.equipment_id)""",
+    "r_latest": f"""WITH newest AS (SELECT equipment_id, voltage_avg, current_avg, power_active, power_factor, frequency,
+            temperature, monitoring_time FROM r_dmon
+            QUALIFY rank() OVER (PARTITION BY equipment_id ORDER BY monitoring_time DESC) = 1)
+        SELECT equipment_id, equipment_name, equipment_type, location, voltage_level, capacity_mw, status,
+        newest.* EXCLUDE (equipment_id),
+        ['OFFLINE', 'ONLINE'][1 + (epoch_us({TS}) - epoch_us(monitoring_time) < 600000000)::INT] AS connection_status
+        FROM newest JOIN r_dequip USING (equipment_id)""",
 }
 
 
@@ -75,12 +76,20 @@ def _dmon(c):
     return E.dwd_power_monitoring(c.monitoring, c.equipment)
 
 
+def _mfacts(c):
+    return E.reading_facts(c.monitoring)
+
+
+def _afacts(c):
+    return E.alarm_facts(c.alarms)
+
+
 def _dalarms(c):
     return E.dwd_equipment_alarms(c.alarms, c.equipment)
 
 
 def _latest(c):
-    return E.latest_status(_dequip(c), _dmon(c), c.events_as_of)
+    return E.latest_status(_dequip(c), _mfacts(c), c.events_as_of)
 
 
 @register("dwd_power_equipment", sql="SELECT * FROM r_dequip", extra_ctes=CTES)
@@ -103,12 +112,10 @@ def q_latest_status(c):
     return _latest(c)
 
 
-@register("alarm_statistics", sql="""SELECT equipment_type, alarm_type, alarm_level,
-    COUNT(*) AS total_count, COUNT(CASE WHEN is_resolved = TRUE THEN 1 END) AS resolved_count,
-    COUNT(CASE WHEN is_resolved = FALSE THEN 1 END) AS unresolved_count,
-    AVG(resolution_time_minutes) AS avg_resolution_time
-    FROM r_dalarms WHERE occurred_at >= DATE '2023-12-31'
-    GROUP BY equipment_type, alarm_type, alarm_level""", extra_ctes=CTES)
+@register("alarm_statistics", sql="""WITH a AS (SELECT equipment_type, alarm_type, alarm_level, count(*) AS total_count,
+        sum(is_resolved::INT)::BIGINT AS resolved_count, avg(resolution_time_minutes) AS avg_resolution_time
+        FROM r_dalarms WHERE occurred_date >= DATE '2023-12-31' GROUP BY ALL)
+    SELECT *, total_count - resolved_count AS unresolved_count FROM a""", extra_ctes=CTES)
 def q_alarm_statistics(c):
     return E.alarm_statistics(_dalarms(c), c.events_as_of)
 
@@ -128,39 +135,39 @@ def q_alarm_statistics(c):
         MAX(power_active) AS power_active_max, MIN(power_active) AS power_active_min,
         {avg_half_up('power_factor', 4, 4)} AS power_factor_avg, {avg_half_up('frequency', 2, 3)} AS frequency_avg,
         {avg_half_up('temperature', 2, 2)} AS temperature_avg, MAX(temperature) AS temperature_max,
-        CAST(COUNT(*) AS INTEGER) AS monitoring_count,
+        CAST(COUNT(*) AS BIGINT) AS monitoring_count,
         CAST(COUNT(CASE WHEN NOT (voltage_avg BETWEEN 200 AND 240) OR NOT (frequency BETWEEN 49.5 AND 50.5)
-             THEN 1 END) AS INTEGER) AS abnormal_count,
+             THEN 1 END) AS BIGINT) AS abnormal_count,
         CAST(COUNT(DISTINCT monitoring_hour) AS DOUBLE) AS uptime_hours,
         SUM(power_active) AS p_sum, COUNT(power_active) AS p_n
         FROM r_dmon GROUP BY equipment_id, equipment_name, equipment_type, monitoring_date) g
     LEFT JOIN r_equipment c ON g.equipment_id = c.equipment_id""", extra_ctes=CTES)
 def q_equipment_daily_summary(c):
-    return E.equipment_daily_summary(_dmon(c), c.equipment)
+    return E.equipment_daily_summary(_mfacts(c), c.equipment)
 
 
 @register("alarm_daily_summary", sql="""SELECT occurred_date AS summary_date, equipment_type,
-    alarm_type, alarm_level, CAST(COUNT(*) AS INTEGER) AS total_alarms,
-    CAST(COUNT(CASE WHEN is_resolved THEN 1 END) AS INTEGER) AS resolved_alarms,
-    CAST(COUNT(CASE WHEN NOT is_resolved THEN 1 END) AS INTEGER) AS unresolved_alarms,
+    alarm_type, alarm_level, CAST(COUNT(*) AS BIGINT) AS total_alarms,
+    CAST(COUNT(CASE WHEN is_resolved THEN 1 END) AS BIGINT) AS resolved_alarms,
+    CAST(COUNT(CASE WHEN NOT is_resolved THEN 1 END) AS BIGINT) AS unresolved_alarms,
     round(AVG(resolution_time_minutes), 2) AS avg_resolution_time_minutes,
     MAX(resolution_time_minutes) AS max_resolution_time_minutes,
-    CAST(COUNT(CASE WHEN alarm_level >= 4 THEN 1 END) AS INTEGER) AS critical_alarms,
-    CAST(COUNT(CASE WHEN alarm_level IN (2, 3) THEN 1 END) AS INTEGER) AS warning_alarms,
-    CAST(COUNT(CASE WHEN alarm_level = 1 THEN 1 END) AS INTEGER) AS info_alarms
+    CAST(COUNT(CASE WHEN alarm_level >= 4 THEN 1 END) AS BIGINT) AS critical_alarms,
+    CAST(COUNT(CASE WHEN alarm_level IN (2, 3) THEN 1 END) AS BIGINT) AS warning_alarms,
+    CAST(COUNT(CASE WHEN alarm_level = 1 THEN 1 END) AS BIGINT) AS info_alarms
     FROM r_dalarms GROUP BY occurred_date, equipment_type, alarm_type, alarm_level""", extra_ctes=CTES)
 def q_alarm_daily_summary(c):
     return E.alarm_daily_summary(_dalarms(c))
 
 
 @register("equipment_dashboard", sql=f"""SELECT 20240130 AS dashboard_id,
-    CAST(total_equipment AS INTEGER) AS total_equipment, CAST(online_equipment AS INTEGER) AS online_equipment,
-    CAST(offline_equipment AS INTEGER) AS offline_equipment,
-    CAST(maintenance_equipment AS INTEGER) AS maintenance_equipment,
+    CAST(total_equipment AS BIGINT) AS total_equipment, CAST(online_equipment AS BIGINT) AS online_equipment,
+    CAST(offline_equipment AS BIGINT) AS offline_equipment,
+    CAST(maintenance_equipment AS BIGINT) AS maintenance_equipment,
     round(total_capacity_mw, 2) AS total_capacity_mw, round(active_capacity_mw, 2) AS active_capacity_mw,
     round(active_power / NULLIF(active_capacity_mw, 0), 4) AS load_rate,
-    CAST(total_active_alarms AS INTEGER) AS total_active_alarms,
-    CAST(critical_alarms AS INTEGER) AS critical_alarms, CAST(warning_alarms AS INTEGER) AS warning_alarms,
+    CAST(total_active_alarms AS BIGINT) AS total_active_alarms,
+    CAST(critical_alarms AS BIGINT) AS critical_alarms, CAST(warning_alarms AS BIGINT) AS warning_alarms,
     round(avg_voltage_220kv, 2) AS avg_voltage_220kv, round(avg_voltage_110kv, 2) AS avg_voltage_110kv,
     round(avg_frequency, 3) AS avg_frequency,
     CASE WHEN critical_alarms > 0 THEN '{E.SYSTEM_STATUS[2]}' WHEN total_active_alarms > 0
@@ -183,7 +190,7 @@ def q_alarm_daily_summary(c):
             AVG(frequency) AS avg_frequency
           FROM r_latest) r""", extra_ctes=CTES)
 def q_equipment_dashboard(c):
-    return E.equipment_dashboard(_dequip(c), _dalarms(c), _latest(c), c.events_as_of)
+    return E.equipment_dashboard(_dequip(c), _afacts(c), _latest(c), c.events_as_of)
 
 
 @register("power_quality", sql=f"""SELECT CAST(strftime(analysis_date, '%Y%m%d') AS BIGINT) AS analysis_id,
@@ -202,7 +209,7 @@ def q_equipment_dashboard(c):
         CAST(COUNT(CASE WHEN current_imbalance > 0.02 THEN 1 END) AS DOUBLE) / COUNT(*) AS ci
         FROM r_dmon GROUP BY monitoring_date) g) s""", extra_ctes=CTES)
 def q_power_quality(c):
-    return E.power_quality(_dmon(c))
+    return E.power_quality(_mfacts(c))
 
 
 @register("equipment_health", sql=f"""SELECT equipment_id * 100000 + 19752 AS assessment_id,
@@ -230,7 +237,7 @@ def q_power_quality(c):
       LEFT JOIN (SELECT equipment_id AS m_eid, AVG(temperature) AS avg_temp FROM r_dmon
             GROUP BY equipment_id) t ON e.equipment_id = t.m_eid) s""", extra_ctes=CTES)
 def q_equipment_health(c):
-    return E.equipment_health(_dequip(c), _dmon(c), _dalarms(c), c.events_as_of)
+    return E.equipment_health(_dequip(c), _mfacts(c), _afacts(c), c.events_as_of)
 
 
 @register("columnar_report", sql="""SELECT equipment_id, CAST(monitoring_time AS DATE) AS report_date,

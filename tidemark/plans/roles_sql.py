@@ -20,8 +20,6 @@ ROLE_SQL: dict[str, str] = {
              ELSE 'cancelled' END AS order_status,
         o_orderdate AS created_at, o_orderdate AS updated_at
         FROM orders""",
-    "r_orders_urgent": """SELECT * FROM r_orders WHERE id IN
-        (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""",
     "r_items": """SELECT l_orderkey AS order_id, l_linenumber, l_partkey AS item_partkey,
         l_suppkey AS item_suppkey, p_name AS product_name,
         CAST(l_quantity AS INTEGER) AS quantity,

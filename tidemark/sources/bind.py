@@ -45,11 +45,8 @@ def users(t: Tables) -> DataFrame:
     )
 
 
-def orders(t: Tables, urgent_only: bool = False) -> DataFrame:
-    o = t.orders
-    if urgent_only:
-        o = o.where(F.col("o_orderpriority") == "1-URGENT")
-    return o.select(
+def orders(t: Tables) -> DataFrame:
+    return t.orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("user_id"),
         F.col("o_totalprice").cast("decimal(12,2)").alias("order_amount"),
