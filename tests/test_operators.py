@@ -205,3 +205,46 @@ def test_empty_input_dashboard(spark):
     got = {r.metric_name: r.metric_value for r in O.realtime_dashboard(u, o, dt.date(2001, 8, 1)).collect()}
     assert got == {"total_users": 0.0, "total_orders": 0.0, "total_sales": 0.0, "avg_order_value": 0.0,
                    "today_orders": 0.0, "today_sales": 0.0}
+
+
+def test_window_sums_match_pairs_on_one_device(spark):
+    import random
+    from tidemark.operators import scenarios as S
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    left = spark.createDataFrame([(i, 7, t0 + dt.timedelta(seconds=rng.randrange(4 * 3600))) for i in range(60)]
+                                 + [(100, 8, t0), (101, None, t0)], "lid long, k long, lt timestamp_ntz")
+    right = spark.createDataFrame([(i, 7, t0 + dt.timedelta(minutes=rng.randrange(240)), rng.randrange(100)) for i in range(500)]
+                                  + [(900, None, t0, 1)], "rid long, k long, rt timestamp_ntz, v long")
+    at = F.unix_micros(F.to_timestamp("lt"))
+    got = S.window_sums(left, right, "k", "lid", at - 600_000_000, at + 300_000_000, "rt", {"s": F.col("v")},
+                        last=("v", "rid"))
+    want = S.range_join(left, right, "k", "lt", "rt", 10, 5).groupBy("lid").agg(
+        F.count("*").alias("n"), F.sum("v").alias("s"), F.max_by("v", F.struct("rt", "rid")).alias("last"))
+    cols = ["lid", "n", "s", "last"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_region_summary_divides_by_measured_rows(spark):
+    from tidemark.operators import grid as G
+    at = dt.datetime(2024, 1, 1, 5)
+    disp = spark.createDataFrame([(i, at, "华东", 100.0, s, 50.0, 600.0, "BALANCED", "NORMAL") for i, s in enumerate((200.0, None))],
+                                 "dispatch_id long, event_time timestamp_ntz, grid_region string, total_demand_mw double, "
+                                 "total_supply_mw double, frequency_hz double, voltage_level_kv double, "
+                                 "load_balance_status string, emergency_level string")
+    dev = spark.createDataFrame([(i, "华东", "ACTIVE", 231.0, t, 0.9) for i, t in enumerate((30.0, None))],
+                                "device_id long, location string, status string, real_time_voltage double, "
+                                "real_time_temperature double, efficiency_rate double")
+    r = G.smart_grid_summary(disp, dev).first()
+    assert r.avg_supply_demand_balance == 100.0 and r.avg_device_health == 132.0
+
+
+def test_latency_sum_beyond_bigint(spark):
+    from tidemark.operators import quality as Q
+    now = dt.datetime(2024, 1, 30, 23, 59, 59)
+    old = now - dt.timedelta(days=36500)
+    disp = spark.createDataFrame([(1, old, "华东")], "dispatch_id long, event_time timestamp_ntz, grid_region string")
+    dev = spark.range(3000).select(F.col("id").alias("device_id"), F.lit("华东").alias("location"))
+    many = disp.crossJoin(spark.range(1000)).drop("id")
+    assert Q.latency_stats(many, dev, now, minutes=60 * 24 * 40000).first().avg_delay_seconds == 36500 * 86400

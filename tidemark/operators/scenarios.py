@@ -2,17 +2,18 @@
 source and result DDL remain): dimension enrichment, alarm × status interval
 join, and fault analysis. Formulas are ours, documented per function.
 
-Time-range joins are written as equi-joins on (device, time bucket) plus the
-exact range filter: an alarm is copied into the buckets its range touches, so
-one busy device is spread over tasks by time and each alarm only meets the
-readings of its own window (bounded by the reading rate, not the table size).
+What an alarm needs from the readings of its time window are sums and the last
+value. ``window_sums`` gets them from running sums per (device, time bucket): the
+ends of a window are placed among the readings, and the difference of the two
+running sums is the window's sum. Rows grow with alarms plus readings; no
+alarm x reading pair is formed, and one busy device is spread over tasks by time.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
@@ -56,19 +57,57 @@ def range_join(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str,
     return j.where(cond).drop("_b", "_rk")
 
 
+def window_sums(left: DataFrame, right: DataFrame, key: str, left_id: str, lo: Column, hi: Column, rts: str,
+                sums: dict[str, Column], last: tuple[str, str] | None = None, bucket_min: int = 60) -> DataFrame:
+    """For each ``left_id``: ``n`` and ``sums`` over the right rows of its ``key`` with ``rts`` in
+    [lo, hi] (microseconds, inclusive), and with ``last = (value, tiebreak)`` the value of the
+    last of them. Left rows whose window holds no right row do not come out."""
+    width = bucket_min * 60_000_000
+
+    def bucket(t: Column) -> Column:
+        return ((t - F.pmod(t, F.lit(width))) / width).cast("bigint")
+
+    def point(t: Column, order: int, sign: int) -> Column:  # window ends sort before or after readings of their time
+        return F.struct(t.alias("_t"), F.lit(order).alias("_o"), F.lit(sign).alias("_s"))
+    spans = left.where(F.col(key).isNotNull()).select(key, left_id, lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi")
+    spans = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
+    first, end = F.greatest(F.col("_lo"), F.col("_b") * width), F.least(F.col("_hi"), (F.col("_b") + 1) * width - 1)
+    ends = spans.withColumn("_first", first).select(
+        key, left_id, "_b", "_first", F.explode(F.array(point(first, 0, -1), point(end, 2, 1))).alias("_p")).select(
+        key, left_id, "_b", "_first", "_p.*")
+    t = _micros(F.col(rts))
+    values = {"n": F.lit(1).cast("bigint"), **sums}
+    rows = right.where(F.col(key).isNotNull() & F.col(rts).isNotNull()).select(
+        key, bucket(t).alias("_b"), t.alias("_t"), F.lit(1).alias("_o"), *[v.alias(n) for n, v in values.items()],
+        *([F.struct(t.alias("t"), F.col(last[1]).alias("tie"), F.col(last[0]).alias("value")).alias("_last")] if last else []))
+    run = Window.partitionBy(key, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = ends.unionByName(rows, allowMissingColumns=True)
+    sofar = both.select(left_id, "_o", "_s", "_first", *[F.sum(n).over(run).alias(n) for n in values],
+                        *([F.max("_last").over(run).alias("_last")] if last else [])).where("_o <> 1")
+    totals = [F.sum(F.coalesce(F.col(n), F.lit(0)) * F.col("_s")).alias(n) for n in values]
+    if last:
+        totals.append(F.max(F.when((F.col("_s") == 1) & (F.col("_last.t") >= F.col("_first")), F.col("_last"))).alias("_last"))
+    out = sofar.groupBy(left_id).agg(*totals).where("n > 0")
+    return out.withColumn("last", F.col("_last.value")).drop("_last") if last else out
+
+
 # ---------------------------------------------------------------- scenario 1
 
 def enrich_from_dimension(readings: DataFrame, devices: DataFrame, as_of: dt.datetime) -> DataFrame:
     """Readings (device_id, voltage, temperature, …) enriched by the device
     dimension, reported per location: devices, efficiency score (mean
     efficiency ×100 over readings), health, alert summary, grade."""
+    per_device = readings.groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("temperature").alias("t"), F.count("temperature").alias("t_n"),
+        F.count(F.when(F.col("temperature") > 70, 1)).alias("hot"),
+        F.count(F.when(~F.col("voltage").between(200, 240), 1)).alias("badv"))
     d = devices.select(F.col("device_id").alias("d_id"), "location", "efficiency_rate")
-    j = readings.join(d, readings.device_id == d.d_id, "inner")
+    j = per_device.join(d, per_device.device_id == d.d_id, "inner")
+    rate = (F.col("efficiency_rate") * 100).cast("decimal(18,2)")
     g = j.groupBy("location").agg(
-        F.countDistinct("device_id").alias("total_devices"),
-        R.avg_round(F.col("efficiency_rate") * 100, 2, 2).alias("_score"), F.avg("temperature").alias("_t"),
-        F.count(F.when(F.col("temperature") > 70, 1)).alias("_hot"),
-        F.count(F.when(~F.col("voltage").between(200, 240), 1)).alias("_badv"))
+        F.count(F.lit(1)).alias("total_devices"),
+        F.round(F.sum(rate * F.col("n")) / F.sum(F.when(rate.isNotNull(), F.col("n"))), 2).cast("double").alias("_score"),
+        F.try_divide(F.sum("t"), F.sum("t_n")).alias("_t"), F.sum("hot").alias("_hot"), F.sum("badv").alias("_badv"))
     score = F.col("_score")
     return g.select(
         F.concat(F.lit("FINAL_"), F.col("location")).alias("report_id"),
@@ -90,10 +129,11 @@ def alarm_status_join(alarms: DataFrame, readings: DataFrame, equipment: DataFra
     deficit of the matched readings, temperature anomalies, risk, actions."""
     a = alarms.select("alarm_id", "equipment_id", "alarm_level", "occurred_at")
     r = readings.select("equipment_id", "monitoring_id", "monitoring_time", "temperature", "power_factor")
-    m = range_join(a, r, "equipment_id", "occurred_at", "monitoring_time", minutes, minutes)
-    per_alarm = m.groupBy("alarm_id").agg(
-        F.sum(F.col("power_factor").cast("decimal(18,4)")).alias("pf_sum"), F.count("power_factor").alias("pf_n"),
-        F.count(F.when(F.col("temperature") > 70, 1)).alias("hot"))
+    at, reach = _micros(F.col("occurred_at")), minutes * 60_000_000
+    per_alarm = window_sums(a, r, "equipment_id", "alarm_id", at - reach, at + reach, "monitoring_time", {
+        "pf_sum": F.col("power_factor").cast("decimal(18,4)"),
+        "pf_n": F.col("power_factor").isNotNull().cast("bigint"),
+        "hot": F.coalesce((F.col("temperature") > 70).cast("bigint"), F.lit(0))}).drop("n")
     e = equipment.select(F.col("equipment_id").alias("e_id"), "location")
     full = a.join(per_alarm, "alarm_id", "left").join(e, a.equipment_id == e.e_id, "inner")
     g = full.groupBy("location", F.to_date("occurred_at").alias("day")).agg(
@@ -141,12 +181,15 @@ def fault_analysis(alarms: DataFrame, readings: DataFrame, as_of: dt.datetime, w
     f = alarms.where(F.col("alarm_level") >= fault_level).select(
         "alarm_id", "equipment_id", "alarm_type", "alarm_level", "alarm_code", "occurred_at")
     r = readings.select("equipment_id", "monitoring_id", "monitoring_time", "power_active")
-    m = range_join(f.select("alarm_id", "equipment_id", "occurred_at"), r, "equipment_id", "occurred_at",
-                   "monitoring_time", window_min, 0)
-    per = m.groupBy("alarm_id").agg(
-        R.avg_round(F.when(F.col("monitoring_time") < F.col("occurred_at"), F.col("power_active")), 2, 4)
-        .alias("pre"),
-        F.max_by("power_active", F.struct("monitoring_time", "monitoring_id")).alias("at_fault"))
+    at = _micros(F.col("occurred_at"))
+    lo = at - window_min * 60_000_000
+    faults = f.select("alarm_id", "equipment_id", "occurred_at")
+    power = {"p_sum": F.col("power_active").cast("decimal(18,2)"), "p_n": F.col("power_active").isNotNull().cast("bigint")}
+    before = window_sums(faults, r, "equipment_id", "alarm_id", lo, at - 1, "monitoring_time", power).select(
+        "alarm_id", F.round(F.try_divide("p_sum", "p_n"), 4).cast("double").alias("pre"))
+    newest = window_sums(faults, r, "equipment_id", "alarm_id", lo, at, "monitoring_time", {},
+                         last=("power_active", "monitoring_id")).select("alarm_id", F.col("last").alias("at_fault"))
+    per = newest.join(before, "alarm_id", "left")
     j = f.join(per, "alarm_id", "left")
     prio = F.when(F.col("alarm_level") >= 5, "URGENT").otherwise("HIGH")
     cause = None
