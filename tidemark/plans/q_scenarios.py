@@ -16,10 +16,6 @@ TS = "TIMESTAMP '2024-01-30 23:59:59'"
 CTES = dict(q_equipment.CTES)
 
 
-def _dmon(c):
-    return E.dwd_power_monitoring(c.monitoring, c.equipment)
-
-
 @register("enrich_from_dimension", sql=f"""SELECT 'FINAL_' || location AS report_id,
     '{S.FINAL_REPORT_TYPE}' AS report_type, location, total_devices, score AS efficiency_score,
     CASE WHEN avg_t > 60 THEN 'WARNING' ELSE 'HEALTHY' END AS health_status,
@@ -71,7 +67,7 @@ def _q(d):
         {TS} AS report_time FROM g""", extra_ctes=CTES)
 def q_alarm_status_join(c):
     """Scenario 2: alarm stream ⋈ device status stream within ±10 minutes."""
-    return S.alarm_status_join(c.alarms, _dmon(c), c.equipment, c.events_as_of, 10)
+    return S.alarm_status_join(c.alarms, E.reading_facts(c.monitoring), c.equipment, c.events_as_of, 10)
 
 
 CAUSE = "CASE " + " ".join(f"WHEN alarm_type = '{k}' THEN '{v}'" for k, v in S.ROOT_CAUSE) + " ELSE '其他' END"

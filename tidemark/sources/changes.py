@@ -79,9 +79,10 @@ def stage_change_files(changes: DataFrame, path: str, n_batches: int, files_per_
 
     The range boundaries are ``n_batches − 1`` approximate quantiles of the
     event time (a handful of numbers on the driver); each range is written
-    by ``files_per_batch`` tasks, not one."""
+    by ``files_per_batch`` tasks, not one. The log is made once and kept
+    (``persist``) while its ranges are written."""
     us = F.unix_micros(F.to_timestamp(F.col("event_time")))
-    staged = changes.withColumn("_us", us)
+    staged = changes.withColumn("_us", us).persist()
     probs = [i / n_batches for i in range(1, n_batches)]
     cuts = staged.approxQuantile("_us", probs, 0.001) if probs else []
     edges = [None, *cuts, None]
@@ -94,6 +95,7 @@ def stage_change_files(changes: DataFrame, path: str, n_batches: int, files_per_
             part = part.where(F.col("_us") <= F.lit(hi))
         (part.drop("_us").repartition(files_per_batch, "id", "seq")
          .write.mode("append").parquet(path))
+    staged.unpersist()
 
 
 def read_change_stream(spark: SparkSession, path: str, schema: T.StructType = ENVELOPE,

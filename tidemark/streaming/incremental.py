@@ -220,15 +220,24 @@ class OrdersChain:
         return self.dws_users.read().select(*DWS_COLS)
 
 
+def stage_chain(spark: SparkSession, t, n_batches: int = 3, files_per_batch: int = 4) -> str:
+    """Land the bound change log in a new folder under the shared checkpoint folder; returns the folder."""
+    run = shared_path(spark, "orders_chain", uuid.uuid4().hex)
+    CH.stage_change_files(CH.chain_change_log(t), f"{run}/changes", n_batches, files_per_batch)
+    return run
+
+
 def run_chain_from_tables(spark: SparkSession, t, n_batches: int = 3, files_per_batch: int = 4) -> OrdersChain:
     """Stage the bound change log as ``n_batches`` event-time ranges under the
     shared checkpoint folder (a fresh folder per run), stream it through the
     chain one range per micro-batch, return the chain."""
-    run = shared_path(spark, "orders_chain", uuid.uuid4().hex)
-    src = f"{run}/changes"
-    CH.stage_change_files(CH.chain_change_log(t), src, n_batches, files_per_batch)
+    return replay_chain(spark, stage_chain(spark, t, n_batches, files_per_batch), files_per_batch)
+
+
+def replay_chain(spark: SparkSession, run: str, files_per_batch: int = 4) -> OrdersChain:
+    """Stream the files that ``stage_chain`` landed through a new chain."""
     chain = OrdersChain(spark, f"{run}/tables")
-    chain.run(src, f"{run}/checkpoint", files_per_batch)
+    chain.run(f"{run}/changes", f"{run}/checkpoint", files_per_batch)
     return chain
 
 
