@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import rules as R
 from tidemark.operators import changes as C
 from tidemark.operators import grid as G
+from tidemark.operators import grid_mix as M
 from tidemark.operators import orders as O
 from tidemark.operators import scenarios as S
 from tidemark.operators import tickets as T
@@ -169,6 +170,41 @@ def test_summary_equals_aggregate_of_detail_pairs(spark):
         assert all(abs(p - q) < 1e-5 for p, q in zip(x[4:-1], y[4:-1]))
 
 
+def test_rule_mix_equals_labels_of_detail_pairs(spark):
+    """Also with NULL measures on either side and rows whose region has no counterpart."""
+    disp, dev = _grid_fixture(spark)
+    holes = [F.when(F.col("dispatch_id") % 5 != k, F.col(c)).alias(c) for k, c in enumerate(
+        ["frequency_hz", "voltage_level_kv", "load_balance_status", "emergency_level"])]
+    disp = disp.unionByName(disp.select((F.col("dispatch_id") + 100).alias("dispatch_id"), "event_time", "grid_region",
+                                        "total_demand_mw", "total_supply_mw", *holes))
+    holes = [F.when(F.col("device_id") % 4 != k, F.col(c)).alias(c) for k, c in enumerate(
+        ["real_time_voltage", "real_time_temperature", "efficiency_rate"])]
+    dev = dev.unionByName(dev.select((F.col("device_id") + 101).alias("device_id"), "device_name", "device_type", "location",
+                                     "capacity_mw", "status", "real_time_current", "event_time", *holes))
+    det = G.smart_grid_detail(disp, dev).withColumn("tw", F.date_format("dispatch_time", "yyyyMMddHH"))
+    det = det.withColumn("dashboard_status", R.dashboard_status(F.col("operational_status"), F.col("risk_level"))).persist()
+    brute = sorted((r[0], r[1], rule, r[2], r[3]) for rule in M.RULES
+                   for r in det.groupBy("grid_region", "tw", rule).count().collect())
+    mix = M.grid_status_mix(disp, dev).select("grid_region", "time_window", "rule", "label", "pair_count")
+    assert sorted(tuple(r) for r in mix.collect()) == brute
+    per = det.groupBy("dispatch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("voltage_quality") == "EXCELLENT", 1)).alias("e"),
+        F.count(F.when(F.col("voltage_quality") == "GOOD", 1)).alias("g"),
+        F.count(F.when(F.col("risk_level") == "HIGH_RISK", 1)).alias("h"))
+    q = M.dispatch_quality(disp, dev).select("dispatch_id", "paired_devices", "excellent_devices", "good_devices",
+                                             "high_risk_devices")
+    assert sorted(tuple(r) for r in q.collect()) == sorted(tuple(r) for r in per.collect())
+    det.unpersist()
+
+
+def test_health_bands_and_overview_without_online_devices(spark):
+    h = spark.createDataFrame([(95.0,), (90.0,), (85.0,), (75.0,), (70.0,), (None,)], "h double")
+    assert [r[0] for r in h.select(R.temperature_from_health(F.col("h"))).collect()][:5] == [35.0, 35.0, 50.0, 65.0, 65.0]
+    rows = spark.createDataFrame([("CRITICAL", 50.0, 10.0), ("CRITICAL", 60.0, 20.0)],
+                                 "status string, efficiency double, load_factor double")
+    assert [r[1] for r in M.device_overview_by_state(rows).collect()] == ["2", "0", "2", "0", None, None]
+
+
 def test_detail_salting_does_not_change_rows(spark):
     disp, dev = _grid_fixture(spark)
     a = sorted(tuple(r) for r in G.smart_grid_detail(disp, dev, salt=1).collect())

@@ -61,18 +61,28 @@ def _pairs_since(dispatch_ods, device_ods, lo) -> DataFrame:
         F.coalesce(F.sum("nv"), F.lit(0)).cast("bigint").alias("record_count"))
 
 
-def layer_row_counts(dispatch_ods: DataFrame, device_ods: DataFrame, summary: DataFrame,
-                     report: DataFrame, as_of: dt.datetime) -> DataFrame:
-    ten = minus(as_of, 10)
-    hour_key = F.date_format(minus(as_of, 60), "yyyyMMddHH")
-    dwd = _pairs_since(dispatch_ods, device_ods, ten).select(
-        F.lit(FLOW_LAYERS).alias("data_flow"), F.lit(LAYER_DWD).alias("layer"), "record_count")
-    return (_count_row(dispatch_ods.where(F.col("event_time") >= ten), FLOW_SOURCE, LAYER_ODS_DISPATCH)
-            .unionByName(_count_row(device_ods.where(F.col("event_time") >= ten), FLOW_SOURCE, LAYER_ODS_DEVICE))
-            .unionByName(dwd)
-            .unionByName(_count_row(summary.where(F.col("time_window") >= hour_key), FLOW_LAYERS, LAYER_DWS))
-            .unionByName(_count_row(report.where(F.col("report_time") >= minus(as_of, 60)), FLOW_LAYERS,
-                                    LAYER_ADS)))
+def layer_row_counts(dispatch_ods: DataFrame, device_ods: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Rows per layer: dispatches, devices and detail rows of the last ten minutes, region-hours of the last hour and
+    report rows (one per region-hour). Either source is read once and reduced to a row per region prefix; a
+    region-hour exists where its prefix has devices."""
+    ten = F.col("event_time") >= minus(as_of, 10)
+    hours = dispatch_ods.groupBy(
+        R.region_prefix(F.col("grid_region")).alias("_p"), "grid_region",
+        F.date_format("event_time", "yyyyMMddHH").alias("time_window")).agg(R.count_if(ten).alias("nd"))
+    d = hours.groupBy("_p").agg(
+        F.sum("nd").alias("nd"), F.count(F.lit(1)).alias("hours"),
+        R.count_if(F.col("time_window") >= F.date_format(minus(as_of, 60), "yyyyMMddHH")).alias("recent_hours"))
+    v = device_ods.groupBy(R.region_prefix(F.col("location")).alias("_p")).agg(
+        F.count(F.lit(1)).alias("nv"), R.count_if(ten).alias("nv_ten"))
+    paired = F.col("nv").isNotNull()
+    layers = [(FLOW_SOURCE, LAYER_ODS_DISPATCH, F.col("nd")), (FLOW_SOURCE, LAYER_ODS_DEVICE, F.col("nv_ten")),
+              (FLOW_LAYERS, LAYER_DWD, F.col("nd") * F.col("nv")), (FLOW_LAYERS, LAYER_DWS, F.when(paired, F.col("recent_hours"))),
+              (FLOW_LAYERS, LAYER_ADS, F.when(paired, F.col("hours")))]
+    one = d.join(v, "_p", "full_outer").agg(
+        *[F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"n{i}") for i, (_, _, n) in enumerate(layers)])
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(flow).alias("data_flow"), F.lit(layer).alias("layer"), F.col(f"n{i}").alias("record_count"))
+        for i, (flow, layer, _) in enumerate(layers)])))
 
 
 def sink_row_counts(report_rows: DataFrame, status_rows: DataFrame, metric_rows: DataFrame,
@@ -105,18 +115,23 @@ def throughput_per_minute(dispatch_ods: DataFrame, device_ods: DataFrame, as_of:
         .orderBy(F.col("time_minute").desc())
 
 
-def layer_consistency(dispatch_ods: DataFrame, device_ods: DataFrame, as_of: dt.datetime,
+def layer_consistency(dispatch_ods: DataFrame, device_ods: DataFrame, sink: DataFrame, as_of: dt.datetime,
                       minutes: int = 5) -> DataFrame:
-    """Four counts side by side, each a scalar subquery (one small job each)."""
-    lo = minus(as_of, minutes)
-    ods_d = dispatch_ods.where(F.col("event_time") >= lo).select(F.count(F.lit(1))).scalar()
-    ods_v = device_ods.where(F.col("event_time") >= lo).select(F.count(F.lit(1))).scalar()
-    pairs = _pairs_since(dispatch_ods, device_ods, lo)
-    spark = dispatch_ods.sparkSession
-    return spark.range(1).select(
-        F.lit(MON_INTEGRITY).alias("monitor_type"), ods_d.alias("ods_dispatch_count"),
-        ods_v.alias("ods_device_count"), pairs.select("record_count").scalar().alias("dwd_detail_count"),
-        pairs.select("record_count").scalar().alias("sink_summary_count"))
+    """Four counts side by side. The detail's is dispatches times devices of each region; the sink's is what its
+    written table says: ``sink`` holds (update_time, record_count), one row for each batch of rows written."""
+    ten = F.col("event_time") >= minus(as_of, minutes)
+    prefix = R.region_prefix
+    d = dispatch_ods.groupBy(prefix(F.col("grid_region")).alias("_p")).agg(R.count_if(ten).alias("nd"))
+    v = device_ods.groupBy(prefix(F.col("location")).alias("_p")).agg(
+        F.count(F.lit(1)).alias("nv"), R.count_if(ten).alias("nv_new"))
+    z = F.lit(0)
+    ods = d.join(v, "_p", "full_outer").agg(
+        F.coalesce(F.sum("nd"), z).cast("bigint").alias("ods_dispatch_count"),
+        F.coalesce(F.sum("nv_new"), z).cast("bigint").alias("ods_device_count"),
+        F.coalesce(F.sum(F.col("nd") * F.col("nv")), z).cast("bigint").alias("dwd_detail_count"))
+    written = sink.where(F.col("update_time") >= minus(as_of, minutes)).select(
+        F.coalesce(F.sum("record_count"), z).cast("bigint")).scalar()
+    return ods.select(F.lit(MON_INTEGRITY).alias("monitor_type"), "*", written.alias("sink_summary_count"))
 
 
 def recent_update_count(dispatch_ods: DataFrame, device_ods: DataFrame, as_of: dt.datetime,

@@ -17,22 +17,46 @@ from tidemark.streaming import sinks as K
 CTES = dict(q_grid.CTES)
 
 
-@register("multi_sink", sql="""SELECT 'device_status' AS sink, COUNT(*) AS record_count FROM r_dss
-    UNION ALL SELECT 'grid_metrics', COUNT(*) FROM r_rm
-    UNION ALL SELECT 'grid_report', COUNT(*) FROM r_rr""", extra_ctes=CTES)
+@register("multi_sink", sql="""SELECT 'device_status' AS sink, summary_id AS row_id, location AS place, status AS label,
+        round(efficiency, 6) AS measure, update_time AS at FROM r_dss
+    UNION ALL SELECT 'grid_metrics', metric_id, grid_region, CAST(total_devices AS VARCHAR), avg_load_factor, update_time FROM r_rm
+    UNION ALL SELECT 'grid_report', report_id, grid_region, reliability_rating, cost_benefit_analysis, report_time
+        FROM r_rr""", extra_ctes=CTES)
 def q_multi_sink(c):
-    """One device batch → three result tables in one unit (persisted once)."""
+    """One device batch, delivered twice, into three result tables in one unit; all written rows are read back."""
     spark, a = c.spark, c.events_as_of
     base = shared_path(spark, "multi_sink", uuid.uuid4().hex)
-    outs = {"device_status": lambda d: G.device_status_summary(d, a),
-            "grid_metrics": lambda d: G.region_metrics(d, a),
-            "grid_report": lambda d: G.region_report(d, a)}
-    K.multi_sink(c.devices, 0, [K.parquet_sink(f"{base}/{k}", f) for k, f in outs.items()])
-    parts = [spark.read.parquet(f"{base}/{k}").agg(F.count(F.lit(1)).alias("record_count"))
-             .select(F.lit(k).alias("sink"), "record_count") for k in outs]
+    outs = {"device_status": (lambda d: G.device_status_summary(d, a), "summary_id location status efficiency update_time"),
+            "grid_metrics": (lambda d: G.region_metrics(d, a), "metric_id grid_region total_devices avg_load_factor update_time"),
+            "grid_report": (lambda d: G.region_report(d, a),
+                            "report_id grid_region reliability_rating cost_benefit_analysis report_time")}
+    for _ in range(2):
+        K.multi_sink(c.devices, 0, [K.parquet_sink(f"{base}/{k}", f) for k, (f, _) in outs.items()])
+
+    def rows(k, cols):
+        row_id, place, label, measure, at = (F.col(x) for x in cols.split())
+        return spark.read.parquet(f"{base}/{k}").select(
+            F.lit(k).alias("sink"), row_id.alias("row_id"), place.alias("place"), label.cast("string").alias("label"),
+            F.round(measure, 6).alias("measure"), at.alias("at"))
+    parts = [rows(k, cols) for k, (_, cols) in outs.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@register("continuous_sync", sql="SELECT * FROM r_logs")
+def q_continuous_sync(c):
+    """A standing copy of the ticket log: started, stopped, and started again from its checkpoint after more files came;
+    what the first run copied is not copied again."""
+    spark = c.spark
+    base = shared_path(spark, "continuous_sync", uuid.uuid4().hex)
+    late = F.col("created_at") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    for rows in (c.logs.where(~late), c.logs.where(late)):
+        rows.write.mode("append").parquet(f"{base}/source")
+        stream = spark.readStream.schema(c.logs.schema).parquet(f"{base}/source")
+        K.continuous_sync(stream, f"copy-{uuid.uuid4().hex[:8]}", K.parquet_sink(f"{base}/copy"), f"{base}/checkpoint",
+                          available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/copy").select(*c.logs.columns)
+
+
 @register("full_refresh", sql="SELECT * FROM r_rm", extra_ctes=CTES)
 def q_full_refresh(c):
     """Two refresh rounds of the region metrics, the first of another day; readers see the newest alone."""
