@@ -363,3 +363,70 @@ def test_append_log_stream_drops_redelivery(spark, sf_small):
     q.awaitTermination()
     got = spark.table(name)
     assert got.count() == logs.count() + 1 == got.select("log_id").distinct().count()
+
+
+def test_ticket_totals_follow_moves_deletes_and_retries(spark):
+    """Each batch, also delivered twice, leaves the sums of the rows that are there; a group without rows vanishes."""
+    from tidemark.operators import tickets as T
+    from tidemark.streaming.totals import TicketTotals
+    as_of = dt.datetime(2024, 1, 30, 23, 59, 59)
+    schema = ("op string, seq long, ticket_id long, agent_id long, status string, created_at timestamp_ntz, "
+              "updated_at timestamp_ntz, closed_at timestamp_ntz")
+    d, h = as_of.replace(hour=8, minute=0, second=0), dt.timedelta(hours=1)
+
+    def row(op, seq, tid, agent, status, closed=None, updated=d + h, created=d):
+        return (op, seq, tid, agent, status, created, updated, closed)
+    batches = [
+        [row("c", 1, 1, 7, "pending"), row("c", 1, 2, 7, "resolved"), row("c", 1, 3, 8, "in_progress"),
+         row("c", 1, 4, None, "pending", created=None)],
+        [row("u", 2, 1, 8, "resolved", d + 3 * h), row("d", 2, 3, 8, "in_progress"), row("c", 0, 2, 9, "pending")],  # moved, gone, stale
+        [row("u", 3, 2, 7, "closed", d + 5 * h, updated=None), row("d", 3, 1, 8, "resolved")],
+    ]
+    chain = TicketTotals(spark, _tmp())
+    agents = spark.createDataFrame([(k, f"a{k}", "x", "online") for k in (7, 8, 9)],
+                                   "agent_id long, agent_name string, department string, status string")
+    for b, rows in enumerate(batches):
+        for _ in range(2):
+            chain.process_batch(spark.createDataFrame(rows, schema), b)
+        now = chain.ods.read()
+        want = T.agent_workload(agents, now, as_of).drop("last_updated")
+        assert sorted(map(tuple, chain.agent_workload(agents, as_of).collect())) == sorted(map(tuple, want.collect())), b
+        got, want = chain.daily_stats(), T.daily_ticket_stats(now)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())), b
+        board = T.ticket_dashboard(now, as_of).select("metric_name", "metric_value")
+        assert sorted(map(tuple, chain.dashboard().collect())) == sorted(map(tuple, board.collect())), b
+
+
+def test_order_and_product_totals_with_deletes(spark):
+    from tidemark.operators import orders as O
+    from tidemark.streaming.totals import OrderTotals, ProductTotals
+    day = dt.date(2020, 1, 3)
+    totals = OrderTotals(spark, _tmp())
+    batches = [[_u(1, 1, "a"), _o(1, 1, 1, 10, "completed"), _o(2, 1, 1, 5, "pending")],
+               [_o(1, 2, 1, 10, "completed", "d"), _o(2, 2, 1, 7, "completed", "u")],
+               [_u(1, 2, "a", "d"), _o(2, 3, 1, 7, "completed", "d")]]
+    want = [(1.0, 2.0, 10.0), (1.0, 1.0, 7.0), (0.0, 0.0, 0.0)]
+    for b, rows in enumerate(batches):
+        for _ in range(2):
+            totals.process_batch(_envelope_rows(spark, rows), b)
+        m = {r.metric_name: r.metric_value for r in totals.dashboard(day).collect()}
+        assert (m["total_users"], m["total_orders"], m["total_sales"]) == want[b]
+        assert sum(r.total_sales for r in totals.sales_trend().collect()) == want[b][2]
+    assert totals.daily_stats().count() == 0
+    at = dt.datetime(2020, 1, 1)
+    schema = ("op string, seq long, order_id long, l_linenumber int, item_partkey long, item_suppkey long, created_at timestamp_ntz, "
+              "product_name string, quantity int, unit_price decimal(10,2)")
+    from decimal import Decimal
+
+    def item(op, seq, order, line, product, q):
+        return (op, seq, order, line, 1, 1, at, product, q, Decimal("2.50"))
+    chain = ProductTotals(spark, _tmp())
+    batches = [[item("c", 1, 1, 1, "p", 3), item("c", 1, 1, 2, "p", 4), item("c", 1, 2, 1, "p", 1), item("c", 1, 2, 2, "r", 9)],
+               [item("d", 2, 1, 1, "p", 3), item("u", 2, 2, 1, "s", 5)],  # the order keeps a p line; a line changes its product
+               [item("d", 3, 1, 2, "p", 4), item("u", 3, 2, 1, "r", 5)]]
+    for b, rows in enumerate(batches):
+        for _ in range(2):
+            chain.process_batch(spark.createDataFrame(rows, schema), b)
+        want = O.product_stats(O.item_facts(chain.ods.read()), day).drop("etl_time")
+        got = chain.product_stats().select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), b

@@ -248,6 +248,14 @@ def adhoc_workload(agents: DataFrame, tickets: DataFrame, as_of: dt.datetime) ->
                     "active_tickets").orderBy(F.col("resolved_tickets").desc())
 
 
+def workload_with_rate(agents: DataFrame, tickets: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """Workload of every agent with the resolution rate in %; NULL, not 0, for an agent without tickets."""
+    total, done = F.col("n_tickets"), F.col("resolved_tickets")
+    return _agents_left(agents, tickets, as_of.date()).select(
+        "agent_name", "department", F.col("status").alias("agent_status"), total.alias("total_tickets"), "resolved_tickets",
+        "active_tickets", F.round(F.try_divide(done * 100.0, total), 2).alias("resolution_rate")).orderBy(done.desc())
+
+
 def active_tickets_per_agent(tickets: DataFrame) -> DataFrame:
     return tickets.where(_st("in_progress")).groupBy("agent_id").agg(
         F.count(F.lit(1)).alias("active_tickets"))

@@ -71,6 +71,30 @@ def chain_change_log(t: Tables) -> DataFrame:
     return user_change_log(t).unionByName(order_change_log(t))
 
 
+def ticket_change_log(t: Tables) -> DataFrame:
+    """Ticket lifecycle: created as 'pending', every tenth with another agent; its final state, and for every
+    17th its deletion, when it is updated."""
+    k = bind.tickets(t).withColumn("id", F.col("ticket_id"))
+    later = F.col("agent_id") + F.when(F.col("id") % 10 == 1, 1).otherwise(0)
+    none = F.lit(None).cast("timestamp_ntz")
+    create = k.withColumns({"op": F.lit("c"), "seq": F.col("id") * 2, "event_time": F.col("created_at"), "agent_id": later,
+                            "status": F.lit("pending"), "updated_at": F.col("created_at"), "closed_at": none})
+    final = k.withColumns({"op": F.when(F.col("id") % 17 == 0, "d").otherwise("u"), "seq": F.col("id") * 2 + 1,
+                           "event_time": F.col("updated_at")})
+    return create.unionByName(final)
+
+
+def item_change_log(t: Tables) -> DataFrame:
+    """Order item lifecycle: created with one piece more, corrected ten days later; the items of every 13th order
+    are deleted then."""
+    i = bind.order_items(t).withColumn("id", F.col("order_id"))
+    create = i.withColumns({"op": F.lit("c"), "seq": F.lit(1), "event_time": F.col("created_at"),
+                            "quantity": F.col("quantity") + 1})
+    final = i.withColumns({"op": F.when(F.col("id") % 13 == 0, "d").otherwise("u"), "seq": F.lit(2),
+                           "event_time": F.timestamp_add("DAY", F.lit(10), F.col("created_at"))})
+    return create.unionByName(final)
+
+
 def stage_change_files(changes: DataFrame, path: str, n_batches: int, files_per_batch: int = 4) -> None:
     """Land the change log as ``n_batches`` consecutive event-time ranges, each
     written as ``files_per_batch`` files (written range by range, so file

@@ -44,6 +44,15 @@ DWD_COLS = ["order_id", "user_id", "username", "email", "order_amount", "order_s
 DWS_COLS = ["user_id", "username", "total_amount", "total_orders", "avg_order_amount", "last_order_date"]
 
 
+def state_at(t: PKTable, version: int, template: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """State of ``t`` after batch ``version`` restricted to ``only``; empty
+    (template schema) before the table's first write."""
+    try:
+        return t.as_of(version, only).select(*template.columns)
+    except FileNotFoundError:
+        return template.limit(0)
+
+
 class OrdersChain:
     def __init__(self, spark: SparkSession, root: str, buckets: int = 4, as_of=dt.date(2001, 8, 1),
                  compact_every: int | None = None, with_daily: bool = False):
@@ -65,15 +74,7 @@ class OrdersChain:
         self.dws_daily = PKTable(spark, f"{root}/dws_daily", ["stat_date"], buckets)
 
     # ------------------------------------------------------------ helpers
-    @staticmethod
-    def _state(t: PKTable, version: int, template: DataFrame, only: DataFrame | None = None) -> DataFrame:
-        """State of ``t`` after batch ``version`` restricted to ``only``; empty
-        (template schema) before the table's first write."""
-        cols = template.columns
-        try:
-            return t.as_of(version, only).select(*cols)
-        except FileNotFoundError:
-            return template.limit(0)
+    _state = staticmethod(state_at)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
