@@ -11,7 +11,7 @@ Before the shuffle a task keeps only the first of the identical packed strings
 it meets: the windows of the others are repeats for certain, and are reported
 at once. A passage or text with very many copies so sends one string per task
 to its bucket. Packed strings of one bucket share compressed blocks of bounded
-size. A bucket is read block by block; identical strings of different tasks
+size, their places beside them as compressed columns. A bucket is read block by block; identical strings of different tasks
 are combined on arrival in the same way.
 """
 
@@ -37,7 +37,7 @@ BUCKET_BYTES = 12 << 20   # packed text a bucket should hold, on average
 BLOCK_BYTES = 1 << 18     # packed text of one compressed block
 _CACHE_WORDS = 300_000
 _PLACE = ("rank", "tie", "start", "stop")  # document order (id, then a tie-break), first window, end of windows
-_CUT = "bucket long, block binary, rank array<long>, tie array<long>, start array<long>, stop array<long>"
+_CUT = "bucket long, block binary, places binary"
 _LAST = (1 << 63) - 1     # rank of null ids
 
 
@@ -60,6 +60,19 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def _columns(places: list[tuple]) -> bytes:
+    """Places as four columns of longs, the stop as its distance from the start: long runs of equal bytes."""
+    a = np.array(places, "<i8").reshape(-1, 4)
+    a[:, 3] -= a[:, 2]
+    return a.T.tobytes()
+
+
+def _places(columns: bytes) -> list[tuple]:
+    """The inverse of ``_columns``."""
+    rank, tie, start, length = np.frombuffer(columns, "<i8").reshape(4, -1)
+    return list(zip(rank.tolist(), tie.tolist(), start.tolist(), (start + length).tolist()))
+
+
 class Cutter:
     """Cuts a text into super-k-mers."""
 
@@ -107,29 +120,24 @@ def _cut(width: int, m: int, buckets: int):
             piles = defaultdict(list)
             for text, (bucket, place) in first.items():
                 piles[bucket].append((text, place))
-            out = [[] for _ in range(6)]
+            out: tuple[list, list, list] = ([], [], [])
+
+            def emit(bucket, strings, places):
+                for column, value in zip(out, (bucket, packer.compress(strings), packer.compress(_columns(places)))):
+                    column.append(value)
             for bucket, pile in piles.items():
                 at = used = 0
                 for i, (text, _) in enumerate(pile, 1):
                     used += len(text) + 1
                     if used >= BLOCK_BYTES or i == len(pile):
-                        part = pile[at:i]
-                        out[0].append(bucket)
-                        out[1].append(packer.compress(b"\n".join(t for t, _ in part)))
-                        for k in range(4):
-                            out[2 + k].append([p[k] for _, p in part])
+                        emit(bucket, b"\n".join(t for t, _ in pile[at:i]), [p for _, p in pile[at:i]])
                         at, used = i, 0
             for i in range(0, len(repeats), 10_000):  # passed on by any bucket
-                out[0].append(-1 - repeats[i][0] % buckets)
-                out[1].append(b"")
-                for k in range(4):
-                    out[2 + k].append([r[k] for r in repeats[i:i + 10_000]])
+                emit(-1 - repeats[i][0] % buckets, b"", repeats[i:i + 10_000])
             first.clear()
             repeats.clear()
-            longs = pa.list_(pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()),
-                 *(pa.array(o, longs) for o in out[2:])], ["bucket", "block", *_PLACE])
+                [pa.array(out[0], pa.int64()), *(pa.array(o, pa.binary()) for o in out[1:])], ["bucket", "block", "places"])
 
         for batch in batches:
             for rank, tie, text in zip(batch.column("rank").to_pylist(), batch.column("tie").to_pylist(),
@@ -242,14 +250,15 @@ def _sort_buckets(width: int):
             first.clear()
             return _later_windows(strings, places, width)
         for batch in batches:
-            for bucket, block, *place in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", *_PLACE))):
+            for bucket, block, columns in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "places"))):
                 if bucket != now:
                     out.extend(done())
                     now = bucket
+                places = _places(opener.decompress(columns))
                 if bucket < 0:
-                    out.extend(zip(*place))
+                    out.extend(places)
                 else:
-                    for packed, at in zip(opener.decompress(block).split(b"\n"), zip(*place)):
+                    for packed, at in zip(opener.decompress(block).split(b"\n"), places):
                         seen = first.get(packed)
                         if seen is None:
                             first[packed] = at
