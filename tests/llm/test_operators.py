@@ -88,6 +88,25 @@ def test_near_duplicates_of_a_large_loose_group(table_of):
     assert got == {docs[i][0]: least[g] for i, g in groups.items()}
 
 
+def test_near_duplicates_of_the_shortest_sets(table_of):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):  # 3 shingles of 4 are at the threshold itself; 2 of 3 and 1 of 2 lie below it
+        for n in (5, 6, 7):
+            w = _text(rng, n)
+            texts += [w, f"first {w}", f"{w} last"]
+        w = _text(rng, 8)  # two sets of 3 that only their common set of 4 links
+        texts += [w.split(" ", 1)[1], w.rsplit(" ", 1)[0], w]
+    rows = [(i, t, None, None, 1) for i, t in enumerate(texts)]
+    groups = brute.near_groups([(r[0], r[1]) for r in rows])
+    least = {}
+    for i, g in groups.items():
+        least[g] = min(least.get(g, 10**9), i)
+    out = near_duplicates(table_of(rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: least[g] for i, g in groups.items()}
+    assert sum(r["kept"] for r in out) == len(least) == 40 * (3 + 3 + 1 + 1)
+
+
 def test_repeats_against_brute_force(table_of):
     rng = random.Random(9)
     passages = [_text(rng, 55) for _ in range(3)]

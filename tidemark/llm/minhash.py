@@ -124,7 +124,10 @@ _FEATURES = ("doc_id long, _file string, _row long, n_shingles long, set_digest
              "signature binary, bands array<long>")
 
 
-def _featurise(width: int, bands: int, rows: int):
+def _featurise(width: int, bands: int, rows: int, threshold: int):
+    # a set of n is closest to one of n + 1 that holds it: n / (n + 1), at 0.75 from n = 3 on
+    least_set = next((n for n in range(1, 100) if 100 * n >= threshold * (n + 1)), 100)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minima = Shingler(width), Minima(bands, rows)
         for batch in batches:
@@ -133,7 +136,7 @@ def _featurise(width: int, bands: int, rows: int):
                 s = shingler(text)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                if len(s) < 4:  # such a set reaches 0.75 with its equal only
+                if len(s) < least_set:  # such a set reaches the threshold with its equal only
                     signature.append(None)
                     keys.append(None)
                 else:
@@ -292,7 +295,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     src = src.withColumn("doc_id", F.col("doc_id").cast("long"))
     home = scratch(spark, "minhash")
 
-    feats = written(src.mapInArrow(_featurise(width, bands, rows), _FEATURES)
+    feats = written(src.mapInArrow(_featurise(width, bands, rows, threshold), _FEATURES)
                     .withColumn("uid", F.monotonically_increasing_id()), f"{home}/features")
     # one row of each class of equal sets goes on
     classes = written(feats.where("set_digest is not null").groupBy("set_digest").agg(
