@@ -430,3 +430,37 @@ def test_order_and_product_totals_with_deletes(spark):
         want = O.product_stats(O.item_facts(chain.ods.read()), day).drop("etl_time")
         got = chain.product_stats().select(*want.columns)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())), b
+
+
+@pytest.mark.parametrize("n_batches", [1, 3])
+def test_changes_without_a_time_reach_the_chain(spark, n_batches):
+    root, at = _tmp(), [dt.datetime(2001, 1, 1 + i) for i in range(6)]
+    rows = [(*_u(1, 1, "ann")[:-1], at[0]), (*_u(2, 2, "bob")[:-1], at[1])]
+    rows += [(*_o(10 + i, 10 + i, 1, "10.00", "completed")[:-1], at[i]) for i in range(6)]
+    rows += [(*_o(10, 30, 1, "10.00", "completed", "d")[:-1], None), (*_o(20, 31, 2, "7.00", "completed")[:-1], None)]
+    CH.stage_change_files(_envelope_rows(spark, rows), f"{root}/changes", n_batches, 2)
+    assert spark.read.parquet(f"{root}/changes").count() == len(rows)
+    chain = OrdersChain(spark, f"{root}/tables", buckets=2, as_of=D)
+    chain.run(f"{root}/changes", f"{root}/checkpoint", 2)
+    assert {r.user_id: (r.total_orders, r.total_amount) for r in chain.user_stats().collect()} == {1: (5, 50.0), 2: (1, 7.0)}
+
+
+def test_changes_without_any_time_are_one_range(spark):
+    path = os.path.join(_tmp(), "changes")
+    CH.stage_change_files(_envelope_rows(spark, [(*_u(i, i, "a")[:-1], None) for i in range(5)]), path, 3, 2)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_state_queries_keep_changes_without_a_time(spark):
+    from types import SimpleNamespace
+
+    from tidemark.plans import q_state as Q
+    day = [dt.datetime(1999, 1, 1), dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 25)]
+    rows = [(1, "c", 1, "new", 1.0, day[0]), (2, "c", 1, "new", 1.0, day[1]), (3, "c", 1, "new", 1.0, day[2]),
+            (4, "c", 1, "new", 1.0, None), (1, "u", 2, "done", 2.0, None), (2, "d", 2, "gone", 1.0, None)]
+    changes = spark.createDataFrame(rows, "id long, op string, seq long, status string, value double, ts timestamp_ntz")
+    c = SimpleNamespace(spark=spark, changes=changes)
+    want = [(1, "done"), (3, "new"), (4, "new")]
+    assert sorted((r.id, r.status) for r in Q.q_pk_table_latest(c).collect()) == want
+    assert sorted((r.id, r.status) for r in Q.q_pk_table_restart(c).collect()) == want
+    assert sorted((r.id, r.status) for r in Q.q_pk_table_as_of(c).collect()) == [(1, "new"), (2, "new")]

@@ -27,13 +27,18 @@ def _at(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
+def _since(cut):
+    """Rows from ``cut`` on; those without a time go with the later ones."""
+    return (F.col("ts") >= cut) | F.col("ts").isNull()
+
+
 @register("pk_table_latest", sql=_latest_sql("r_changes"))
 def q_pk_table_latest(c):
     """The change log in three batches, compacted after the second."""
     t = PKTable(c.spark, _path(c, "pk_latest"), ["id"], buckets=8)
-    edges = ["2000-01-01", "2024-01-10", "2024-01-20", "2100-01-01"]
-    for b, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        t.write_batch(c.changes.where((F.col("ts") >= _at(lo)) & (F.col("ts") < _at(hi))), b)
+    one, two = _at("2024-01-10"), _at("2024-01-20")
+    for b, part in enumerate([F.col("ts") < one, (F.col("ts") >= one) & (F.col("ts") < two), _since(two)]):
+        t.write_batch(c.changes.where(part), b)
         if b == 1:
             t.compact()
     return t.read().select(*COLS)
@@ -45,7 +50,7 @@ def q_pk_table_as_of(c):
     t = PKTable(c.spark, _path(c, "pk_as_of"), ["id"], buckets=8)
     cut = _at(str(CUTOFF))
     t.write_batch(c.changes.where(F.col("ts") < cut), 0)
-    t.write_batch(c.changes.where(F.col("ts") >= cut), 1)
+    t.write_batch(c.changes.where(_since(cut)), 1)
     return t.as_of(0).select(*COLS)
 
 
@@ -55,7 +60,7 @@ def q_pk_table_restart(c):
     path, cut = _path(c, "pk_restart"), _at(str(CUTOFF))
     PKTable(c.spark, path, ["id"], buckets=8).write_batch(c.changes.where(F.col("ts") < cut), 0)
     t = PKTable(c.spark, path, ["id"], buckets=8)
-    later = c.changes.where(F.col("ts") >= cut)
+    later = c.changes.where(_since(cut))
     t.write_batch(later.where("op = 'd'").select("op", "seq", "id"), 1, writer="deletes")
     t.write_batch(later.where("op <> 'd'"), 1)
     return t.read().select(*COLS)

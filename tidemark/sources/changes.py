@@ -103,20 +103,22 @@ def stage_change_files(changes: DataFrame, path: str, n_batches: int, files_per_
 
     The range boundaries are ``n_batches − 1`` approximate quantiles of the
     event time (a handful of numbers on the driver); each range is written
-    by ``files_per_batch`` tasks, not one. The log is made once and kept
-    (``persist``) while its ranges are written."""
+    by ``files_per_batch`` tasks, not one. Rows without an event time land
+    with the last range. The log is made once and kept (``persist``) while its
+    ranges are written."""
     us = F.unix_micros(F.to_timestamp(F.col("event_time")))
     staged = changes.withColumn("_us", us).persist()
     probs = [i / n_batches for i in range(1, n_batches)]
     cuts = staged.approxQuantile("_us", probs, 0.001) if probs else []
     edges = [None, *cuts, None]
-    for i in range(n_batches):
-        lo, hi = edges[i], edges[i + 1]
+    for lo, hi in zip(edges, edges[1:]):  # without any event time there are no cuts and one range
         part = staged
-        if lo is not None:
-            part = part.where(F.col("_us") > F.lit(lo))
         if hi is not None:
             part = part.where(F.col("_us") <= F.lit(hi))
+            if lo is not None:
+                part = part.where(F.col("_us") > F.lit(lo))
+        elif lo is not None:
+            part = part.where((F.col("_us") > F.lit(lo)) | F.col("_us").isNull())
         (part.drop("_us").repartition(files_per_batch, "id", "seq")
          .write.mode("append").parquet(path))
     staged.unpersist()
