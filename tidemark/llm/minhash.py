@@ -15,8 +15,11 @@
    that these forests form together hold every candidate pair that is left.
    Each tree is searched in blocks of whole texts: pairs that pass by
    signature and are not yet in one component are confirmed on their sets, and
-   again only a forest of links leaves the task. So no candidate is capped,
-   and rows grow with the size of a group, not with its square.
+   again only a forest of links leaves the task. So no candidate is capped.
+   What leaves the tasks grows with the size of a group; what goes in does
+   not: a row is sent once for each block of its group, so G rows become about
+   G^2 / BLOCK with signatures in a bucket that is still open, and
+   G^2 / TEXT_BLOCK with whole texts in a tree.
 
 With 60 bands of 5 rows a pair at similarity 0.75 shares no band with
 probability 9e-8; the signature cut (0.60) lies six deviations below 0.75.
