@@ -184,6 +184,22 @@ def test_surrogates_keep_type_format_distinctness_and_coreference(table_of):
     assert got[103]["text"] == rows[-1][1] and got[103]["n_entities"] == 0
 
 
+def test_surrogates_of_names_repeated_without_title(table_of):
+    rows = [(1, "Mrs Anna Smith came. Smith paid, SMITH's card; Anna Smith left with a smith, Smithson and Mr. J. Lee. J", None, None, 1),
+            (2, "Smith is not named here with a title. MAIL Smith@example.com", None, None, 1),
+            (3, "г-жа Шевченко и г-н Петров; Шевченко, Петрова, Петров.", None, None, 1),
+            (4, "Mr Paul Mr Weber; Mr Weber, mail me at Weber@example.com", None, None, 1)]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(table_of(rows)).collect()}
+    given_name, family = re.match(r"Mrs (\S+) (\S+) came", got[1]["text"]).groups()
+    assert got[1]["text"].startswith(f"Mrs {given_name} {family} came. {family} paid, {family.upper()}'s card; "
+                                     f"{given_name} {family} left with a smith, Smithson and ")
+    assert got[1]["text"].endswith(" Lee. J") and got[1]["n_entities"] == 7
+    assert "Smith" not in got[1]["text"].replace("Smithson", "") and got[2]["text"].startswith("Smith is ")
+    woman, man, again, wife, he = re.fullmatch(r"г-жа (\S+) и г-н (\S+); (\S+), (\S+), (\S+)\.", got[3]["text"]).groups()
+    assert woman == again and he == man and wife == man + "а" and not {"Шевченко", "Петров"} & {woman, man}
+    assert got[4]["text"].count("Mr") >= 1 and "Weber" not in got[4]["text"]
+
+
 def test_surrogates_redraw_on_collisions(lspark):
     names = [(f"given:latin:{g}", f"name{i}") for g in "mf" for i in range(150)]  # more than the lists hold
     ents = lspark.createDataFrame(names, "kind string, value string")

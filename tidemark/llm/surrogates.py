@@ -5,7 +5,8 @@ hexadecimal token, titled person name) are replaced by values of the same type a
 for digits, letters for letters, the same separators, a valid check digit,
 names of the same gender and script. A surrogate is drawn from an HMAC of the
 entity's canonical value, so one entity gets one surrogate in all documents
-(coreference), with or without title, given name or capitals.
+(coreference). A name is found by its title; within that text its capitalised
+repeats are the same entity, with or without title, given name or full capitals.
 
 Distinctness is checked over the whole corpus: where two entities draw one
 surrogate, or a surrogate is some entity's real value, the entity with the
@@ -38,6 +39,8 @@ TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "sr": "m", "señor": "m", "г
           "г-жа": "f", "госпожа": "f"}
 NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
                   + r")(\.?[ ])([^\W\d_]+(?:-[^\W\d_]+)?)(?:([ ])([^\W\d_]+(?:-[^\W\d_]+)?))?", re.IGNORECASE)
+#: A word that may repeat a surname, without a title.
+WORD = re.compile(r"(?<![\w@])[^\W\d_]+(?:-[^\W\d_]+)*(?![\w@])")
 GIVEN = {
     ("latin", "m"): "adam bruno carl david erik felix georg hugo ivan jonas kurt leon marco nils oscar paul ralf simon "
                     "thomas victor".split(),
@@ -150,6 +153,31 @@ def _name_parts(m: re.Match) -> list[tuple[str, str, str, tuple[int, int]]]:
     return out
 
 
+def _repeats(text: str, titled) -> list[tuple[int, int, str, str, str]]:
+    """Capitalised repeats, without a title, of the names that stand in this text with one."""
+    forms, bases = {}, {}
+    for kind, value, ending, (start, end) in sorted(titled, key=lambda p: p[0].startswith("given")):  # surnames first
+        forms.setdefault(text[start:end].lower(), (kind, value, ending))
+        if kind.startswith("surname"):
+            bases.setdefault(value, kind)
+    if not forms:
+        return []
+    own = {span for *_, span in titled}
+    out = []
+    for m in WORD.finditer(text):
+        word = m[0].lower()
+        if m.span() in own or not m[0][0].isupper() or len(word) < 2 or word in TITLES:
+            continue
+        base = _surname_base(word, script_of(word), "f")
+        if word in forms:
+            out.append((*m.span(), *forms[word]))
+        elif word in bases:  # the masculine form of a name that stands with a woman's title
+            out.append((*m.span(), bases[word], word, ""))
+        elif base in bases:  # the feminine form of a man's
+            out.append((*m.span(), bases[base], base, "а"))
+    return out
+
+
 def _valid_ip(text: str) -> bool:
     return all(int(p) <= 255 and (p == "0" or p[0] != "0") for p in text.split("."))
 
@@ -166,8 +194,9 @@ def find(text: str) -> list[tuple[int, int, str, str, str]]:
     if "AKIA" in text or "ASIA" in text:
         out += [(*m.span(), "secret", m[0], "") for m in SECRET.finditer(text)]
     out += [(*m.span(), "token", m[0], "") for m in TOKEN.finditer(text)]
-    for m in NAME.finditer(text):
-        out += [(*span, kind, value, ending) for kind, value, ending, span in _name_parts(m)]
+    titled = [part for m in NAME.finditer(text) for part in _name_parts(m)]
+    out += [(*span, kind, value, ending) for kind, value, ending, span in titled]
+    out += _repeats(text, titled)
     clean, last = [], 0
     for e in sorted(out, key=lambda e: (e[0], -e[1])):
         if e[0] >= last:
