@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from tidemark.llm.common import prepare, table
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
+from tidemark.llm.periodic import periodic_runs, runs_text
 from tidemark.llm.sql import ORACLE_SQL
 from tidemark.llm.superkmer import remove_repeats
 from tidemark.llm.surrogates import pseudonymise
@@ -123,9 +125,30 @@ def op10_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.size("spans") > 0).alias("contaminated"))
 
 
+def with_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Of every tenth id by its checksum, the words from one place on repeat the first of them."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = periodic_runs(table(spark, sf_dir, "documents"), edit=with_period)
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(runs_text("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pareto_mix, op2_toxicity, op3_stream_dedup, op4_warc_normalise, op5_pii_surrogates, op6_url_asof,
-    op7_repeat_windows, op8_chat_format, op9_minhash, op10_wu_manber)}
+    op7_repeat_windows, op8_chat_format, op9_minhash, op10_wu_manber, op11_periodic_runs)}
 
 
 def queries() -> dict[str, Query]:

@@ -169,5 +169,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+#: zlib's CRC-32 of a decimal number, bit by bit.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(string_split({0}::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda acc, ch: list_reduce(list_prepend(xor(acc, ch), list_transform(range(8), lambda z: 0::UBIGINT)),
+      lambda v, z: xor(v >> 1, (v & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+OP11 = f"""
+WITH d0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, {CRC32.format("doc_id")} AS h FROM documents),
+d1 AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10 % len(w))::BIGINT END AS a FROM d0),
+d2 AS (SELECT *, 1 + (n - a) // (3 + (g % 8)::BIGINT) AS p FROM d1),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w
+        ELSE list_transform(range(n), lambda i: w[(CASE WHEN i < a THEN i ELSE a + (i - a) % p END) + 1]) END AS w FROM d2),
+gr AS (SELECT doc_id, i, hash(array_to_string(w[i + 1:i + 8], ' ')) AS k, array_to_string(w[i + 1:i + 8], ' ') AS s
+       FROM d, LATERAL (SELECT unnest(range(n - 7)) AS i)),
+eq AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM gr a JOIN gr b ON a.doc_id = b.doc_id AND a.k = b.k AND a.s = b.s AND b.i > a.i),
+isl AS (SELECT doc_id, q, min(i) AS s, max(i) + 8 + q AS e FROM (
+          SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS grp FROM eq) GROUP BY doc_id, q, grp),
+ru AS (SELECT doc_id, s, e - s AS l, min(q) AS q FROM isl WHERE e - s >= greatest(24, 3 * q) GROUP BY doc_id, s, e),
+ag AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS said FROM ru GROUP BY doc_id),
+top AS (SELECT * FROM (SELECT doc_id, s, l, q, row_number() OVER (PARTITION BY doc_id ORDER BY (l::DOUBLE / q) DESC, s, q) AS nth FROM ru)
+        WHERE nth = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM ru),
+wd AS (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM wd ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period,
+  (1000 * l // q)::BIGINT AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256,
+  sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN ag USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE_SQL = {"op1_pareto_mix": OP1, "op3_stream_dedup": OP3, "op4_warc_normalise": OP4, "op6_url_asof": OP6,
-              "op7_repeat_windows": OP7, "op8_chat_format": OP8, "op9_minhash": OP9, "op10_wu_manber": OP10}
+              "op7_repeat_windows": OP7, "op8_chat_format": OP8, "op9_minhash": OP9, "op10_wu_manber": OP10,
+              "op11_periodic_runs": OP11}
