@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format, decontaminate, warc
 from tidemark.llm.common import prepare, table
+from tidemark.llm.divergence import source_divergence
 from tidemark.llm.exact_dedup import exact_duplicates
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix
@@ -146,9 +147,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(runs_text("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pareto_mix, op2_toxicity, op3_stream_dedup, op4_warc_normalise, op5_pii_surrogates, op6_url_asof,
-    op7_repeat_windows, op8_chat_format, op9_minhash, op10_wu_manber, op11_periodic_runs)}
+    op7_repeat_windows, op8_chat_format, op9_minhash, op10_wu_manber, op11_periodic_runs,
+    op13_source_divergence)}
 
 
 def queries() -> dict[str, Query]:
