@@ -20,6 +20,7 @@ from tidemark.llm.superkmer import remove_repeats
 from tidemark.llm.surrogates import pseudonymise
 from tidemark.llm.toxicity import THRESHOLD, ToxicityModel, held_out
 from tidemark.llm.url_lists import host_of, judge
+from tidemark.llm.vptree import VpIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +148,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(runs_text("runs"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    vectors = table(spark, sf_dir, "embeddings")
+    return VpIndex(vectors, most_k=20).search(vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -155,7 +162,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_pareto_mix, op2_toxicity, op3_stream_dedup, op4_warc_normalise, op5_pii_surrogates, op6_url_asof,
     op7_repeat_windows, op8_chat_format, op9_minhash, op10_wu_manber, op11_periodic_runs,
-    op13_source_divergence)}
+    op12_vantage_points, op13_source_divergence)}
 
 
 def queries() -> dict[str, Query]:

@@ -199,6 +199,18 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::B
 FROM d LEFT JOIN ag USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Exact search: what the trees find at factor one, and on small tables at larger ones.
+OP12 = """
+WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 OP13 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
              translate(coalesce(text, ''), {AZ}) AS text FROM documents),
@@ -224,4 +236,5 @@ SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part
 
 ORACLE_SQL = {"op1_pareto_mix": OP1, "op3_stream_dedup": OP3, "op4_warc_normalise": OP4, "op6_url_asof": OP6,
               "op7_repeat_windows": OP7, "op8_chat_format": OP8, "op9_minhash": OP9, "op10_wu_manber": OP10,
-              "op11_periodic_runs": OP11, "op13_source_divergence": OP13}
+              "op11_periodic_runs": OP11, "op12_vantage_points": OP12,
+              "op13_source_divergence": OP13}
