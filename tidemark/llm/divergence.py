@@ -30,41 +30,41 @@ TOP_TERMS = 200
 BLOCK_TERMS = 4096      # terms of a block, fewer where a lang has very many sources
 BLOCK_CELLS = 1 << 20   # terms times sources of a block
 SMALL_LANGS = 10_000    # rows up to which the table of langs is sent to every executor
-_HELD = 300_000         # different terms that a task counts before it passes them on
+_HELD = 400_000         # different terms that a task counts before it passes them on
+_DOCS = 24              # bits of its documents in such a count
 #: ASCII other than letters parts words; A-Z become a-z.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def _count_terms(batches) -> Iterator[pa.RecordBatch]:
     """Texts -> counts of a term and of its documents by group, added up in the task; each group once with no term."""
-    groups: dict[tuple, tuple[Counter, Counter]] = {}
-    held = 0
+    groups: dict[tuple, dict[bytes, int]] = {}  # occurrences << _DOCS | documents
+    held = docs = 0
 
     def flush():
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for (lang, source), (words, docs) in groups.items():
-            rows = [(None, 0, 0), *((t.decode(), n, docs[t]) for t, n in words.items())]
-            out[0].extend([lang] * len(rows))
-            out[1].extend([source] * len(rows))
-            for column, values in zip(out[2:], zip(*rows)):
-                column.extend(values)
+        for (lang, source), found in groups.items():
+            both = np.array(list(found.values()), np.int64) if max(found.values(), default=0) < 1 << 63 else \
+                np.array(list(found.values()), object)
+            size = len(found)
+            terms = pa.array([None, *found], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(lang, size + 1), pa.repeat(source, size + 1), terms,
+                 *(pa.array(np.append(0, c).astype(np.int64)) for c in (both >> _DOCS, both & (1 << _DOCS) - 1))],
+                ["lang", "source", "term", "n", "docs"])
         groups.clear()
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.string()) for c in out[:3]), *(pa.array(c, pa.int64()) for c in out[3:])],
-            ["lang", "source", "term", "n", "docs"])
     for batch in batches:
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(),
                                       utf8(batch.column("text"))):
-            words, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-            found = (text or b"").translate(_FOLD).split()
-            before = len(words)
-            words.update(found)
-            docs.update(set(found))
-            held += len(words) - before
-            if held > _HELD:
-                yield flush()
-                held = 0
-    yield flush()
+            found = groups.setdefault((lang, source), {})
+            before = len(found)
+            for term, n in Counter((text or b"").translate(_FOLD).split()).items():
+                found[term] = found.get(term, 0) + (n << _DOCS | 1)
+            held += len(found) - before
+            docs += 1
+            if held > _HELD or docs >> _DOCS:
+                yield from flush()
+                held = docs = 0
+    yield from flush()
 
 
 class Forest:
@@ -120,6 +120,16 @@ def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // q
 
 
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
+    """A column as indices into its values in order."""
+    codes = pc.dictionary_encode(column.combine_chunks())
+    values = codes.dictionary.to_pylist()
+    order = sorted(range(len(values)), key=values.__getitem__)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.arange(len(values))
+    return rank[codes.indices.to_numpy()], [values[i] for i in order]
+
+
 def _audit_block(top: int):
     """Counts of one block of a lang's terms -> prices of each pair of its groups, terms that set a group apart."""
     def work(key, block):
@@ -134,17 +144,13 @@ def _audit_block(top: int):
         def emit(part, source, items, values):
             for column, more in zip(out, ([part] * len(items), [source] * len(items), items, values)):
                 column.extend(more)
-        names = cells["term"].to_pylist()
-        n_of = np.array(cells["n"].to_pylist(), np.int64)
-        total: Counter = Counter()
-        for t, n in zip(names, n_of.tolist()):
-            total[t] += n
-        terms = sorted(total, key=lambda t: (-total[t], t))  # alike counts side by side: more equal subtrees
-        place = {t: i for i, t in enumerate(terms)}
+        (term, terms), (group, held) = (_coded(cells[c]) for c in ("term", "source"))
         if terms:
             counts = np.zeros((len(sources) + 1, len(terms)), np.int64)
-            counts[[row_of[s] for s in cells["source"].to_pylist()], [place[t] for t in names]] = n_of
-            counts[-1] = [total[t] for t in terms]
+            counts[np.array([row_of[s] for s in held])[group], term] = cells["n"].to_numpy()
+            counts[-1] = counts.sum(axis=0)
+            order = np.argsort(-counts[-1], kind="stable")  # alike counts side by side: more equal subtrees
+            counts, terms = counts[:, order], [terms[i] for i in order.tolist()]
             forest = Forest(counts)
         step = max(1, (1 << 19) // max(1, len(terms)))  # group pairs that are walked together
         for a, source in enumerate(sources):
