@@ -73,6 +73,29 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Plan nodes under which a scanned row keeps its place and stays one row.
+_ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias"}
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """True if ``docs`` is one file scan with nothing but deterministic projections and filters above it."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in _ROW_BY_ROW and node.deterministic():
+        node = node.children().head()
+    return node.nodeName() in ("LogicalRelation", "Relation") and node.children().isEmpty()
+
+
+def scanned(docs: DataFrame, *columns: str, name: str = "docs") -> DataFrame:
+    """``docs`` as a plain file scan: itself, or ``columns`` (all, if none) of it written to the shared folder.
+
+    Rows of an exploded, joined, unioned, limited or generated frame have no place of their own in a file.
+    """
+    if is_scan(docs):
+        return docs
+    picked = docs.select(*[docs[f"`{c}`"] for c in columns]) if columns else docs
+    return written(picked, scratch(docs.sparkSession, name))
+
+
 def located(docs: DataFrame, *columns: str, name: str = "docs") -> DataFrame:
     """``columns`` of ``docs`` plus ``_file`` and ``_row``, the row's place in its Parquet file.
 
@@ -80,14 +103,9 @@ def located(docs: DataFrame, *columns: str, name: str = "docs") -> DataFrame:
     ids repeat or are null. A frame that isn't a plain file scan is written to
     the shared folder first.
     """
-    from pyspark.errors import AnalysisException
-    pick = [docs[f"`{c}`"] for c in columns]
-    try:
-        meta = docs.metadataColumn("_metadata")
-        return docs.select(*pick, meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
-    except AnalysisException:
-        copy = written(docs.select(*pick), scratch(docs.sparkSession, name))
-        return located(copy, *columns)
+    docs = scanned(docs, *columns, name=name)
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(*[docs[f"`{c}`"] for c in columns], meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
 
 
 def utf8(column: pa.Array) -> list:

@@ -8,8 +8,8 @@ these are compared with the text word for word. A block that occurs in no
 pattern skips ``length - 2`` words at once.
 
 The patterns go to every task as a broadcast of bounded size: test items are
-dealt into groups of at most ``group_words`` words (longer items alone), and
-the corpus is scanned once per group, so a test set of any size works. Only
+dealt into groups of at most ``group_words`` words besides their longest item,
+and the corpus is scanned once per group, so a test set of any size works. Only
 the hits of a row, never its text, meet between groups.
 """
 
@@ -20,14 +20,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import located, utf8, word_count
+from tidemark.llm.common import located, scanned, scratch, utf8, written
 
 WINDOW = 10
 GROUP_WORDS = 200_000
 BLOCK = 3
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A-Z to lower case; every other ASCII byte that is no digit or lower-case letter becomes a space.
 FOLD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20
              for c in range(256))
@@ -152,27 +153,39 @@ _SCANNED = ("doc_id long, _file string, _row long, n_words long, spans array<str
             "items array<long>")
 
 
-def _joined(frame):
-    """Hits of one row from several groups of items; the spans of a row number at most its words a group."""
-    import pandas as pd
-    first = frame.iloc[0]
-    spans = merge([(s["start"], s["end"]) for part in frame["spans"] for s in part])
-    items = sorted({x for part in frame["items"] for x in part}, key=lambda x: (x is None, x))
-    return pd.DataFrame({"doc_id": [first["doc_id"]], "_file": [first["_file"]], "_row": [first["_row"]],
-                         "n_words": [first["n_words"]],
-                         "spans": [[{"start": a, "end": b} for a, b in spans]], "items": [items]})
+def _merge_parts(batches):
+    """Hits of a row from several groups of items -> its merged spans and the items in order."""
+    for batch in batches:
+        spans = [merge([(s["start"], s["end"]) for part in row for s in part]) for row in batch.column("spans").to_pylist()]
+        items = [sorted({x for part in row for x in part}, key=lambda x: (x is None, x))
+                 for row in batch.column("items").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("_file"), batch.column("_row"),
+             pa.array([[{"start": a, "end": b} for a, b in s] for s in spans],
+                      pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+             pa.array(items, pa.list_(pa.int64()))], ["_file", "_row", "spans", "items"])
 
 
-def item_groups(items: DataFrame, id_col: str, text_col: str, group_words: int):
-    """Yield lists of (id, text bytes) of at most about ``group_words`` words, one group at a time."""
-    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    # words between other separators: characters / 2 bounds them, white space words are the usual case
-    total = rows.agg(F.sum(F.greatest(word_count(F.col("text")), F.length("text") / 6))).first()[0] or 0
-    groups = max(1, -(-int(total) // group_words))
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
-    for g in range(groups):
-        yield [(r["item"], None if r["text"] is None else r["text"].encode()) for r in dealt.where(F.col("g") == g)
-               .select("item", "text").collect()]
+def item_groups(items: DataFrame, id_col: str, text_col: str, group_words: int) -> Iterator[list]:
+    """Yield lists of different (id, text bytes), one list at a time on the driver.
+
+    A list holds ``group_words`` words at most besides its longest item: the
+    items are dealt to buckets by hash, and inside a bucket cut by the running
+    sum of their words.
+    """
+    spark = items.sparkSession
+    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).distinct()
+    rows = rows.withColumn("n", F.coalesce(F.regexp_count("text", F.lit(ITEM_WORD)), F.lit(0)).cast("long"))
+    buckets = max(1, -(-int(rows.agg(F.sum("n")).first()[0] or 0) // group_words))
+    before = Window.partitionBy("bucket").orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = written(
+        rows.withColumn("bucket", F.pmod(F.xxhash64("item", "text"), F.lit(buckets)))
+        .withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / group_words)).drop("n"),
+        scratch(spark, "items"))
+    groups = dealt.select("bucket", "part").distinct().orderBy("bucket", "part").collect()  # two numbers a group
+    for bucket, part in groups:
+        yield [(r["item"], None if r["text"] is None else r["text"].encode())
+               for r in dealt.where((F.col("bucket") == bucket) & (F.col("part") == part)).select("item", "text").collect()]
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -182,20 +195,37 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     Null and empty texts have no words and no hits; an item without words
     matches nothing; with no items nothing is hit. An item with a null id is
-    searched like any other and listed as null, last. Repeated documents and
-    repeated items are each handled alike.
+    searched like any other and listed as null, last. Repeated documents are
+    handled alike, repeated items count once. A very long text is searched
+    whole. An empty table of documents gives an empty result.
+
+    Items of more than ``group_words`` words together are searched group by
+    group: one scan and one broadcast at a time, of which only rows with hits
+    are kept and joined to the documents.
     """
     spark = docs.sparkSession
+    docs = scanned(docs, id_col, text_col)
     src = located(docs, id_col, text_col).toDF("doc_id", "text", "_file", "_row")
     src = src.withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = [src.mapInArrow(_scan(spark.sparkContext.broadcast(group), width), _SCANNED)
-             for group in item_groups(items, item_col, item_text_col, group_words)]
-    if len(parts) == 1:
-        return parts[0]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole.groupBy("_file", "_row").applyInPandas(_joined, _SCANNED)
+    groups = item_groups(items, item_col, item_text_col, group_words)
+    group, following = next(groups, []), next(groups, None)
+    if following is None:
+        return src.mapInArrow(_scan(spark.sparkContext.broadcast(group), width), _SCANNED)
+    hits = None
+    while group is not None:
+        shared = spark.sparkContext.broadcast(group)
+        found = written(src.mapInArrow(_scan(shared, width), _SCANNED).where(F.size("spans") > 0)
+                        .select("_file", "_row", "spans", "items"), scratch(spark, "item-hits"))
+        shared.unpersist()
+        hits = found if hits is None else hits.unionByName(found)
+        group, following = following, next(groups, None)
+    merged = hits.groupBy("_file", "_row").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    merged = merged.mapInArrow(_merge_parts, "_file string, _row long, spans array<struct<start:long,end:long>>, items array<long>")
+    counted = src.mapInArrow(_scan(spark.sparkContext.broadcast([]), width), _SCANNED).drop("spans", "items")
+    none = F.array()
+    return counted.join(merged, ["_file", "_row"], "left").select(
+        "doc_id", "_file", "_row", "n_words", F.coalesce("spans", none.cast("array<struct<start:long,end:long>>")).alias("spans"),
+        F.coalesce("items", none.cast("array<long>")).alias("items"))
 
 
 def n_hit():

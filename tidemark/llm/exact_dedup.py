@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import located, normal_text, scratch, written
+from tidemark.llm.common import is_scan, located, normal_text, scanned, scratch, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_CONF = {
@@ -51,6 +51,7 @@ class ExactDedup:
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Log ``docs`` (rows of Parquet files that stay in place) and bring the state up to date."""
+        self._in_files(docs)
         src = located(docs, id_col, text_col).toDF("doc_id", "text", "_file", "_row")
         norm = normal_text(F.col("text"))
         log = src.select(F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row",
@@ -58,6 +59,11 @@ class ExactDedup:
         log.write.mode("append").parquet(f"{self.root}/log")
         self.update()
 
+    @staticmethod
+    def _in_files(*docs: DataFrame) -> None:
+        if not all(is_scan(d) for d in docs):
+            raise ValueError("the state points into files: write the frame and read it back first")
+
     def update(self) -> None:
         """Run micro-batches until every logged row is in the state."""
         spark = self.spark
@@ -94,32 +100,47 @@ class ExactDedup:
         return seen.groupBy("digest").agg(
             F.max(F.struct("group_size", "keep")).alias("top")).select("digest", "top.keep", "top.group_size")
 
-    def collisions(self, docs: DataFrame, state: DataFrame, text_col: str = "text") -> DataFrame:
-        """Digests of groups in which some row's full text differs from that of the row that stays."""
+    def collisions(self, docs: list[DataFrame], state: DataFrame, text_col: str = "text") -> DataFrame:
+        """Digests of groups in which some row's full text differs from that of the row that stays.
+
+        Both joins end in a write, so an executor's share of a digest with very many rows is split where it is large.
+        """
         groups = state.where("group_size > 1").select(
             "digest", F.col("keep.file").alias("keep_file"), F.col("keep.row").alias("keep_row"))
-        src = located(docs, text_col).toDF("text", "_file", "_row")
-        norm = normal_text(F.col("text"))
-        every = src.select(norm.alias("norm"), self.digest(norm).alias("digest"), "_file", "_row")
+        every = self._texts(docs, None, text_col).select("norm", "digest", "_file", "_row")
         hits = written(every.join(groups.hint("merge"), "digest"), scratch(self.spark, "dedup-hits"))
         stays = hits.where("_file = keep_file and _row = keep_row").select("digest", F.col("norm").alias("kept_norm"))
-        return hits.select("digest", "norm").join(stays, "digest").where("norm <> kept_norm").select("digest").distinct()
-
-    def decisions(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """One row per logged row: doc_id, _file, _row, keep_id, group_size, kept, text_sha256."""
+        differ = hits.select("digest", "norm").join(stays.hint("merge"), "digest").where("norm <> kept_norm")
+        return written(differ.select("digest"), scratch(self.spark, "dedup-differ")).distinct()
+
+    def _texts(self, docs: list[DataFrame], id_col: str | None, text_col: str) -> DataFrame:
+        """doc_id, norm, digest, _file, _row of the rows of all frames."""
+        out = None
+        for d in docs:
+            d = located(d, id_col, text_col).toDF("doc_id", "text", "_file", "_row") if id_col else \
+                located(d, text_col).toDF("text", "_file", "_row").withColumn("doc_id", F.lit(None))
+            norm = normal_text(F.col("text"))
+            d = d.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"),
+                         self.digest(norm).alias("digest"), "_file", "_row")
+            out = d if out is None else out.unionByName(d)
+        return out
+
+    def decisions(self, *docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """One row per logged row: doc_id, _file, _row, keep_id, group_size, kept, text_sha256.
+
+        ``docs``: the frames that were ingested.
+        """
+        self._in_files(*docs)
         cols = ["doc_id", "_file", "_row", "keep_id", "group_size", "kept", "text_sha256"]
         state = written(self.state(), scratch(self.spark, "dedup-state"))
-        bad = written(self.collisions(docs, state, text_col), scratch(self.spark, "dedup-collisions"))
+        bad = written(self.collisions(list(docs), state, text_col), scratch(self.spark, "dedup-collisions"))
         rows = self.log().join(state, "digest")
         stays = (F.col("_file") == F.col("keep.file")) & (F.col("_row") == F.col("keep.row"))
         result = rows.withColumn("keep_id", F.col("keep.id")).withColumn("kept", stays)
         if bad.isEmpty():
             return result.select(cols)
         # regroup colliding digests on the full text
-        src = located(docs, id_col, text_col).toDF("doc_id", "text", "_file", "_row")
-        norm = normal_text(F.col("text"))
-        mixed = src.select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"),
-                           self.digest(norm).alias("digest"), "_file", "_row").join(bad, "digest", "left_semi")
+        mixed = self._texts(list(docs), id_col, text_col).join(bad, "digest", "left_semi")
         mine = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
                         F.col("_file").alias("file"), F.col("_row").alias("row"))
         exact = mixed.groupBy("norm").agg(F.min(mine).alias("keep"), F.count("*").alias("group_size"))
@@ -136,8 +157,9 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     table gives an empty result.
     """
     spark = docs.sparkSession
+    docs = scanned(docs, id_col, text_col)
     job = ExactDedup(spark, scratch(spark, "exact-dedup"))
     job.ingest(docs, id_col, text_col)
-    return job.decisions(docs, id_col, text_col)
+    return job.decisions(docs, id_col=id_col, text_col=text_col)
 
 

@@ -160,9 +160,10 @@ def _count_terms(batches):
              pa.array([clean[t] for t in part], pa.int64())], ["term", "toxic", "clean"])
 
 
-def learn_lexicon(train: DataFrame, limit: int = 600) -> frozenset[str]:
+def learn_lexicon(train: DataFrame) -> frozenset[str]:
     """Terms that mark toxic texts in ``train`` (text, label): at least 4 different toxic texts
-    and 1.5 per cent of them, 12 times the clean rate."""
+    and 1.5 per cent of them, 12 times the clean rate. As each is in that share of the toxic texts, there are
+    at most 67 times as many as a toxic text has terms on average."""
     distinct = train.dropDuplicates(["text"])
     total = distinct.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).first()
     nt, nc = total["t"] or 0, total["c"] or 0
@@ -172,7 +173,7 @@ def learn_lexicon(train: DataFrame, limit: int = 600) -> frozenset[str]:
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     lift = ((F.col("toxic") + 0.5) / (nt + 1)) / ((F.col("clean") + 0.5) / (nc + 1))
     best = (counts.where((F.col("toxic") >= max(4, 0.015 * nt)) & (lift >= 12) & (F.col("clean") <= 0.01 * nc + 1))
-            .orderBy((F.col("toxic") * F.log(lift)).desc(), "term").limit(limit).collect())
+            .select("term").collect())
     stems = {r["term"] for r in best if r["term"].endswith("*")}
     # a term that a chosen shorter beginning covers adds nothing
     return frozenset(t for t in (r["term"] for r in best)
@@ -204,6 +205,7 @@ class ToxicityModel:
         rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(
             F.broadcast(sample), "doc_id").withColumn(
             "fits", F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / 3) % 4 != 1).persist()
+        ready = None
         try:
             train = rows.where("fits").select("text", "label")
             learnt = learn_lexicon(train)
@@ -219,10 +221,11 @@ class ToxicityModel:
             apart = ready.where("not fits") if {(False, 0.0), (False, 1.0)} <= kinds else ready
             judged = trees.transform(apart).select(vector_to_array("probability")[1].alias("raw"), "label")
             calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(judged)
-            ready.unpersist()
             return cls(learnt, trees, calibration)
         finally:
             rows.unpersist()
+            if ready is not None:
+                ready.unpersist()
 
     def score(self, docs: DataFrame, *keep: str, text_col: str = "text") -> DataFrame:
         """``keep`` columns of ``docs`` plus ``score``. Null text counts as empty.
