@@ -65,7 +65,7 @@ def test_hot_key_is_combined_map_side(spark, sf_small):
     ch = spark.createDataFrame(rows, "op string, seq long, id long, v string")
     out = apply_changes(ch, ["id"])
     plan = _plan(out)
-    assert "partial_max_by" in plan
+    assert "partial_max" in plan
     assert out.where(F.col("id") == 0).collect()[0].v == "v2997"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
     plan = _plan(queries()["agent_workload"](spark, sf_small))

@@ -3,7 +3,7 @@ logs with redelivery, and the keyed table sync.
 
 ``apply_changes`` is the core: for every key keep the change with the highest
 ``(seq, op rank)`` and drop keys whose winning change is a delete. It is one
-sort aggregate with ``max_by`` — partial (map-side) aggregation collapses a hot
+sort aggregate with ``max`` of a struct — partial (map-side) aggregation collapses a hot
 key to one row per input partition before the shuffle, so a key holding a
 third of all changes costs one small row per task, not a third of the data in
 one task. The same function runs over a full log (batch) or over
@@ -16,6 +16,7 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed op codes of the change log: create, update, delete (reads 'r' count as create).
 OP_RANK = {"r": 0, "c": 0, "u": 1, "d": 2}
@@ -29,14 +30,27 @@ def op_rank(op: Column) -> Column:
     return e.otherwise(1)
 
 
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t.fields)
+    return _orderable(t.elementType) if isinstance(t, T.ArrayType) else not isinstance(t, (T.MapType, T.VariantType))
+
+
 def latest_changes(changes: DataFrame, keys: list[str], seq: str = "seq", op: str = "op") -> DataFrame:
     """The winning change row per key (deletes included, as tombstones). Changes of
-    equal seq and op rank are told apart by a hash of the whole row, so the winner
-    does not depend on the order in which they are read."""
-    vals = [c for c in changes.columns if c not in keys]
-    order = F.struct(F.col(seq), op_rank(F.col(op)), F.xxhash64(*vals))
-    w = changes.groupBy(*keys).agg(F.max_by(F.struct(*vals), order).alias("_w"))
-    return w.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in vals])
+    equal seq and op rank are told apart by their values, so the winner does not
+    depend on the order in which they are read; values are only compared where seq
+    and rank tie. Columns without an order (maps) are told apart by a hash."""
+    vals = [f for f in changes.schema.fields if f.name not in keys]
+    plain = [f.name for f in vals if _orderable(f.dataType)]
+    other = [f.name for f in vals if f.name not in plain]
+    rank = F.struct(F.col(seq).alias("s"), op_rank(F.col(op)).alias("r"), F.struct(*plain).alias("v"))
+    if other:
+        tie = F.struct(rank, F.xxhash64(*[F.to_json(F.struct(c)) for c in other]))
+        w = changes.groupBy(*keys).agg(F.max_by(F.struct(*[f.name for f in vals]), tie).alias("_w"))
+        return w.select(*keys, *[F.col(f"_w.{f.name}").alias(f.name) for f in vals])
+    w = changes.groupBy(*keys).agg(F.max(rank).alias("_w"))
+    return w.select(*keys, *[F.col(f"_w.v.{c}").alias(c) for c in plain])
 
 
 def apply_changes(changes: DataFrame, keys: list[str], seq: str = "seq", op: str = "op",

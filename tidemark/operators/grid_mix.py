@@ -72,7 +72,7 @@ def dispatch_quality(dispatch_ods: DataFrame, device_ods: DataFrame) -> DataFram
         F.count(F.lit(1)).alias("nv"), R.count_if(v > 240).alias("n240"), R.count_if(v > 230).alias("n230"),
         R.count_if(t > 75).alias("n_hot"))
     kv = F.col("voltage_level_kv")
-    d = dispatch_ods.withColumn("_p", R.region_prefix(F.col("grid_region"))).join(per, "_p")
+    d = dispatch_ods.withColumn("_p", R.region_prefix(F.col("grid_region"))).join(F.broadcast(per), "_p")  # one row a region prefix
     zero = F.lit(0).cast("bigint")
     excellent = F.when(kv > 750, F.col("n240")).otherwise(zero)
     return d.select(

@@ -53,7 +53,8 @@ def weighted_dispatch(dispatch_ods: DataFrame, device_ods: DataFrame, lo: F.Colu
     """Dispatches since ``lo``, each with the number of detail rows it produces."""
     d = dispatch_ods.where(F.col("event_time") >= lo).select(
         "dispatch_id", "event_time", R.region_prefix(F.col("grid_region")).alias("_p"))
-    return d.join(devices_per_region(device_ods), "_p", "inner")
+    # one row a region prefix: the bound of what is broadcast; the dispatches stay where they are
+    return d.join(F.broadcast(devices_per_region(device_ods)), "_p", "inner")
 
 
 def _pairs_since(dispatch_ods, device_ods, lo) -> DataFrame:

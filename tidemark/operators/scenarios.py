@@ -58,22 +58,33 @@ def range_join(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str,
 
 
 def window_sums(left: DataFrame, right: DataFrame, key: str, left_id: str, lo: Column, hi: Column, rts: str,
-                sums: dict[str, Column], last: tuple[str, str] | None = None, bucket_min: int = 60) -> DataFrame:
+                sums: dict[str, Column], last: tuple[str, str] | None = None, bucket_min: int = 60,
+                sums_until: Column | None = None) -> DataFrame:
     """For each ``left_id``: ``n`` and ``sums`` over the right rows of its ``key`` with ``rts`` in
     [lo, hi] (microseconds, inclusive), and with ``last = (value, tiebreak)`` the value of the
-    last of them. Left rows whose window holds no right row do not come out."""
+    last of them. ``sums_until`` ends the sums (and ``n``) earlier than the window, in the same pass.
+    Left rows whose window holds no right row do not come out."""
     width = bucket_min * 60_000_000
 
     def bucket(t: Column) -> Column:
         return ((t - F.pmod(t, F.lit(width))) / width).cast("bigint")
 
-    def point(t: Column, order: int, sign: int) -> Column:  # window ends sort before or after readings of their time
-        return F.struct(t.alias("_t"), F.lit(order).alias("_o"), F.lit(sign).alias("_s"))
-    spans = left.where(F.col(key).isNotNull()).select(key, left_id, lo.alias("_lo"), hi.alias("_hi")).where("_lo <= _hi")
-    spans = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
+    def point(t: Column, order: Column | int, sign: int, is_last: bool = False) -> Column:
+        # window ends sort before or after readings of their time
+        order = F.lit(order) if isinstance(order, int) else order
+        return F.struct(t.alias("_t"), order.alias("_o"), F.lit(sign).alias("_s"), F.lit(is_last).alias("_l"))
+    spans = left.where(F.col(key).isNotNull()).select(
+        key, left_id, lo.alias("_lo"), hi.alias("_hi"), (hi if sums_until is None else sums_until).alias("_until"))
+    spans = spans.where("_lo <= _hi").withColumn("_b", F.explode(F.sequence(bucket(F.col("_lo")), bucket(F.col("_hi")))))
     first, end = F.greatest(F.col("_lo"), F.col("_b") * width), F.least(F.col("_hi"), (F.col("_b") + 1) * width - 1)
-    ends = spans.withColumn("_first", first).select(
-        key, left_id, "_b", "_first", F.explode(F.array(point(first, 0, -1), point(end, 2, 1))).alias("_p")).select(
+    until = F.least(F.col("_until"), end)
+    points = [point(first, 0, -1)]
+    if sums_until is None:
+        points.append(point(end, 2, 1, last is not None))
+    else:  # sums that end before this bucket's part of the window take back what its begin takes away
+        none = until < first
+        points += [point(F.when(none, first).otherwise(until), F.when(none, 0).otherwise(2), 1), point(end, 2, 0, True)]
+    ends = spans.withColumn("_first", first).select(key, left_id, "_b", "_first", F.explode(F.array(*points)).alias("_p")).select(
         key, left_id, "_b", "_first", "_p.*")
     t = _micros(F.col(rts))
     values = {"n": F.lit(1).cast("bigint"), **sums}
@@ -82,13 +93,15 @@ def window_sums(left: DataFrame, right: DataFrame, key: str, left_id: str, lo: C
         *([F.struct(t.alias("t"), F.col(last[1]).alias("tie"), F.col(last[0]).alias("value")).alias("_last")] if last else []))
     run = Window.partitionBy(key, "_b").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = ends.unionByName(rows, allowMissingColumns=True)
-    sofar = both.select(left_id, "_o", "_s", "_first", *[F.sum(n).over(run).alias(n) for n in values],
+    sofar = both.select(left_id, "_o", "_s", "_l", "_first", *[F.sum(n).over(run).alias(n) for n in values],
                         *([F.max("_last").over(run).alias("_last")] if last else [])).where("_o <> 1")
     totals = [F.sum(F.coalesce(F.col(n), F.lit(0)) * F.col("_s")).alias(n) for n in values]
     if last:
-        totals.append(F.max(F.when((F.col("_s") == 1) & (F.col("_last.t") >= F.col("_first")), F.col("_last"))).alias("_last"))
-    out = sofar.groupBy(left_id).agg(*totals).where("n > 0")
-    return out.withColumn("last", F.col("_last.value")).drop("_last") if last else out
+        totals.append(F.max(F.when(F.col("_l") & (F.col("_last.t") >= F.col("_first")), F.col("_last"))).alias("_last"))
+    out = sofar.groupBy(left_id).agg(*totals)
+    if not last:
+        return out.where("n > 0")
+    return out.where("n > 0 OR _last IS NOT NULL").withColumn("last", F.col("_last.value")).drop("_last")
 
 
 # ---------------------------------------------------------------- scenario 1
@@ -185,11 +198,10 @@ def fault_analysis(alarms: DataFrame, readings: DataFrame, as_of: dt.datetime, w
     lo = at - window_min * 60_000_000
     faults = f.select("alarm_id", "equipment_id", "occurred_at")
     power = {"p_sum": F.col("power_active").cast("decimal(18,2)"), "p_n": F.col("power_active").isNotNull().cast("bigint")}
-    before = window_sums(faults, r, "equipment_id", "alarm_id", lo, at - 1, "monitoring_time", power).select(
-        "alarm_id", F.round(F.try_divide("p_sum", "p_n"), 4).cast("double").alias("pre"))
-    newest = window_sums(faults, r, "equipment_id", "alarm_id", lo, at, "monitoring_time", {},
-                         last=("power_active", "monitoring_id")).select("alarm_id", F.col("last").alias("at_fault"))
-    per = newest.join(before, "alarm_id", "left")
+    # one pass over the readings: the sums end before the fault, the as-of value is taken at it
+    per = window_sums(faults, r, "equipment_id", "alarm_id", lo, at, "monitoring_time", power,
+                      last=("power_active", "monitoring_id"), sums_until=at - 1).select(
+        "alarm_id", F.round(F.try_divide("p_sum", "p_n"), 4).cast("double").alias("pre"), F.col("last").alias("at_fault"))
     j = f.join(per, "alarm_id", "left")
     prio = F.when(F.col("alarm_level") >= 5, "URGENT").otherwise("HIGH")
     cause = None

@@ -1,27 +1,23 @@
-"""Incremental maintenance of the orders chain (ODS → DWD → DWS) from one
-change stream, with affected-key recompute inside ``foreachBatch``.
+"""Incremental maintenance of the orders chain (ODS → DWD → DWS → ADS) from one
+change stream, by signed deltas inside ``foreachBatch``.
 
-Per micro-batch ``b`` (all reads versioned, so a retried batch recomputes the
-same rows and overwrites its own files):
+Per micro-batch ``b`` (all reads are as of ``b - 1``, so a retried batch computes
+the same rows and overwrites its own files):
 
 1. ODS: user and order changes are appended to their PK tables as batch ``b``.
-2. Affected keys: changed orders O; changed users U; orders of U (a renamed
-   user rewrites old facts); the *previous* user of every changed order (read
-   from DWD as of ``b-1``) so an order that moves between users fixes both.
-3. DWD: ``dwd_orders`` rows of the affected orders are recomputed from the
-   current ODS state (orders LEFT JOIN users); vanished orders get tombstones.
-   A second copy keyed (user_id, order_id) and bucketed by user is the index
-   that answers "orders of these users".
-4. DWS: ``user_stats_left`` of the affected users is recomputed from DWD;
-   users that now vanish (only non-completed orders) get tombstones.
-
-Every state read is restricted to the affected keys: a broadcast semi join on
-the bucket partition column (dynamic partition pruning) and then on the key,
-so a micro-batch reads the buckets it touches, not the whole state.
-
-Affected-key sets are DataFrames joined back (semi joins) — never collected.
-The same batch functions as the full-snapshot jobs compute every row, so the
-stream result equals the batch result on the final state (tested).
+2. The changed orders before and after the batch become signed rows of their
+   users, so an order that moves between users, changes its status or vanishes
+   is taken from the one and added to the other.
+3. Counters: sums per user, and how many completed orders a user has per day
+   and per instant. Only differences are added; no order is read again,
+   however many its user has.
+4. DWS: a row per touched user: the sums, and the newest completed order. The
+   newest moves up by the batch itself; where it was taken back, the newest day
+   that still counts orders and in it the newest instant follow from the day
+   counters of that user and the instants of that day.
+5. DWD and ADS hold no copies: the orders are joined with the users of the same
+   version when they are read (a rename rewrites no old fact), the segments
+   follow from the DWS rows.
 """
 
 from __future__ import annotations
@@ -36,6 +32,7 @@ from tidemark.operators import orders as O
 from tidemark.session import shared_path
 from tidemark.sources import changes as CH
 from tidemark.streaming.pktable import PKTable
+from tidemark.streaming.totals import MONEY, SignedSums, changed_rows
 
 USER_COLS = ["id", "username", "email", "created_at", "updated_at"]
 ORDER_COLS = ["id", "user_id", "order_amount", "order_status", "created_at", "updated_at"]
@@ -44,13 +41,103 @@ DWD_COLS = ["order_id", "user_id", "username", "email", "order_amount", "order_s
 DWS_COLS = ["user_id", "username", "total_amount", "total_orders", "avg_order_amount", "last_order_date"]
 
 
-def state_at(t: PKTable, version: int, template: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """State of ``t`` after batch ``version`` restricted to ``only``; empty
-    (template schema) before the table's first write."""
-    try:
-        return t.as_of(version, only).select(*template.columns)
-    except FileNotFoundError:
-        return template.limit(0)
+class DwdOrders:
+    """The DWD orders as of any batch: versioned facts joined with the versioned dimension when read."""
+
+    def __init__(self, orders: PKTable, users: PKTable, day):
+        self.orders, self.users, self.day = orders, users, day
+
+    def as_of(self, version: int) -> DataFrame:
+        return self._join(self.orders.as_of(version), self.users.as_of(version))
+
+    def read(self) -> DataFrame:
+        return self._join(self.orders.read(), self.users.read())
+
+    def _join(self, orders: DataFrame, users: DataFrame) -> DataFrame:
+        return O.dwd_orders(orders, users, self.day).select(*DWD_COLS)
+
+
+class UserTops:
+    """Per user: sums over the orders and the newest completed one, with retraction.
+
+    ``counts`` has three kinds of rows. (user, -, -): the user's sums.
+    (user, -, day): completed orders of a day. (user, day, instant): completed
+    orders of an instant. The first two share the user's bucket and are at most
+    a row a day; instants are spread over buckets by day.
+    """
+
+    SUMS = {"kept": "bigint", "amount": MONEY, "n_amount": "bigint"}
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 4):
+        self.counts = SignedSums(spark, f"{root}/user_counts", ["user_id", "day", "slot"], self.SUMS, buckets,
+                                 bucket_keys=["user_id", "day"])
+        self.rows = PKTable(spark, f"{root}/dws_user_stats", ["user_id"], buckets, schema=(
+            f"op string, seq bigint, user_id bigint, n bigint, kept bigint, amount {MONEY}, n_amount bigint, top bigint"))
+
+    def _signed(self, changed: DataFrame) -> DataFrame:
+        one = changed.select(F.explode(F.array(
+            F.struct(F.lit(-1).alias("sign"), F.col("before").alias("o")),
+            F.struct(F.lit(1).alias("sign"), F.col("after").alias("o")))).alias("x")).where(
+            "x.o IS NOT NULL AND x.o.user_id IS NOT NULL").select("x.sign", "x.o.*")
+        status, none = F.col("order_status"), F.lit(None).cast("bigint")
+        kept = ((status == "completed") | status.isNull()).cast("int")
+        amount = F.when(kept == 1, F.col("order_amount"))
+        slot = F.unix_micros(F.to_timestamp("created_at"))
+        day = F.floor(slot / F.lit(86_400_000_000)).cast("bigint")
+
+        def level(day, slot, n, amount):
+            return F.struct(day.alias("day"), slot.alias("slot"), n.alias("n"), kept.alias("kept"),
+                            amount.cast(MONEY).alias("amount"), amount.isNotNull().cast("int").alias("n_amount"))
+        nothing = F.lit(None).cast(MONEY)
+        # only completed orders that have a time count for days and instants
+        timed = (kept == 1) & slot.isNotNull()
+        levels = F.concat(F.array(level(none, none, F.lit(1), amount)), F.when(timed, F.array(
+            level(none, day, kept, nothing), level(day, slot, kept, nothing))).otherwise(F.array()))
+        rows = one.select("sign", "user_id", F.explode(levels).alias("l")).select("sign", "user_id", "l.*")
+        return self.counts.signed(rows, F.col("sign"))
+
+    def apply(self, changed: DataFrame, b: int) -> None:
+        """``changed``: the orders of a batch before and after it."""
+        touched = self.counts.add(self._signed(changed), b)
+        instant, total = F.col("day").isNotNull(), F.col("day").isNull() & F.col("slot").isNull()
+        now = touched.groupBy("user_id").agg(
+            F.max(F.when(total, F.struct("n", *self.SUMS))).alias("sums"),
+            F.max(F.when(instant & (F.col("kept") > 0), F.col("slot"))).alias("risen"),
+            F.max(F.when(instant & (F.col("kept") == 0), F.col("slot"))).alias("gone"))
+        met = now.withColumns({"old": F.lit(None).cast(
+            "struct<s:bigint,op:string,n:bigint," + ",".join(f"{c}:{t}" for c, t in self.SUMS.items()) + ",top:bigint>")})
+        stored = self.rows.changes_upto(b - 1, now.select("user_id"), whole_buckets=True)
+        if stored is not None:
+            met = met.unionByName(stored.select("user_id", F.struct(
+                F.col("seq").alias("s"), "op", "n", *self.SUMS, "top").alias("old")), allowMissingColumns=True)
+        # a user is touched where a counter changed; one whose own sums did not change keeps them
+        met = met.withColumn("hit", F.col("old").isNull()).groupBy("user_id").agg(
+            *[F.max(c).alias(c) for c in ("sums", "risen", "gone", "old", "hit")]).where("hit")
+        met = met.withColumn("old", F.when(F.col("old.op") != "d", F.col("old")))
+        # an instant of this batch that no longer counts any order was at most the newest: it was the newest or it is not
+        fell = F.coalesce(F.col("gone") >= F.col("old.top"), F.lit(False))
+        met = met.withColumn("was", F.when(~fell, F.col("old.top")))
+        lost = fell & ~F.coalesce(F.col("risen") > F.col("old.top"), F.lit(False))
+        rows = met.select(
+            "user_id", F.coalesce("sums", F.struct(F.col("old.n").alias("n"), *[F.col(f"old.{c}").alias(c) for c in self.SUMS])).alias("sums"),
+            lost.alias("lost"), F.greatest("was", "risen").alias("top")).persist()
+        search, found = rows.where("lost").select("user_id"), rows.select("user_id", "sums", "top")
+        if not search.isEmpty():  # the newest completed order of these users was taken back
+            found = rows.join(self._newest(search, b), "user_id", "left").select(
+                "user_id", "sums", F.when(F.col("lost"), F.col("at")).otherwise(F.col("top")).alias("top"))
+        self.rows.write_batch(found.select("user_id", "sums.*", "top").select(
+            F.when(F.col("n") == 0, "d").otherwise("u").alias("op"), F.lit(b).cast("bigint").alias("seq"),
+            "user_id", "n", *self.SUMS, "top"), b)
+        for df in (touched, rows):
+            df.unpersist()
+
+    def _newest(self, users: DataFrame, b: int) -> DataFrame:
+        """user_id, at: the newest instant that still counts completed orders, from the day counters of these users
+        and the instants of one day each."""
+        days = self.counts.table.as_of(b, only=users.select("user_id", F.lit(None).cast("bigint").alias("day")))
+        newest = days.where("day IS NULL AND slot IS NOT NULL AND kept > 0").groupBy("user_id").agg(F.max("slot").alias("day"))
+        instants = self.counts.table.as_of(b, only=newest).where("day IS NOT NULL AND kept > 0")
+        return instants.groupBy("user_id").agg(F.max("slot").alias("at"))
 
 
 class OrdersChain:
@@ -60,21 +147,17 @@ class OrdersChain:
         snapshot, so per-batch reads stop growing with the number of batches."""
         self.spark, self.root, self.as_of = spark, root, as_of
         self.compact_every = compact_every
-        self.ods_users = PKTable(spark, f"{root}/ods_users", ["id"], buckets)
-        self.ods_orders = PKTable(spark, f"{root}/ods_orders", ["id"], buckets)
-        self.dwd_orders = PKTable(spark, f"{root}/dwd_orders", ["order_id"], buckets)
-        # the same rows keyed (user_id, order_id) and bucketed by user: the
-        # orders of a set of users are read from their buckets only
-        self.dwd_by_user = PKTable(spark, f"{root}/dwd_orders_by_user", ["user_id", "order_id"], buckets,
-                                   bucket_keys=["user_id"])
-        self.dws_users = PKTable(spark, f"{root}/dws_user_stats", ["user_id"], buckets)
-        # per-date partial sums (count, amount, completed, pending): every measure
-        # is invertible, so a batch applies signed deltas of its changed orders
+        self.ods_users = PKTable(spark, f"{root}/ods_users", ["id"], buckets, schema=(
+            "op string, seq bigint, id bigint, username string, email string, created_at timestamp_ntz, updated_at timestamp_ntz"))
+        self.ods_orders = PKTable(spark, f"{root}/ods_orders", ["id"], buckets, schema=(
+            "op string, seq bigint, id bigint, user_id bigint, order_amount decimal(12,2), order_status string, "
+            "created_at timestamp_ntz, updated_at timestamp_ntz"))
+        self.dwd_orders = DwdOrders(self.ods_orders, self.ods_users, as_of)
+        self.dws_users = UserTops(spark, root, buckets)
+        # per-date partial sums: every measure is invertible, so a batch adds signed differences
         self.with_daily = with_daily
-        self.dws_daily = PKTable(spark, f"{root}/dws_daily", ["stat_date"], buckets)
-
-    # ------------------------------------------------------------ helpers
-    _state = staticmethod(state_at)
+        self.dws_daily = SignedSums(spark, f"{root}/dws_daily", ["stat_date"], {
+            "amount": MONEY, "completed": "bigint", "pending": "bigint"}, buckets)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -87,126 +170,40 @@ class OrdersChain:
                 t.compact(int(batch_id), expire=True)
 
     def tables(self) -> list[PKTable]:
-        tables = [self.ods_users, self.ods_orders, self.dwd_orders, self.dwd_by_user, self.dws_users]
-        return tables + ([self.dws_daily] if self.with_daily else [])
-
-    @staticmethod
-    def _rows(df: DataFrame, op: str, b: int, cols: list[str]) -> DataFrame:
-        return df.select(F.lit(op).alias("op"), F.lit(b).cast("bigint").alias("seq"), *cols)
+        tables = [self.ods_users, self.ods_orders, self.dws_users.counts.table, self.dws_users.rows]
+        return tables + ([self.dws_daily.table] if self.with_daily else [])
 
     def _process(self, batch: DataFrame, b: int) -> None:
-        users_ch = batch.where(F.col("tbl") == "users").select("op", "seq", *USER_COLS)
-        orders_ch = batch.where(F.col("tbl") == "orders").select("op", "seq", *ORDER_COLS)
-
-        # 1. ODS (a table without changes in this batch gets no log batch: reads are by version)
-        has_users = not users_ch.isEmpty()  # cheap: the batch is persisted
-        if has_users:
-            self.ods_users.write_batch(users_ch, b)
-        self.ods_orders.write_batch(orders_ch, b)
-
-        # 2. affected orders: changed orders + current orders of changed users
-        changed_users = users_ch.select(F.col("id").alias("user_id")).distinct()
-        affected = orders_ch.select(F.col("id").alias("order_id"))
-        if has_users:
-            by_user_t = self._by_user_template(orders_ch, users_ch)
-            of_users = self._state(self.dwd_by_user, b - 1, by_user_t, changed_users).select("order_id")
-            affected = affected.unionByName(of_users)
-        affected = affected.distinct().persist()
-
-        # 3. DWD rows of the affected orders from the current ODS state
-        orders = self._state(self.ods_orders, b, orders_ch.select(*ORDER_COLS),
-                             affected.select(F.col("order_id").alias("id"))).persist()
-        need_users = orders.select(F.col("user_id").alias("id")).unionByName(
-            changed_users.select(F.col("user_id").alias("id")))
-        users = self._state(self.ods_users, b, users_ch.select(*USER_COLS), need_users).persist()
-        cur = O.dwd_orders(orders, users, self.as_of).select(*DWD_COLS).persist()
-        prev = self._state(self.dwd_orders, b - 1, cur.select(*DWD_COLS), affected).persist()
-        dwd_rows = self._rows(cur, "u", b, DWD_COLS)
-        # an affected order can only be missing from the current state if the batch deletes orders
-        if not orders_ch.where(F.col("op") == "d").isEmpty():
-            gone = affected.join(cur.select("order_id"), "order_id", "left_anti")
-            dwd_rows = dwd_rows.unionByName(self._rows(gone, "d", b, ["order_id"]), allowMissingColumns=True)
-        self.dwd_orders.write_batch(dwd_rows, b)
-
-        # 4. the by-user index: new (user, order) rows, tombstones where the owner changed or the order is gone
-        moved = prev.join(cur.select("order_id", F.col("user_id").alias("new_uid")), "order_id", "left") \
-            .where(F.col("new_uid").isNull() | (F.col("new_uid") != F.col("user_id"))) \
-            .where(F.col("user_id").isNotNull())
-        self.dwd_by_user.write_batch(
-            self._rows(cur.where(F.col("user_id").isNotNull()), "u", b, DWD_COLS).unionByName(
-                self._rows(moved, "d", b, ["user_id", "order_id"]), allowMissingColumns=True), b)
-
-        # 5. DWS rows of the affected users (new owners, previous owners, changed users)
-        aff_users = (cur.select("user_id").unionByName(changed_users).unionByName(prev.select("user_id"))
-                     .where(F.col("user_id").isNotNull()).distinct().persist())
-        d_orders = self._state(self.dwd_by_user, b, cur, aff_users)
-        # users of the affected set: those already read for the DWD step plus the previous owners
-        prev_only = prev.select(F.col("user_id").alias("id")).where(F.col("id").isNotNull()) \
-            .join(users.select("id"), "id", "left_anti")
-        known = users
-        if not prev_only.isEmpty():  # owners that lost orders and are not read yet
-            known = users.unionByName(self._state(self.ods_users, b, users_ch.select(*USER_COLS), prev_only))
-        d_users = O.dwd_users(known.join(aff_users.select(F.col("user_id").alias("id")), "id", "left_semi"),
-                              self.as_of)
-        stats = O.user_stats_left(d_users, d_orders, self.as_of).select(*DWS_COLS).persist()
-        vanished = aff_users.join(stats.select("user_id"), "user_id", "left_anti")
-        self.dws_users.write_batch(
-            self._rows(stats, "u", b, DWS_COLS).unionByName(self._rows(vanished, "d", b, ["user_id"]),
-                                                            allowMissingColumns=True), b)
+        users = batch.where(F.col("tbl") == "users").select("op", "seq", *USER_COLS)
+        orders = batch.where(F.col("tbl") == "orders").select("op", "seq", *ORDER_COLS)
+        if not users.isEmpty():  # cheap: the batch is persisted; a table without changes gets no log batch
+            self.ods_users.write_batch(users, b)
+        changed = changed_rows(self.ods_orders, orders, b).persist()
+        self.ods_orders.write_batch(orders, b)
+        self.dws_users.apply(changed, b)
         if self.with_daily:
-            self._daily(cur, prev, b)
-        for df in (cur, prev, affected, aff_users, stats, orders, users):
-            df.unpersist()
+            before, after = (changed.where(F.col(c).isNotNull()).select(f"{c}.*") for c in ("before", "after"))
+            self.dws_daily.apply(self._day_rows(after), self._day_rows(before), b).unpersist()
+        changed.unpersist()
 
-    def _daily(self, cur: DataFrame, prev: DataFrame, b: int) -> None:
-        """dws_daily += contributions of the current rows − those of the previous rows."""
-        def contrib(df: DataFrame, sign: int) -> DataFrame:
-            st = F.col("order_status")
-            return df.select(F.to_date("created_at").alias("stat_date"), F.lit(sign).cast("bigint").alias("n"),
-                             (F.col("order_amount") * sign).cast("decimal(22,2)").alias("amt"),
-                             F.when(st == "completed", sign).otherwise(0).cast("bigint").alias("done"),
-                             F.when(st == "pending", sign).otherwise(0).cast("bigint").alias("pend"))
-        delta = contrib(cur, 1).unionByName(contrib(prev, -1)).groupBy("stat_date").agg(
-            F.sum("n").alias("n"), F.sum("amt").alias("amt"), F.sum("done").alias("done"),
-            F.sum("pend").alias("pend"))
-        cols = ["stat_date", "total_orders", "total_amount", "completed_orders", "pending_orders"]
-        template = delta.select(F.col("stat_date"), F.col("n").alias("total_orders"),
-                                F.col("amt").alias("total_amount"), F.col("done").alias("completed_orders"),
-                                F.col("pend").alias("pending_orders"))
-        old = self._state(self.dws_daily, b - 1, template, delta.select("stat_date"))
-        z = F.lit(0)
-        new = delta.join(old, "stat_date", "left").select(
-            "stat_date", (F.coalesce("total_orders", z) + F.col("n")).alias("total_orders"),
-            (F.coalesce("total_amount", F.lit(0).cast("decimal(22,2)")) + F.col("amt"))
-            .cast("decimal(22,2)").alias("total_amount"),
-            (F.coalesce("completed_orders", z) + F.col("done")).alias("completed_orders"),
-            (F.coalesce("pending_orders", z) + F.col("pend")).alias("pending_orders"))
-        rows = new.select(F.when(F.col("total_orders") == 0, "d").otherwise("u").alias("op"),
-                          F.lit(b).cast("bigint").alias("seq"), *cols)
-        self.dws_daily.write_batch(rows, b)
+    @staticmethod
+    def _day_rows(orders: DataFrame) -> DataFrame:
+        st = F.col("order_status")
+        return orders.select(F.to_date("created_at").alias("stat_date"), F.lit(1).alias("n"), F.col("order_amount").alias("amount"),
+                             (st == "completed").cast("int").alias("completed"), (st == "pending").cast("int").alias("pending"))
 
     def daily_stats(self) -> DataFrame:
-        return self.dws_daily.read().select("stat_date", "total_orders",
-                                            F.col("total_amount").cast("double").alias("total_amount"),
-                                            "completed_orders", "pending_orders")
+        return self.dws_daily.read().select(
+            "stat_date", F.col("n").alias("total_orders"), F.col("amount").cast("double").alias("total_amount"),
+            F.col("completed").alias("completed_orders"), F.col("pending").alias("pending_orders"))
 
     def dashboard(self) -> DataFrame:
         """Order metrics of the realtime dashboard from the per-date partials
         (a table with one row per day) — no scan of the order facts."""
-        d = self.dws_daily.read()
         day = F.lit(self.as_of.isoformat()).cast("date")
-        return d.agg(
-            F.coalesce(F.sum("total_orders"), F.lit(0)).cast("double").alias("total_orders"),
-            F.coalesce(F.sum(F.when(F.col("stat_date") == day, F.col("total_orders"))), F.lit(0))
-            .cast("double").alias("today_orders"))
-
-    @staticmethod
-    def _by_user_template(orders_ch: DataFrame, users_ch: DataFrame) -> DataFrame:
-        o = orders_ch.select(F.col("id").alias("order_id"), "user_id", "order_amount", "order_status",
-                             "created_at", "updated_at")
-        return o.select("order_id", "user_id", F.lit(None).cast("string").alias("username"),
-                        F.lit(None).cast("string").alias("email"), "order_amount", "order_status",
-                        "created_at", "updated_at").select(*DWD_COLS)
+        return self.dws_daily.read().agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("total_orders"),
+            F.coalesce(F.sum(F.when(F.col("stat_date") == day, F.col("n"))), F.lit(0)).cast("double").alias("today_orders"))
 
     # ------------------------------------------------------------- running
     def run(self, source_path: str, checkpoint: str, max_files_per_trigger: int = 1):
@@ -218,7 +215,16 @@ class OrdersChain:
         return q
 
     def user_stats(self) -> DataFrame:
-        return self.dws_users.read().select(*DWS_COLS)
+        """The columns of ``orders.user_stats_left`` but the run time: users without orders with zeros, those with
+        completed orders with their sums; users whose orders are all open or cancelled are not listed."""
+        s = self.dws_users.rows.read().select(F.col("user_id").alias("_u"), "n", *UserTops.SUMS, "top")
+        u = self.ods_users.read().select(F.col("id").alias("user_id"), "username")
+        amount = F.col("amount").cast("double")
+        return u.join(s, F.col("user_id") == F.col("_u"), "left").where("n IS NULL OR kept > 0").select(
+            "user_id", "username", F.coalesce(amount, F.lit(0.0)).alias("total_amount"),
+            F.coalesce("kept", F.lit(0).cast("bigint")).alias("total_orders"),
+            F.coalesce(F.try_divide(amount, F.col("n_amount")), F.lit(0.0)).alias("avg_order_amount"),
+            F.timestamp_micros("top").cast("timestamp_ntz").alias("last_order_date"))
 
 
 def stage_chain(spark: SparkSession, t, n_batches: int = 3, files_per_batch: int = 4) -> str:

@@ -159,36 +159,42 @@ class PKTable:
             StructField("batch_id", LongType()), StructField("writer", StringType()), StructField("bucket", IntegerType())])
         return self.spark.read.schema(schema).option("basePath", _join(self.path, "log")).parquet(*dirs)
 
-    def _restrict(self, df: DataFrame, only: DataFrame | None) -> DataFrame:
-        """Rows whose bucket-key values occur in ``only``: a semi join on the
-        bucket partition column (the bucket set is at most ``buckets`` rows and
-        is broadcast, so dynamic partition pruning skips the other buckets),
-        then on the bucket keys themselves."""
+    def _restrict(self, df: DataFrame, only: DataFrame | None, whole_buckets: bool = False) -> DataFrame:
+        """Rows whose bucket-key values occur in ``only`` (NULL equals NULL): a semi join
+        on the bucket partition column (the bucket set is at most ``buckets`` rows and
+        is broadcast, so dynamic partition pruning skips the other buckets), then,
+        but for ``whole_buckets``, on the bucket keys themselves."""
         if only is None:
             return df
         types = {f.name: f.dataType for f in self.schema().fields}
-        keys = only.select(*[F.col(k).cast(types[k]).alias(k) for k in self.bucket_keys]).distinct()
+        keys = only.select(*[F.col(k).cast(types[k]).alias(k) for k in self.bucket_keys])
         bset = F.broadcast(keys.select(self.bucket_col().alias("bucket")).distinct())
-        return df.join(bset, "bucket", "left_semi").join(keys, self.bucket_keys, "left_semi")
+        df = df.join(bset, "bucket", "left_semi")
+        if whole_buckets:
+            return df
+        keys = keys.distinct().withColumnsRenamed({k: f"_k_{k}" for k in self.bucket_keys})
+        return df.join(keys, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in self.bucket_keys], "left_semi")
 
-    def _changes_upto(self, version: int | None, only: DataFrame | None = None) -> DataFrame | None:
+    def changes_upto(self, version: int | None, only: DataFrame | None = None,
+                     whole_buckets: bool = False) -> DataFrame | None:
+        """Snapshot and log rows up to batch ``version``, several of a key; None before the first write."""
         snaps = [s for s in self._snapshots() if version is None or s <= version]
         parts, start = [], -1
         if snaps:
             start = snaps[-1]
             schema = StructType(self.schema().fields + [StructField("bucket", IntegerType())])
             snap = self.spark.read.schema(schema).parquet(_join(self.path, "snapshot", f"version={start}"))
-            parts.append(self._restrict(snap, only).drop("bucket"))
+            parts.append(self._restrict(snap, only, whole_buckets).drop("bucket"))
         lg = self.log(start, version)
         if lg is not None:
-            parts.append(self._restrict(lg, only).drop(*_PARTS))
+            parts.append(self._restrict(lg, only, whole_buckets).drop(*_PARTS))
         if not parts:
             return None
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def _latest(self, version: int | None, keep_tombstones: bool = False,
                 only: DataFrame | None = None) -> DataFrame:
-        ch = self._changes_upto(version, only)
+        ch = self.changes_upto(version, only)
         if ch is None:
             raise FileNotFoundError(self.path)
         w = latest_changes(ch, self.keys, self.seq, self.op)

@@ -1,9 +1,10 @@
 """Aggregates kept up to date by signed deltas of a change stream.
 
-A micro-batch reads the rows it changes before and after itself (bucket-pruned
-versioned reads of the ODS table), and only the differences of the keys those rows
-belong to are added to the stored sums. No group is re-read, however many rows it has;
-an agent, product or hour that holds a third of all rows costs one stored row.
+A micro-batch finds the rows it changes as they were before and are after it, in one
+aggregate over the touched buckets of the ODS table and the batch itself, and only the
+differences of the keys those rows belong to are added to the stored sums. No group is
+re-read, however many rows it has; an agent, product or hour that holds a third of all
+rows costs one stored row.
 
 All reads are as of the batch before, so a retried batch writes the same rows again.
 """
@@ -17,36 +18,66 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
 from tidemark.operators import orders as O
+from tidemark.operators.changes import op_rank
 from tidemark.operators.metrics import metric_rows
-from tidemark.streaming.incremental import state_at
 from tidemark.streaming.pktable import PKTable
 
 MONEY = "decimal(28,2)"
 
 
+def changed_rows(table: PKTable, changes: DataFrame, batch_id: int) -> DataFrame:
+    """The keys of ``changes`` (op, seq, keys, columns) with the structs ``before`` and ``after`` of the other
+    columns: the row as of the batch before, and with the batch; null where there is none. One shuffle, no join."""
+    vals = [c for c in changes.columns if c not in (*table.keys, table.op, table.seq)]
+
+    def ranked(rows, new):
+        order = F.struct(F.col(table.seq).alias("s"), op_rank(F.col(table.op)).alias("r"),
+                         F.struct(F.col(table.op).alias("_op"), *vals).alias("v"))
+        return rows.select(*table.keys, order.alias("_w"), F.lit(new).alias("_new"))
+    both = ranked(changes, True)
+    old = table.changes_upto(batch_id - 1, changes.select(*table.bucket_keys), whole_buckets=True)
+    if old is not None:
+        both = both.unionByName(ranked(old, False))
+    last = both.groupBy(*table.keys).agg(
+        F.max("_w").alias("after"), F.max(F.when(~F.col("_new"), F.col("_w"))).alias("before"), F.max("_new").alias("_new"))
+
+    def alive(c):
+        return F.when(F.col(f"{c}.v._op") != "d", F.struct(*[F.col(f"{c}.v.{x}").alias(x) for x in vals])).alias(c)
+    return last.where("_new").select(*table.keys, alive("before"), alive("after"))
+
+
 class SignedSums:
     """Sums per key in a PK table. ``sums`` maps a column to its type and must hold ``n``, the number
-    of rows of the key: a key whose ``n`` falls to 0 is deleted. Key columns must not be NULL; a NULL
-    measure adds nothing."""
+    of rows of the key: a key whose ``n`` falls to 0 is deleted. A NULL key is a key; a NULL measure adds
+    nothing."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], sums: dict[str, str], buckets: int = 4):
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], sums: dict[str, str], buckets: int = 4,
+                 bucket_keys: list[str] | None = None):
         self.keys, self.sums = keys, {"n": "bigint"} | sums
-        self.table = PKTable(spark, path, keys, buckets)
+        self.table = PKTable(spark, path, keys, buckets, bucket_keys=bucket_keys)
 
-    def _signed(self, rows: DataFrame, sign: int) -> DataFrame:
+    def signed(self, rows: DataFrame, sign) -> DataFrame:
         return rows.select(*self.keys, *[(F.coalesce(F.col(c), F.lit(0)) * sign).cast(t).alias(c) for c, t in self.sums.items()])
 
     def apply(self, after: DataFrame, before: DataFrame, batch_id: int) -> DataFrame:
         """Add the rows ``after`` the batch and take away those ``before`` it (key and sum columns each, one row
-        per source row). Returns the keys touched with ``n`` and ``n_before``."""
-        both = self._signed(after, 1).unionByName(self._signed(before, -1))
-        delta = both.groupBy(*self.keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in self.sums.items()])
+        per source row). Returns the keys touched with their sums and ``n_before``."""
+        return self.add(self.signed(after, 1).unionByName(self.signed(before, -1)), batch_id)
+
+    def add(self, signed: DataFrame, batch_id: int) -> DataFrame:
+        """Add signed rows. The stored sums of the touched buckets and the differences meet in one aggregate."""
+        delta = signed.groupBy(*self.keys).agg(*[F.sum(c).cast(t).alias(c) for c, t in self.sums.items()])
         delta = delta.where(" OR ".join(f"{c} <> 0" for c in self.sums)).persist()
-        old = state_at(self.table, batch_id - 1, delta, delta.select(*self.keys)).withColumnsRenamed(
-            {c: f"_{c}" for c in self.sums})
-        new = delta.join(old, self.keys, "left").select(
-            *self.keys, F.coalesce("_n", F.lit(0)).alias("n_before"),
-            *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).cast(t).alias(c) for c, t in self.sums.items()]).persist()
+        both = delta.withColumn("_old", F.lit(None).cast(
+            "struct<s:bigint,o:string," + ",".join(f"{c}:{t}" for c, t in self.sums.items()) + ">"))
+        old = self.table.changes_upto(batch_id - 1, delta.select(*self.table.bucket_keys), whole_buckets=True)
+        if old is not None:
+            stored = F.struct(F.col("seq").alias("s"), F.col("op").alias("o"), *self.sums)
+            both = both.unionByName(old.select(*self.keys, stored.alias("_old")), allowMissingColumns=True)
+        met = both.groupBy(*self.keys).agg(F.max("_old").alias("_old"), *[F.sum(c).alias(c) for c in self.sums])
+        was = {c: F.coalesce(F.when(F.col("_old.o") != "d", F.col(f"_old.{c}")), F.lit(0)) for c in self.sums}
+        new = met.where("n IS NOT NULL").select(  # a key without a difference has no sum
+            *self.keys, was["n"].alias("n_before"), *[(F.col(c) + was[c]).cast(t).alias(c) for c, t in self.sums.items()]).persist()
         self.table.write_batch(new.select(
             F.when(F.col("n") == 0, "d").otherwise("u").alias("op"), F.lit(batch_id).cast("bigint").alias("seq"),
             *self.keys, *self.sums), batch_id)
@@ -68,11 +99,13 @@ class _Totals:
             batch.unpersist()
 
     @staticmethod
-    def _change(table: PKTable, changes: DataFrame, b: int) -> tuple[DataFrame, DataFrame]:
-        """Write the batch; the rows of its keys before and after it, both persisted."""
+    def _change(table: PKTable, changes: DataFrame, b: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Write the batch; the rows of its keys before and after it, and the persisted frame behind both."""
+        rows = changed_rows(table, changes, b).persist()
         table.write_batch(changes, b)
-        rows, keys = changes.drop("op", "seq"), changes.select(*table.keys)
-        return state_at(table, b - 1, rows, keys).persist(), state_at(table, b, rows, keys).persist()
+        before, after = (rows.where(F.col(c).isNotNull()).select(*table.keys, f"{c}.*") if len(changes.columns) > len(table.keys) + 2
+                         else rows.where(F.col(c).isNotNull()).select(*table.keys) for c in ("before", "after"))
+        return before, after, rows
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Process what is there (availableNow) and stop; a later run goes on from the checkpoint."""
@@ -109,10 +142,10 @@ class TicketTotals(_Totals):
             h.alias("hours"), h.isNotNull().cast("int").alias("n_hours"))
 
     def _process(self, batch: DataFrame, b: int) -> None:
-        before, after = self._change(self.ods, batch.select("op", "seq", *self.COLS), b)
+        before, after, rows = self._change(self.ods, batch.select("op", "seq", *self.COLS), b)
         touched = [self.by_agent.apply(self._agent_rows(after), self._agent_rows(before), b),
                    self.by_day.apply(self._day_rows(after), self._day_rows(before), b)]
-        for df in (before, after, *touched):
+        for df in (rows, *touched):
             df.unpersist()
 
     def agent_workload(self, agents: DataFrame, as_of: dt.datetime) -> DataFrame:
@@ -169,11 +202,12 @@ class OrderTotals(_Totals):
     def _process(self, batch: DataFrame, b: int) -> None:
         users = batch.where("tbl = 'users'").select("op", "seq", "id")
         if not users.isEmpty():  # cheap: the batch is persisted
-            u0, u1 = self._change(self.users, users, b)
+            u0, u1, rows = self._change(self.users, users, b)
             self.n_users.apply(self._user_rows(u1), self._user_rows(u0), b).unpersist()
-        o0, o1 = self._change(self.orders, batch.where("tbl = 'orders'").select("op", "seq", *self.ORDER), b)
+            rows.unpersist()
+        o0, o1, rows = self._change(self.orders, batch.where("tbl = 'orders'").select("op", "seq", *self.ORDER), b)
         touched = self.by_hour.apply(self._hour_rows(o1), self._hour_rows(o0), b)
-        for df in (o0, o1, touched):
+        for df in (rows, touched):
             df.unpersist()
 
     def _days(self) -> DataFrame:
@@ -231,7 +265,8 @@ class ProductTotals(_Totals):
                         price.isNotNull().cast("int").alias("n_price"))
 
     def _process(self, batch: DataFrame, b: int) -> None:
-        before, after = (self._pair_rows(x) for x in self._change(self.ods, batch.select("op", "seq", *self.COLS), b))
+        before, after, changed = self._change(self.ods, batch.select("op", "seq", *self.COLS), b)
+        before, after = self._pair_rows(before), self._pair_rows(after)
         pairs = self.pairs.apply(after, before, b)
         new = pairs.where("n > 0 AND n_before = 0").select("product_name")
         gone = pairs.where("n = 0 AND n_before > 0").select("product_name")
@@ -241,7 +276,8 @@ class ProductTotals(_Totals):
             return items.drop("order_id").withColumn("orders", F.lit(0)).unionByName(
                 orders.withColumn("orders", F.lit(1)).withColumn("n", F.lit(0)), allowMissingColumns=True)
         self.products.apply(rows(after, new), rows(before, gone), b).unpersist()
-        pairs.unpersist()
+        for df in (pairs, changed):
+            df.unpersist()
 
     def product_stats(self) -> DataFrame:
         """The columns of ``orders.product_stats`` but the run time."""
