@@ -76,10 +76,11 @@ def dwd_power_monitoring(monitoring: DataFrame, equipment: DataFrame) -> DataFra
     return _readings(monitoring.join(e, monitoring.equipment_id == e.e_id, "left"), ["equipment_name", "equipment_type"])
 
 
-def reading_facts(monitoring: DataFrame) -> DataFrame:
+def reading_facts(monitoring: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """The DWD readings for consumers that read no equipment column: ``equipment_id`` is the
-    equipment's key, so the left join keeps one row per reading and can be left out."""
-    return _readings(monitoring, [])
+    equipment's key, so the left join keeps one row per reading and can be left out.
+    ``extra`` columns of the source are passed on (a change row's op and seq)."""
+    return _readings(monitoring, extra or [])
 
 
 def _readings(m: DataFrame, dimension: list[str]) -> DataFrame:

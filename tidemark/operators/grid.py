@@ -138,47 +138,73 @@ def smart_grid_summary(dispatch_ods: DataFrame, device_ods: DataFrame) -> DataFr
     EXCELLENT or GOOD; high_risk_incidents = pairs with HIGH_RISK;
     emergency_responses = dispatches with emergency level HIGH or CRITICAL.
     """
-    d = dispatch_ods.select(
-        R.region_prefix(F.col("grid_region")).alias("_p"), "grid_region",
-        F.date_format("event_time", "yyyyMMddHH").alias("time_window"),
-        (F.col("total_supply_mw") - F.col("total_demand_mw")).alias("bal"),
-        F.col("frequency_hz").between(49.9, 50.1).alias("stable"),
-        (F.col("voltage_level_kv") > 600).alias("kv600"),
-        F.try_divide(F.col("total_supply_mw"), F.col("total_demand_mw")).alias("ratio"),
-        (F.col("emergency_level") == "CRITICAL").alias("crit"),
-        F.col("emergency_level").isin("HIGH", "CRITICAL").alias("emerg"))
-    dg = d.groupBy("_p", "grid_region", "time_window").agg(
-        F.count(F.lit(1)).alias("nd"), F.sum("bal").alias("s_bal"), F.count("bal").alias("n_bal"),
-        R.count_if(F.col("stable")).alias("nd_stable"), R.count_if(F.col("kv600")).alias("nd_kv600"),
-        F.sum("ratio").alias("s_ratio"), F.count("ratio").alias("n_ratio"),
-        R.count_if(F.col("crit")).alias("nd_crit"), R.count_if(F.col("emerg")).alias("nd_emerg"))
-    eff, temp = F.col("efficiency_rate"), F.col("real_time_temperature")
-    v = device_ods.select(
-        R.region_prefix(F.col("location")).alias("_p"),
-        (F.col("real_time_voltage") > 230).alias("v230"),
-        R.device_health_score(eff, temp, F.col("status")).alias("health"),
-        eff.alias("eff"), (temp > 75).alias("hot"))
+    dg = dispatch_measures(dispatch_ods).groupBy("_p", "grid_region", "time_window").agg(
+        *[F.sum(c).alias(c) for c in DISPATCH_MEASURES])
     # one row per region prefix
-    vg = v.groupBy("_p").agg(
-        F.count(F.lit(1)).alias("nv"), R.count_if(F.col("v230")).alias("nv_v230"),
-        F.sum("health").alias("s_health"), F.count("health").alias("n_health"),
-        F.sum("eff").alias("s_eff"), F.count("eff").alias("n_eff"),
-        R.count_if(F.col("hot")).alias("nv_hot"))
+    vg = device_measures(device_ods).groupBy("_p").agg(*[F.sum(c).alias(c) for c in DEVICE_MEASURES])
     j = dg.join(vg, "_p", "inner")
-    pairs = F.col("nd") * F.col("nv")
+    return summary_of(j.withColumns({name: pair_sums(F.col)[name] for name in PAIR_SUMS}))
+
+
+#: Sums that either side of the dispatch x device pairs contributes, by region-hour and by region prefix.
+DISPATCH_MEASURES = ["nd", "s_bal", "n_bal", "nd_stable", "nd_kv600", "s_ratio", "n_ratio", "nd_crit", "nd_emerg"]
+DEVICE_MEASURES = ["nv", "nv_v230", "s_health", "n_health", "s_eff", "n_eff", "nv_hot"]
+#: Counts of pairs that are products of the two.
+PAIR_SUMS = ["pairs", "good_voltage", "high_risk"]
+
+
+def dispatch_measures(dispatch_ods: DataFrame) -> DataFrame:
+    """What one dispatch adds to the sums of its region and hour."""
+    ratio = F.try_divide(F.col("total_supply_mw"), F.col("total_demand_mw"))
+    bal, level = F.col("total_supply_mw") - F.col("total_demand_mw"), F.col("emergency_level")
+    return dispatch_ods.select(
+        R.region_prefix(F.col("grid_region")).alias("_p"), "grid_region",
+        F.date_format("event_time", "yyyyMMddHH").alias("time_window"), F.lit(1).cast("bigint").alias("nd"),
+        bal.alias("s_bal"), _one(bal.isNotNull()).alias("n_bal"),
+        _one(F.col("frequency_hz").between(49.9, 50.1)).alias("nd_stable"),
+        _one(F.col("voltage_level_kv") > 600).alias("nd_kv600"), ratio.alias("s_ratio"), _one(ratio.isNotNull()).alias("n_ratio"),
+        _one(level == "CRITICAL").alias("nd_crit"), _one(level.isin("HIGH", "CRITICAL")).alias("nd_emerg"))
+
+
+def device_measures(device_ods: DataFrame) -> DataFrame:
+    """What one device adds to the sums of its region."""
+    eff, temp = F.col("efficiency_rate"), F.col("real_time_temperature")
+    health = R.device_health_score(eff, temp, F.col("status"))
+    return device_ods.select(
+        R.region_prefix(F.col("location")).alias("_p"), F.lit(1).cast("bigint").alias("nv"),
+        _one(F.col("real_time_voltage") > 230).alias("nv_v230"), health.alias("s_health"),
+        _one(health.isNotNull()).alias("n_health"), eff.alias("s_eff"), _one(eff.isNotNull()).alias("n_eff"),
+        _one(temp > 75).alias("nv_hot"))
+
+
+def _one(cond: F.Column) -> F.Column:
+    return F.coalesce(cond.cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def pair_sums(dispatch, device=None) -> dict[str, F.Column]:
+    """Pair counts of a region-hour from both sides' sums; ``dispatch`` and ``device`` give a measure by name.
+    Each is bilinear: linear in the one side's sums and in the other's."""
+    d, v = dispatch, device or dispatch
+    return {"pairs": d("nd") * v("nv"), "good_voltage": d("nd_kv600") * v("nv_v230"),
+            "high_risk": d("nd_crit") * v("nv") + (d("nd") - d("nd_crit")) * v("nv_hot")}
+
+
+def summary_of(j: DataFrame, places: int | None = None) -> DataFrame:
+    """Summary rows from the sums of both sides and of their pairs. Means are rounded at ``places`` first, if given:
+    exact sums meet halves that sums of doubles miss."""
+    def mean(x):
+        return R.r6(x if places is None else F.round(x, places))
     return j.select(
         F.concat(F.lit("SUMMARY_"), F.col("grid_region"), F.lit("_"), F.col("time_window")).alias("summary_id"),
         "grid_region", "time_window",
         F.col("nd").alias("total_dispatches"), F.col("nv").alias("total_devices"),
-        R.r6(F.try_divide("s_bal", "n_bal")).alias("avg_supply_demand_balance"),
+        mean(F.try_divide("s_bal", "n_bal")).alias("avg_supply_demand_balance"),
         R.r6(F.col("nd_stable") * 100.0 / F.col("nd")).alias("frequency_stability_rate"),
-        R.r6(F.col("nd_kv600") * F.col("nv_v230") * 100.0 / pairs).alias("voltage_quality_rate"),
-        R.r6(F.try_divide("s_health", "n_health")).alias("avg_device_health"),
-        R.r6(F.try_divide(F.col("s_ratio") * F.col("s_eff") * 100.0, F.col("n_ratio") * F.col("n_eff")))
+        R.r6(F.col("good_voltage") * 100.0 / F.col("pairs")).alias("voltage_quality_rate"),
+        mean(F.try_divide("s_health", "n_health")).alias("avg_device_health"),
+        mean(F.try_divide(F.col("s_ratio") * F.col("s_eff") * 100.0, F.col("n_ratio") * F.col("n_eff")))
         .alias("grid_efficiency_score"),
-        (F.col("nd_crit") * F.col("nv") + (F.col("nd") - F.col("nd_crit")) * F.col("nv_hot"))
-        .alias("high_risk_incidents"),
-        F.col("nd_emerg").alias("emergency_responses"))
+        F.col("high_risk").alias("high_risk_incidents"), F.col("nd_emerg").alias("emergency_responses"))
 
 
 def grid_metrics_from_summary(summary: DataFrame, as_of: dt.datetime, hours: int = 2) -> DataFrame:

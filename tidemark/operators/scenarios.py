@@ -26,6 +26,7 @@ ACTIONS = {"HIGH": "立即派员检修并降低负载", "MEDIUM": "加强巡检
 PRIORITY = {"HIGH": "P1", "MEDIUM": "P2", "LOW": "P3"}
 ROOT_CAUSE = [("FAULT", "设备故障"), ("CRITICAL", "严重运行异常"), ("WARNING", "运行参数越限"),
               ("INFO", "运行信息")]
+CRITICAL_LEVEL = 4  # alarms from this level on make a device critical
 RECOVERY = {"URGENT": "立即停机检修", "HIGH": "安排计划检修"}
 
 
@@ -59,11 +60,12 @@ def range_join(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str,
 
 def window_sums(left: DataFrame, right: DataFrame, key: str, left_id: str, lo: Column, hi: Column, rts: str,
                 sums: dict[str, Column], last: tuple[str, str] | None = None, bucket_min: int = 60,
-                sums_until: Column | None = None) -> DataFrame:
+                sums_until: Column | None = None, sign: Column | None = None) -> DataFrame:
     """For each ``left_id``: ``n`` and ``sums`` over the right rows of its ``key`` with ``rts`` in
     [lo, hi] (microseconds, inclusive), and with ``last = (value, tiebreak)`` the value of the
     last of them. ``sums_until`` ends the sums (and ``n``) earlier than the window, in the same pass.
-    Left rows whose window holds no right row do not come out."""
+    With ``sign`` right rows count that often (-1 takes one back), and a left row comes out if any is in its
+    window. Left rows whose window holds no right row do not come out."""
     width = bucket_min * 60_000_000
 
     def bucket(t: Column) -> Column:
@@ -88,6 +90,8 @@ def window_sums(left: DataFrame, right: DataFrame, key: str, left_id: str, lo: C
         key, left_id, "_b", "_first", "_p.*")
     t = _micros(F.col(rts))
     values = {"n": F.lit(1).cast("bigint"), **sums}
+    if sign is not None:
+        values = {n: v * sign for n, v in values.items()} | {"_any": F.lit(1).cast("bigint")}
     rows = right.where(F.col(key).isNotNull() & F.col(rts).isNotNull()).select(
         key, bucket(t).alias("_b"), t.alias("_t"), F.lit(1).alias("_o"), *[v.alias(n) for n, v in values.items()],
         *([F.struct(t.alias("t"), F.col(last[1]).alias("tie"), F.col(last[0]).alias("value")).alias("_last")] if last else []))
@@ -99,6 +103,8 @@ def window_sums(left: DataFrame, right: DataFrame, key: str, left_id: str, lo: C
     if last:
         totals.append(F.max(F.when(F.col("_l") & (F.col("_last.t") >= F.col("_first")), F.col("_last"))).alias("_last"))
     out = sofar.groupBy(left_id).agg(*totals)
+    if sign is not None:
+        return out.where("_any > 0").drop("_any")
     if not last:
         return out.where("n > 0")
     return out.where("n > 0 OR _last IS NOT NULL").withColumn("last", F.col("_last.value")).drop("_last")
@@ -141,19 +147,28 @@ def alarm_status_join(alarms: DataFrame, readings: DataFrame, equipment: DataFra
     reported per (location, alarm day): incidents, critical devices, power-factor
     deficit of the matched readings, temperature anomalies, risk, actions."""
     a = alarms.select("alarm_id", "equipment_id", "alarm_level", "occurred_at")
-    r = readings.select("equipment_id", "monitoring_id", "monitoring_time", "temperature", "power_factor")
-    at, reach = _micros(F.col("occurred_at")), minutes * 60_000_000
-    per_alarm = window_sums(a, r, "equipment_id", "alarm_id", at - reach, at + reach, "monitoring_time", {
-        "pf_sum": F.col("power_factor").cast("decimal(18,4)"),
-        "pf_n": F.col("power_factor").isNotNull().cast("bigint"),
-        "hot": F.coalesce((F.col("temperature") > 70).cast("bigint"), F.lit(0))}).drop("n")
+    per_alarm = alarm_sums(a, readings, minutes).drop("n")
     e = equipment.select(F.col("equipment_id").alias("e_id"), "location")
     full = a.join(per_alarm, "alarm_id", "left").join(e, a.equipment_id == e.e_id, "inner")
     g = full.groupBy("location", F.to_date("occurred_at").alias("day")).agg(
         F.count(F.lit(1)).alias("total_incidents"),
-        F.countDistinct(F.when(F.col("alarm_level") >= 4, F.col("equipment_id"))).alias("critical_devices"),
+        F.countDistinct(F.when(F.col("alarm_level") >= CRITICAL_LEVEL, F.col("equipment_id"))).alias("critical_devices"),
         F.sum("pf_sum").alias("pf_sum"), F.sum("pf_n").alias("pf_n"),
         F.coalesce(F.sum("hot"), F.lit(0)).cast("bigint").alias("temperature_anomaly"))
+    return alarm_report(g, as_of)
+
+
+def alarm_sums(alarms: DataFrame, readings: DataFrame, minutes: int = 10, sign: Column | None = None) -> DataFrame:
+    """alarm_id, n, pf_sum, pf_n, hot over the readings of the alarm's device within ``minutes`` of it."""
+    at, reach = _micros(F.col("occurred_at")), minutes * 60_000_000
+    return window_sums(alarms, readings, "equipment_id", "alarm_id", at - reach, at + reach, "monitoring_time", {
+        "pf_sum": F.col("power_factor").cast("decimal(18,4)"),
+        "pf_n": F.col("power_factor").isNotNull().cast("bigint"),
+        "hot": F.coalesce((F.col("temperature") > 70).cast("bigint"), F.lit(0))}, sign=sign)
+
+
+def alarm_report(g: DataFrame, as_of: dt.datetime) -> DataFrame:
+    """The report rows from the sums of a location and day."""
     risk = (F.when((F.col("critical_devices") > 0) & (F.col("temperature_anomaly") > 0), "HIGH")
             .when((F.col("critical_devices") > 0) | (F.col("temperature_anomaly") > 0), "MEDIUM")
             .otherwise("LOW"))
@@ -161,7 +176,7 @@ def alarm_status_join(alarms: DataFrame, readings: DataFrame, equipment: DataFra
         F.concat(F.lit("ALARM_"), F.col("location"), F.lit("_"), F.date_format("day", "yyyyMMdd")).alias("report_id"),
         F.lit(ALARM_REPORT_TYPE).alias("report_type"), F.date_format("day", "yyyy-MM-dd").alias("time_period"),
         "location", "total_incidents", "critical_devices",
-        F.round((F.lit(1.0) - F.round(F.col("pf_sum") / F.col("pf_n"), 4).cast("double")) * 100, 2)
+        F.round((F.lit(1.0) - F.round(F.try_divide("pf_sum", "pf_n"), 4).cast("double")) * 100, 2)
         .alias("efficiency_impact"),
         "temperature_anomaly", risk.alias("risk_assessment"),
         F.when(risk == "HIGH", ACTIONS["HIGH"]).when(risk == "MEDIUM", ACTIONS["MEDIUM"])
@@ -171,18 +186,6 @@ def alarm_status_join(alarms: DataFrame, readings: DataFrame, equipment: DataFra
         ts_lit(as_of).alias("report_time"))
 
 
-def alarm_status_join_stream(alarms, readings, minutes: int = 10, watermark: str = "10 minutes"):
-    """Streaming form: both sides watermarked; the time-range condition bounds
-    the join state, so old rows are dropped as the watermark advances."""
-    a = alarms.withWatermark("occurred_at", watermark).alias("a")
-    r = readings.withWatermark("monitoring_time", watermark).alias("r")
-    cond = (F.col("a.equipment_id") == F.col("r.equipment_id")) & \
-           (F.col("r.monitoring_time") >= F.col("a.occurred_at") - F.expr(f"INTERVAL {minutes} MINUTES")) & \
-           (F.col("r.monitoring_time") <= F.col("a.occurred_at") + F.expr(f"INTERVAL {minutes} MINUTES"))
-    return a.join(r, cond, "inner").select("a.alarm_id", "a.equipment_id", "a.occurred_at", "r.monitoring_id",
-                                           "r.monitoring_time", "r.temperature", "r.power_factor")
-
-
 # ---------------------------------------------------------------- scenario 3
 
 def fault_analysis(alarms: DataFrame, readings: DataFrame, as_of: dt.datetime, window_min: int = 60,

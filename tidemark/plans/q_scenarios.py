@@ -45,7 +45,7 @@ def _q(d):
     return {k: f"'{v}'" for k, v in d.items()}
 
 
-@register("alarm_status_join", sql=f"""
+ALARM_REPORT = f"""
     WITH m AS (SELECT a.alarm_id, r.temperature, r.power_factor FROM r_alarms a JOIN r_dmon r
                ON a.equipment_id = r.equipment_id
                AND r.monitoring_time BETWEEN a.occurred_at - INTERVAL 10 MINUTE AND a.occurred_at + INTERVAL 10 MINUTE),
@@ -64,7 +64,10 @@ def _q(d):
             AS efficiency_impact,
         temperature_anomaly, {_risk(_q({'HIGH': 'HIGH', 'MEDIUM': 'MEDIUM', 'LOW': 'LOW'}))} AS risk_assessment,
         {_risk(_q(S.ACTIONS))} AS suggested_actions, {_risk(_q(S.PRIORITY))} AS priority_level,
-        {TS} AS report_time FROM g""", extra_ctes=CTES)
+        {TS} AS report_time FROM g"""
+
+
+@register("alarm_status_join", sql=ALARM_REPORT, extra_ctes=CTES)
 def q_alarm_status_join(c):
     """Scenario 2: alarm stream ⋈ device status stream within ±10 minutes."""
     return S.alarm_status_join(c.alarms, E.reading_facts(c.monitoring), c.equipment, c.events_as_of, 10)

@@ -166,6 +166,14 @@ def dispatch(t: Tables) -> DataFrame:
     )
 
 
+def dispatch_feed(t: Tables) -> DataFrame:
+    """Dispatch readings under the column names of their change source."""
+    return dispatch(t).select(
+        "dispatch_id", "grid_region", F.col("event_time").alias("dispatch_time"), F.col("total_demand_mw").alias("load_demand_mw"),
+        F.col("total_supply_mw").alias("supply_capacity_mw"), "emergency_level", "load_balance_status",
+        F.col("frequency_hz").alias("grid_frequency_hz"), F.col("voltage_level_kv").alias("voltage_stability"))
+
+
 def change_log(t: Tables) -> DataFrame:
     e = t.events.select("event_id", "ts", "user_id", "event_type", "value")
     et = F.col("event_type")

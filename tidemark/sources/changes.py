@@ -95,6 +95,53 @@ def item_change_log(t: Tables) -> DataFrame:
     return create.unionByName(final)
 
 
+def grid_change_log(t: Tables) -> DataFrame:
+    """Dispatches and devices in one stream, by their source columns. A dispatch is created 100 MW short of its
+    demand and confirmed two hours later; every 19th is deleted then. A device is created at its installation, hotter
+    and less efficient than it ends; its last change falls among the dispatches, every 23rd is removed by it."""
+    d = bind.dispatch_feed(t).withColumns({"tbl": F.lit("dispatch"), "id": F.col("dispatch_id")})
+    v = bind.devices(t).withColumns({"tbl": F.lit("device"), "id": F.col("device_id")})
+    last = F.timestamp_add("DAY", (F.col("id") % 29).cast("int"), F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'"))
+    parts = [
+        d.withColumns({"op": F.lit("c"), "seq": F.col("id") * 2, "event_time": F.col("dispatch_time"),
+                       "load_demand_mw": F.col("load_demand_mw") - 100, "emergency_level": F.lit("NORMAL")}),
+        d.withColumns({"op": F.when(F.col("id") % 19 == 0, "d").otherwise("u"), "seq": F.col("id") * 2 + 1,
+                       "event_time": F.timestamp_add("HOUR", F.lit(2), F.col("dispatch_time"))}),
+        v.withColumns({"op": F.lit("c"), "seq": F.col("id") * 2, "event_time": F.col("installation_date"),
+                       "efficiency_rate": F.col("efficiency_rate") - 0.1,
+                       "real_time_temperature": F.col("real_time_temperature") + 30}),
+        v.withColumns({"op": F.when(F.col("id") % 23 == 0, "d").otherwise("u"), "seq": F.col("id") * 2 + 1, "event_time": last})]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def alarm_change_log(t: Tables) -> DataFrame:
+    """Alarms and readings of equipment in one stream. An alarm is raised at the lowest level and graded half an hour
+    later, every 29th is withdrawn then. Every seventh reading arrives six hours late; every eleventh arrives too cold
+    and is corrected a day later, every 31st is withdrawn then."""
+    a = bind.alarms(t).select("alarm_id", "equipment_id", "alarm_level", "occurred_at").withColumns(
+        {"tbl": F.lit("alarm"), "id": F.col("alarm_id")})
+    r = bind.monitoring(t).withColumns({"tbl": F.lit("reading"), "id": F.col("monitoring_id")})
+    hours = F.when(F.col("id") % 7 == 0, 6).otherwise(0)
+    arrives = F.timestamp_add("HOUR", hours, F.col("monitoring_time"))
+    wrong = F.when(F.col("id") % 11 == 0, F.col("temperature") - 40).otherwise(F.col("temperature"))
+    parts = [
+        a.withColumns({"op": F.lit("c"), "seq": F.col("id") * 2, "event_time": F.col("occurred_at"),
+                       "alarm_level": F.lit(1).cast("int")}),
+        a.withColumns({"op": F.when(F.col("id") % 29 == 0, "d").otherwise("u"), "seq": F.col("id") * 2 + 1,
+                       "event_time": F.timestamp_add("MINUTE", F.lit(30), F.col("occurred_at"))}),
+        r.withColumns({"op": F.lit("c"), "seq": F.col("id") * 2, "event_time": arrives, "temperature": wrong}),
+        r.where("id % 11 = 0 OR id % 31 = 0").withColumns({
+            "op": F.when(F.col("id") % 31 == 0, "d").otherwise("u"), "seq": F.col("id") * 2 + 1,
+            "event_time": F.timestamp_add("DAY", F.lit(1), F.col("monitoring_time"))})]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
 def stage_change_files(changes: DataFrame, path: str, n_batches: int, files_per_batch: int = 4) -> None:
     """Land the change log as ``n_batches`` consecutive event-time ranges, each
     written as ``files_per_batch`` files (written range by range, so file

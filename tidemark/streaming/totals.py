@@ -61,7 +61,7 @@ class SignedSums:
 
     def apply(self, after: DataFrame, before: DataFrame, batch_id: int) -> DataFrame:
         """Add the rows ``after`` the batch and take away those ``before`` it (key and sum columns each, one row
-        per source row). Returns the keys touched with their sums and ``n_before``."""
+        per source row). Returns the keys touched with their sums, ``n_before``, and the differences as ``d_<sum>``."""
         return self.add(self.signed(after, 1).unionByName(self.signed(before, -1)), batch_id)
 
     def add(self, signed: DataFrame, batch_id: int) -> DataFrame:
@@ -77,7 +77,8 @@ class SignedSums:
         met = both.groupBy(*self.keys).agg(F.max("_old").alias("_old"), *[F.sum(c).alias(c) for c in self.sums])
         was = {c: F.coalesce(F.when(F.col("_old.o") != "d", F.col(f"_old.{c}")), F.lit(0)) for c in self.sums}
         new = met.where("n IS NOT NULL").select(  # a key without a difference has no sum
-            *self.keys, was["n"].alias("n_before"), *[(F.col(c) + was[c]).cast(t).alias(c) for c, t in self.sums.items()]).persist()
+            *self.keys, was["n"].alias("n_before"), *[F.col(c).cast(t).alias(f"d_{c}") for c, t in self.sums.items()],
+            *[(F.col(c) + was[c]).cast(t).alias(c) for c, t in self.sums.items()]).persist()
         self.table.write_batch(new.select(
             F.when(F.col("n") == 0, "d").otherwise("u").alias("op"), F.lit(batch_id).cast("bigint").alias("seq"),
             *self.keys, *self.sums), batch_id)
