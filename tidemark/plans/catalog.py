@@ -82,7 +82,7 @@ def register(name: str, sql: str | None = None, extra_ctes: dict[str, str] | Non
 def _load_all() -> None:
     # importing the query modules fills the registry
     from tidemark.plans import (  # noqa: F401
-        q_changes, q_equipment, q_grid, q_grid_mix, q_monitors, q_orders, q_scenarios, q_sinks, q_state, q_streaming,
+        q_changes, q_equipment, q_grid, q_grid_mix, q_live, q_monitors, q_orders, q_scenarios, q_sinks, q_state, q_streaming,
         q_tickets)
 
 

@@ -209,6 +209,13 @@ class PKTable:
         ``only``: restrict to the rows whose bucket keys occur in that frame."""
         return self._latest(version, only=only)
 
+    def latest_in(self, version: int, only: DataFrame) -> DataFrame:
+        """All rows of the buckets that ``only`` touches, as of batch ``version``."""
+        ch = self.changes_upto(version, only, whole_buckets=True)
+        if ch is None:
+            raise FileNotFoundError(self.path)
+        return latest_changes(ch, self.keys, self.seq, self.op).where(F.col(self.op) != "d")
+
     def lookup(self, key_values: list | DataFrame) -> DataFrame:
         """Current rows of the given keys (values, tuples for a composite key, or a frame
         with the key columns): reads only the buckets of those keys."""

@@ -276,10 +276,15 @@ class ProductTotals(_Totals):
             """Item sums without orders, and an order without item sums."""
             return items.drop("order_id").withColumn("orders", F.lit(0)).unionByName(
                 orders.withColumn("orders", F.lit(1)).withColumn("n", F.lit(0)), allowMissingColumns=True)
-        self.products.apply(rows(after, new), rows(before, gone), b).unpersist()
+        touched = self.products.apply(rows(after, new), rows(before, gone), b)
+        self._changed_products(touched, b)
+        touched.unpersist()
         for df in (pairs, changed):
             df.unpersist()
 
+    def _changed_products(self, touched: DataFrame, b: int) -> None:
+        """Called with the products of a batch, their sums and differences."""
+
     def product_stats(self) -> DataFrame:
         """The columns of ``orders.product_stats`` but the run time."""
         return self.products.read().select(
