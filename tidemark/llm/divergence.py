@@ -220,10 +220,13 @@ def source_divergence(docs: DataFrame, *, lang_col: str = "lang", source_col: st
     heads = groups.join(langs, "lang").select(
         "lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
         "source", F.lit(None).cast("string").alias("term"), "n", "kinds", "words")
-    priced = cells.unionByName(heads).groupBy("lang", "block").applyInArrow(
-        _audit_block(top), "lang string, source string, part string, item string, value long")
-    # a term is in one block and a pair in all of them: added up, both are one row each
-    rows = priced.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
-    ranked = rows.withColumn("rank", F.row_number().over(order))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= top))
+    # written, as both parts read it
+    priced = written(cells.unionByName(heads).groupBy("lang", "block").applyInArrow(
+        _audit_block(top), "lang string, source string, part string, item string, value long"), scratch(spark, "priced"))
+    order = Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item")
+    # a pair of sources has a price in every block
+    pairs = priced.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    pairs = pairs.withColumn("rank", F.row_number().over(order))
+    # a term is in one block: each task passes on its best of a group only
+    terms = priced.where("part = 'term'").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return pairs.unionByName(terms)
