@@ -186,6 +186,19 @@ def alarm_report(g: DataFrame, as_of: dt.datetime) -> DataFrame:
         ts_lit(as_of).alias("report_time"))
 
 
+def alarm_status_join_stream(alarms: DataFrame, readings: DataFrame, minutes: int = 10, watermark: str = "10 minutes") -> DataFrame:
+    """The pairs as a plain stream-stream join. The watermarks bound its state, and with it how late a row may be:
+    use it where ``watermark`` covers the lateness. ``streaming.grid_totals.AlarmTotals`` keeps both sides and
+    counts rows however late they come."""
+    a = alarms.withWatermark("occurred_at", watermark).alias("a")
+    r = readings.withWatermark("monitoring_time", watermark).alias("r")
+    cond = (F.col("a.equipment_id") == F.col("r.equipment_id")) & \
+           (F.col("r.monitoring_time") >= F.col("a.occurred_at") - F.expr(f"INTERVAL {minutes} MINUTES")) & \
+           (F.col("r.monitoring_time") <= F.col("a.occurred_at") + F.expr(f"INTERVAL {minutes} MINUTES"))
+    return a.join(r, cond, "inner").select("a.alarm_id", "a.equipment_id", "a.occurred_at", "r.monitoring_id",
+                                           "r.monitoring_time", "r.temperature", "r.power_factor")
+
+
 # ---------------------------------------------------------------- scenario 3
 
 def fault_analysis(alarms: DataFrame, readings: DataFrame, as_of: dt.datetime, window_min: int = 60,
