@@ -163,7 +163,7 @@ def alarm_statistics(dalarms: DataFrame, as_of: dt.datetime, days: int = 30) ->
 
 # ----------------------------------------------------- DDL-only summary tables
 
-def _abnormal(v: F.Column, f: F.Column) -> F.Column:
+def abnormal(v: F.Column, f: F.Column) -> F.Column:
     return ~v.between(200, 240) | ~f.between(49.5, 50.5)
 
 
@@ -183,11 +183,16 @@ def equipment_daily_summary(readings: DataFrame, equipment: DataFrame) -> DataFr
         R.avg_round("frequency", 2, 3).alias("frequency_avg"),
         R.avg_round("temperature", 2, 2).alias("temperature_avg"), F.max("temperature").alias("temperature_max"),
         F.count(F.lit(1)).alias("monitoring_count"),
-        R.count_if(_abnormal(v, F.col("frequency"))).alias("abnormal_count"),
+        R.count_if(abnormal(v, F.col("frequency"))).alias("abnormal_count"),
         # hours with a reading: a 24-bit mask per group (no distinct aggregate)
         F.bit_count(F.bit_or(F.pow(F.lit(2), F.col("monitoring_hour")).cast("bigint"))).cast("double")
         .alias("uptime_hours"),
         F.sum("power_active").alias("_p_sum"), F.count("power_active").alias("_p_n"))
+    return daily_report(g, equipment)
+
+
+def daily_report(g: DataFrame, equipment: DataFrame) -> DataFrame:
+    """Daily figures with the equipment's names and its utilisation from ``_p_sum`` and ``_p_n``."""
     # one join per group, not per reading
     cap = equipment.select(F.col("equipment_id").alias("c_eid"), "equipment_name", "equipment_type", "capacity_mw")
     j = g.join(cap, g.equipment_id == cap.c_eid, "left")
@@ -196,7 +201,7 @@ def equipment_daily_summary(readings: DataFrame, equipment: DataFrame) -> DataFr
         .alias("summary_id"),
         "equipment_id", "equipment_name", "equipment_type",
         *[c for c in g.columns if not c.startswith("_") and c != "equipment_id"],
-        F.round(R.safe_div(F.col("_p_sum") / F.col("_p_n"), F.nullif(F.col("capacity_mw"), F.lit(0.0))), 4)
+        F.round(R.safe_div(F.try_divide("_p_sum", "_p_n"), F.nullif(F.col("capacity_mw"), F.lit(0.0))), 4)
         .alias("utilization_rate"))
 
 

@@ -120,7 +120,7 @@ def q_alarm_statistics(c):
     return E.alarm_statistics(_dalarms(c), c.events_as_of)
 
 
-@register("equipment_daily_summary", sql=f"""SELECT
+DAILY_SUMMARY = f"""SELECT
     g.equipment_id * 100000 + date_diff('day', DATE '1970-01-01', g.summary_date) AS summary_id,
     g.equipment_id, g.equipment_name, g.equipment_type, g.summary_date, voltage_avg, voltage_max,
     voltage_min, voltage_std, current_avg, current_max, current_min, power_active_avg,
@@ -141,7 +141,10 @@ def q_alarm_statistics(c):
         CAST(COUNT(DISTINCT monitoring_hour) AS DOUBLE) AS uptime_hours,
         SUM(power_active) AS p_sum, COUNT(power_active) AS p_n
         FROM r_dmon GROUP BY equipment_id, equipment_name, equipment_type, monitoring_date) g
-    LEFT JOIN r_equipment c ON g.equipment_id = c.equipment_id""", extra_ctes=CTES)
+    LEFT JOIN r_equipment c ON g.equipment_id = c.equipment_id"""
+
+
+@register("equipment_daily_summary", sql=DAILY_SUMMARY, extra_ctes=CTES)
 def q_equipment_daily_summary(c):
     return E.equipment_daily_summary(_mfacts(c), c.equipment)
 

@@ -8,13 +8,14 @@ import uuid
 
 from tidemark.operators import orders as O
 from tidemark.plans.catalog import SEG_HIGH, SEG_MEDIUM, register
-from tidemark.plans import q_grid, q_scenarios
+from tidemark.plans import q_equipment, q_grid, q_scenarios
 from tidemark.plans.q_orders import DASHBOARD, DASHBOARD_DESC, USER_STATS_LEFT
 from tidemark.plans.roles_sql import ROLE_SQL
 from tidemark.session import shared_path
 from tidemark.sources import changes as CH
 from tidemark.streaming import grid_totals as GT
 from tidemark.streaming import totals as TT
+from tidemark.streaming.equipment_totals import EquipmentDays
 from tidemark.streaming.incremental import run_chain_from_tables
 
 FINAL = {"r_final": "SELECT * FROM r_orders WHERE order_status <> 'cancelled'"}
@@ -135,3 +136,10 @@ def q_incremental_grid_summary(c):
 def q_incremental_alarm_report(c):
     """Alarms and late, corrected and withdrawn readings; either side finds the other without a watermark."""
     return _run(c, GT.AlarmTotals, CH.alarm_change_log(c.t)).report(c.equipment, c.events_as_of)
+
+
+@register("incremental_equipment_daily", sql=q_equipment.DAILY_SUMMARY,
+          extra_ctes=q_equipment.CTES | _final("r_monitoring", "monitoring_id % 31 <> 0"))
+def q_incremental_equipment_daily(c):
+    """Readings late, corrected and withdrawn: sums, squares and counts per value of every equipment and day."""
+    return _run(c, EquipmentDays, CH.alarm_change_log(c.t)).summary(c.equipment)
