@@ -54,7 +54,7 @@ class GridTotals(_Totals):
         def side(tbl, ods, columns, conform, measures, count, sums):
             """The batch's rows of one source through its sums; the keys touched, None without changes."""
             rows = batch.where(F.col("tbl") == tbl).select("op", "seq", *columns)
-            if rows.isEmpty():  # cheap: the batch is persisted
+            if rows.isEmpty():  # one column of the batch
                 return None
             before, after, changed = self._change(ods, rows, b)
             before, after = (measures(conform(x)).withColumnRenamed(count, "n") for x in (before, after))

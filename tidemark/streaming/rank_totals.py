@@ -45,7 +45,7 @@ class RankedProducts(ProductTotals):
         moves = F.array(F.struct(old.cast(MONEY).alias("sales"), F.when(F.col("n_before") > 0, -1).otherwise(0).alias("n")),
                         F.struct(new.cast(MONEY).alias("sales"), F.when(F.col("n") > 0, 1).otherwise(0).alias("n")))
         signed = touched.select(F.explode(moves).alias("m")).select("m.*").where("n <> 0")
-        self.values.add(signed.select("sales", F.col("n").cast("bigint").alias("n")), b).unpersist()
+        self.values.add(signed.select("sales", F.col("n").cast("bigint").alias("n")), b)
 
     def ranking(self) -> DataFrame:
         """The columns of ``orders.product_ranking`` but the run time."""
