@@ -20,11 +20,10 @@ from tidemark.streaming.partials import TICKET_COLS, ticket_metrics_job
 from tidemark.streaming.rank_totals import RankedProducts
 
 
-def _landed(c, changes, n_batches: int = 3, files: int = 4) -> tuple[str, str]:
-    """The change log as files of event-time ranges: folder of the run, folder of the files."""
+def _landed(c, changes, n_batches: int = 3, files: int = 4) -> tuple[str, str, int]:
+    """The change log as files of event-time ranges: folder of the run, folder of the files, files of a range."""
     root = shared_path(c.spark, "live", uuid.uuid4().hex)
-    CH.stage_change_files(changes, f"{root}/changes", n_batches, files)
-    return root, f"{root}/changes"
+    return root, f"{root}/changes", CH.stage_change_files(changes, f"{root}/changes", n_batches, files)
 
 
 @register("live_ticket_metrics", sql="""WITH by_status AS (SELECT status, count(*) AS n FROM r_final GROUP BY status)
@@ -37,9 +36,9 @@ def _landed(c, changes, n_batches: int = 3, files: int = 4) -> tuple[str, str]:
 def q_live_ticket_metrics(c):
     """The ticket metrics as a standing job: each micro-batch computes the partials of the buckets it touches."""
     changes = CH.ticket_change_log(c.t)
-    root, files = _landed(c, changes)
+    root, path, files = _landed(c, changes)
     job = ticket_metrics_job(c.spark, root)
-    job.run(CH.read_change_stream(c.spark, files, changes.schema, 4).select(*TICKET_COLS), f"{root}/checkpoint")
+    job.run(CH.read_change_stream(c.spark, path, changes.schema, files).select(*TICKET_COLS), f"{root}/checkpoint")
     return job.result()
 
 
@@ -62,9 +61,9 @@ def q_live_status(c):
     readings = E.reading_facts(c.monitoring).withColumns({
         "id": F.col("monitoring_id"), "seq": F.col("monitoring_id"),  # every seventh reading arrives six hours late
         "event_time": F.timestamp_add("HOUR", F.when(F.col("monitoring_id") % 7 == 0, 6).otherwise(0), F.col("monitoring_time"))})
-    root, files = _landed(c, readings)
+    root, path, files = _landed(c, readings)
     live = LiveStatus(c.spark, root)
-    live.start(CH.read_change_stream(c.spark, files, readings.schema, 4), availableNow=True).awaitTermination()
+    live.start(CH.read_change_stream(c.spark, path, readings.schema, files), availableNow=True).awaitTermination()
     return live.status(c.events_as_of)
 
 
@@ -89,8 +88,8 @@ def q_source_sink_diff(c):
 def q_stream_batches(c):
     """What a running ingest says of its own micro-batches, added up: rows and event times by observed metrics."""
     changes = CH.ticket_change_log(c.t)
-    root, files = _landed(c, changes)
-    stream = JM.observed(CH.read_change_stream(c.spark, files, changes.schema, 4), "event_time")
+    root, path, files = _landed(c, changes)
+    stream = JM.observed(CH.read_change_stream(c.spark, path, changes.schema, files), "event_time")
     q = (stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()

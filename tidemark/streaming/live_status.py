@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,18 +32,14 @@ class ConnectionStatus(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", f"{_READING}, version long, due long")
 
-    def _row(self, key, state, status):
-        import pandas as pd
-        return pd.DataFrame([(key[0], *state[:-2], status, state[-2])],
-                            columns=["equipment_id", "monitoring_us", "monitoring_id", *VALUES, "connection_status", "version"])
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        best = None
-        for part in rows:  # a key's rows come in parts; only the newest one is held
-            top = part.sort_values(["monitoring_us", "monitoring_id"]).iloc[-1]
-            top = (int(top["monitoring_us"]), int(top["monitoring_id"]), *[None if top[v] != top[v] else float(top[v]) for v in VALUES])
-            best = top if best is None or top[:2] > best[:2] else best
-        old = self.newest.get() if self.newest.exists() else None
+    def _row(self, key, state, status) -> Row:
+        return Row("equipment_id", "monitoring_us", "monitoring_id", *VALUES, "connection_status", "version")(
+            key[0], *state[:-2], status, state[-2])
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a key's rows come one by one; only the newest one is held
+        best = tuple(max(rows, key=lambda r: (r[1], r[2])))[1:]
+        old = self.newest.get()
         if old is not None and tuple(old[:2]) >= best[:2]:
             return
         if old is not None and old[-1]:
@@ -57,10 +53,8 @@ class ConnectionStatus(StatefulProcessor):
         yield self._row(key, state, "ONLINE" if live else "OFFLINE")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        if not self.newest.exists():
-            return
         old = self.newest.get()
-        if old[-1] != expiredTimerInfo.getExpiryTimeInMs():
+        if old is None or old[-1] != expiredTimerInfo.getExpiryTimeInMs():
             return  # a newer reading moved the timer
         state = (*old[:-2], old[-2] + 1, 0)
         self.newest.update(state)
@@ -77,7 +71,7 @@ def connection_status(readings: DataFrame, online_minutes: float = 10, lag_ms: i
         F.col("equipment_id").cast("long").alias("equipment_id"),
         F.unix_micros(F.to_timestamp("monitoring_time")).alias("monitoring_us"),
         F.coalesce("monitoring_id", F.lit(-1)).cast("long").alias("monitoring_id"), *[F.col(v).cast("double").alias(v) for v in VALUES])
-    return src.groupBy("equipment_id").transformWithStateInPandas(
+    return src.groupBy("equipment_id").transformWithState(
         statefulProcessor=ConnectionStatus(int(online_minutes * 60_000), lag_ms), outputStructType=OUTPUT,
         outputMode="Update", timeMode="ProcessingTime")
 
