@@ -48,7 +48,7 @@ def q_live_ticket_metrics(c):
           extra_ctes=FINAL_ITEMS)
 def q_incremental_product_ranking(c):
     """Ranks from a histogram of sales values that the item stream keeps by deltas."""
-    return _run(c, RankedProducts, CH.item_change_log(c.t)).ranking()
+    return _run(c, RankedProducts, CH.item_versions(c.t)).ranking()
 
 
 @register("live_status", sql=f"""WITH n AS (SELECT *, row_number() OVER (PARTITION BY equipment_id
